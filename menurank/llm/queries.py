@@ -1,7 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import packing, sharding, urls
+from . import packing, quality, sharding, urls
 
-MODULES = [packing, urls, sharding]
+MODULES = [packing, quality, urls, sharding]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, table
 
-SLOTS, EPOCHS, RATE = 1024, 40, 1.0
+SLOTS, EPOCHS, RATE, BLOCK_ABOVE = 1024, 40, 1.0, 1.0  # log-odds from which a URL is blocked
 
 # The rules as (verdict, host, path).
 RULES = [
@@ -63,13 +64,13 @@ def rule_of(host: str, path: str) -> tuple[str, str]:
 
 
 def slots(host, path, size: int = SLOTS):
-    """Distinct hash slots of the 3-grams of ^host$ and of the path; md5, so that any SQL engine gives the same."""
+    """Distinct hash slots of the 3-grams of ^host$ and of the path, in which a run of digits is one 0; md5, so that any SQL engine gives the same."""
 
     def grams(text, tag):
         chars = F.split(text, "")
         return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 3, F.lit(0))), lambda i: F.concat(F.lit(tag), F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))).otherwise(F.array(F.concat(F.lit(tag), text)))
 
-    every = F.concat(grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), grams(path, "p"))
+    every = F.concat(grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), grams(F.regexp_replace(path, "[0-9]+", "0"), "p"))
     return F.array_distinct(F.transform(every, lambda g: F.pmod(F.conv(F.md5(g).substr(1, 4), 16, 10).cast("int"), F.lit(size))))
 
 
@@ -99,7 +100,7 @@ def judged(pages: DataFrame, weights: list[float]) -> DataFrame:
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of("host", "path")
-    model = F.when(log_odds(F.col("host"), F.col("path"), weights) > 0, "block").otherwise("allow")
+    model = F.when(log_odds(F.col("host"), F.col("path"), weights) > BLOCK_ABOVE, "block").otherwise("allow")
     return split.select("page_id", "host", "path", F.expr(rule).alias("rule"), F.coalesce(F.expr(verdict), model).alias("verdict"))
 
 
@@ -113,7 +114,7 @@ def plain_weights() -> list[float]:
 
     def where(h, p):
         grams = []
-        for tag, t in (("h", f"^{h}$"), ("p", p)):
+        for tag, t in (("h", f"^{h}$"), ("p", re.sub("[0-9]+", "0", p))):
             grams += [tag + t[i : i + 3] for i in range(len(t) - 2)] or [tag + t]
         return sorted({int(hashlib.md5(g.encode()).hexdigest()[:4], 16) % SLOTS for g in grams})
 
@@ -136,10 +137,10 @@ def oracle() -> str:
 with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
 b as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from a),
-c as (select *, '^' || host || '$' h from b),
-d as (select *, list_distinct(list_transform(list_concat({gram("h", "h")}, {gram("path", "p")}), lambda g: cast(('0x' || substr(md5(g), 1, 4)) as int) % {SLOTS})) s from c),
+c as (select *, '^' || host || '$' h, regexp_replace(path, '[0-9]+', '0', 'g') p from b),
+d as (select *, list_distinct(list_transform(list_concat({gram("h", "h")}, {gram("p", "p")}), lambda g: cast(('0x' || substr(md5(g), 1, 4)) as int) % {SLOTS})) s from c),
 e as (select *, list_sum(list_transform(s, lambda i: ({[round(x, 12) for x in w[:SLOTS]]})[i + 1])) + {w[SLOTS]} as logit from d)
-select page_id, host, path, {rule} as rule, coalesce({verdict}, case when logit > 0 then 'block' else 'allow' end) as verdict from e"""
+select page_id, host, path, {rule} as rule, coalesce({verdict}, case when logit > {BLOCK_ABOVE} then 'block' else 'allow' end) as verdict from e"""
 
 
 QUERIES = {"op6_urls": op6_urls}
