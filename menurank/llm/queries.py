@@ -1,7 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import bpe, packing, quality, sharding, spotsigs, urls
+from . import bpe, packing, quality, sharding, spotsigs, topk, urls
 
-MODULES = [bpe, packing, quality, urls, sharding, spotsigs]
+MODULES = [bpe, packing, quality, urls, sharding, spotsigs, topk]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
