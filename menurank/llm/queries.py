@@ -1,7 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard, packing, quality, sharding, spotsigs, topk, urls
+from . import bpe, jaccard, packing, pii, quality, sharding, spotsigs, topk, urls
 
-MODULES = [bpe, jaccard, packing, quality, urls, sharding, spotsigs, topk]
+MODULES = [bpe, jaccard, packing, pii, quality, urls, sharding, pii, spotsigs, topk]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
