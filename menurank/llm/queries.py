@@ -1,7 +1,9 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import bpe, jaccard, packing, pii, quality, sharding, spotsigs, topk, urls
+import corpus_pipeline
 
-MODULES = [bpe, jaccard, packing, pii, quality, urls, sharding, pii, spotsigs, topk]
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
-SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
+from . import bpe, jaccard, lm, packing, pii, quality, sharding, spotsigs, topk, urls
+
+MODULES = [topk, jaccard, packing, bpe, quality, urls, lm, sharding, pii, spotsigs]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
