@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(remainder_of: int, doc_id="doc_id"):
     """crc32 of doc_id as text modulo remainder_of; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % remainder_of
+
+
+class WordHashes(dict):
+    """Words (bytes) and the 8 bytes that stand for them. Past `limit` words it forgets all and goes on."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh3_64_digest
+
+        got = self[word] = xxh3_64_digest(word)
+        return got
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """What ASCII white space (space, 9 to 13) parts, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()

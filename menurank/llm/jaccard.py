@@ -4,8 +4,8 @@
 2. A prefix holds a set's first n - ceil(t*n) + 1 members in one global order, rare ones first: members that share a
    prefix member only can reach the threshold t. The order is by counts over the whole corpus, kept in a table of
    fixed size (counts of hash slots), then by hash; any order is right, this one keeps posting lists short.
-3. Group pairs that share a prefix member, pass the size filter and the positional filter are expanded to classes and
-   verified on whole sets. For components not every pair matters: first each group is checked against the most copied
+3. Group pairs that share a prefix member and pass the filters by size and by place (which know how many prefix
+   members a group has alone) are expanded to classes and verified on whole sets. For components not every pair matters: first each group is checked against the most copied
    group of each of its lists, its predecessor there, and each class against its group's first. Then only those pairs
    are left whose classes are in different components by then; these are all verified. So no link between components
    is missed, and a cluster of near copies costs about one check a member, not one a pair.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, release, stored, table
+from .common import WordHashes, ascii_words, forget, release, stored, table
 from .graph import components
 
 SLOT_BITS, CHUNKS = 20, 64
@@ -32,22 +32,13 @@ class Shingles:
     without words has none.
     """
 
-    def __init__(self, width: int, remembered: int = 300_000):
-        self.width, self.remembered, self.known = width, remembered, {}
+    def __init__(self, width: int):
+        self.width, self.known = width, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        hashes = []
-        for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxh3_64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
+        h = self.known.of(ascii_words(text))
         if len(h) < self.width:
             return np.array([xxh3_64_intdigest(h.tobytes())], np.uint64) if len(h) else h
         n = len(h) - self.width + 1
@@ -59,7 +50,7 @@ class Shingles:
 
 
 def slot_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """For each of 2**SLOT_BITS hash slots how common its n-grams are, 0 to 255, from counts over all texts (a text
+    """For each of 2**SLOT_BITS hash slots how common its n-grams are, 0 to 127, from counts over all texts (a text
     counts once for an n-gram). Each task adds up its own counts, held to 255 a slot; sums are made in CHUNKS parts."""
 
     def count(batches):
@@ -85,7 +76,7 @@ def slot_levels(texts: DataFrame, width: int) -> np.ndarray:
     for r in rows:  # 8 MB in all
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     counts = counts.ravel()
-    return np.minimum(255, 4 * counts // max(1, int(counts.mean()))).astype(np.uint8)
+    return np.minimum(127, 4 * counts // max(1, int(counts.mean()))).astype(np.uint8)
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -104,7 +95,8 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's 128-bit signature (two longs) and its prefix in the global order."""
+    """doc_id, n, the set's 128-bit signature (two longs), its prefix in the global order, and where in that order the
+    prefix ends (as a long, of the level and 56 bits of the hash)."""
     told = texts.sparkSession.sparkContext.broadcast(levels)  # 2**SLOT_BITS bytes
 
     def make(batches):
@@ -113,7 +105,7 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
 
         shingles, levels = Shingles(width), told.value
         for b in batches:
-            sizes, signs, heads = [], [], []
+            sizes, signs, heads, ends = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 n = len(s)
@@ -121,12 +113,14 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                 order = np.argsort(levels[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)], kind="stable")
                 sizes.append(n)
                 signs.append(xxh3_128_digest(s.tobytes()))
-                heads.append(s[order[:first]].view(np.int64))
+                head = s[order[:first]]
+                heads.append(head.view(np.int64))
+                ends.append((int(levels[int(head[-1]) & ((1 << SLOT_BITS) - 1)]) << 56) + (int(head[-1]) >> 8) if first else -1)
             sign = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
             offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.ListArray.from_arrays(offsets, np.concatenate([*heads, np.zeros(0, np.int64)]))], ["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.ListArray.from_arrays(offsets, np.concatenate([*heads, np.zeros(0, np.int64)])), pa.array(ends, pa.int64())], ["doc_id", "n", "s1", "s2", "prefix", "last"])
 
-    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, prefix array<long>, last long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -144,15 +138,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return out
 
 
-def near(n1, n2, percent: int):
-    """The size filter: the larger set may not be too large."""
-    return (100 * F.least(n1, n2)) >= percent * F.greatest(n1, n2)
+def reachable(x: str, y: str, percent: int):
+    """Whether two groups may be linked that share a member of their prefixes, by size and by place.
 
-
-def reachable(n1, p1, n2, p2, percent: int):
-    """The positional filter: what two sets may share, if one common member has these places in their order."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return near(n1, n2, percent) & ((100 + percent) * most >= percent * (n1 + n2))
+    What precedes that member in both is in both prefixes, so min(rank) at most is shared there: rank counts members
+    that another group's prefix holds too. Of the group whose prefix ends first in the global order this goes for the
+    rest of its prefix as well: what no other prefix holds, the other set lacks. Of the other group all the rest may be
+    shared."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    rest = lambda side: c(side, "n") - c(side, "at") - 1
+    known = lambda side: c(side, "held") - c(side, "rank") - 1 + c(side, "tail")
+    after = F.when(c(x, "last") <= c(y, "last"), F.least(known(x), rest(y))).otherwise(F.least(rest(x), known(y)))
+    most = F.least(c(x, "rank"), c(y, "rank")) + 1 + after
+    sizes = (100 * F.least(c(x, "n"), c(y, "n"))) >= percent * F.greatest(c(x, "n"), c(y, "n"))
+    return sizes & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n")))
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,24 +165,31 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = slot_levels(texts, width)
     every = stored(prefixes(texts, width, percent, levels))
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("prefix", "doc_id").alias("prefix"))
+    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("last").alias("last"))
     classes = stored(classes.withColumn("head", F.xxhash64("prefix")))
-    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies")))
+    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.min("last").alias("last")))
     member = stored(classes.select("n", "head", "id").join(groups.select("n", "head", "g"), ["n", "head"]).select("id", "n", "g"))
     release(spark)
 
-    # Posting lists of two or more groups.
-    lists = W.partitionBy("token").orderBy(F.desc("copies"), "n", "g")
-    place = F.struct("g", "n", "at")
-    posted = groups.select("g", "n", "copies", F.posexplode("prefix").alias("at", "token"))
-    posted = posted.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists)).withColumn("after", F.lead("g").over(lists))
-    shared = stored(posted.filter("before is not null or after is not null").select("token", "g", "n", "at", "first", "before"))
+    # Posting lists of two or more groups, then what each group can share at all.
+    lists = W.partitionBy("token").orderBy("g")
+    posted = groups.select("g", "n", "copies", "last", (F.col("n") - F.size("prefix")).alias("tail"), F.posexplode("prefix").alias("at", "token"))
+    posted = posted.withColumn("before", F.lag("g").over(lists)).withColumn("after", F.lead("g").over(lists))
+    shared = stored(posted.filter("before is not null or after is not null").select("token", "g", "n", "copies", "last", "tail", "at"))
     forget(groups)
     release(spark)
+    own = W.partitionBy("g")
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own))
+    place = F.struct("g", "n", "last", "tail", "at", "rank", "held")
+    lists = W.partitionBy("token").orderBy(F.desc("copies"), "n", "g")
+    ranked = ranked.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists)).withColumn("after", F.lead("g").over(lists))
+    old, shared = shared, stored(ranked.filter("before is not null or after is not null").select("token", place.alias("own"), "first", "before"))
+    forget(old)
+    release(spark)
 
     def linked(to: str) -> DataFrame:
-        ok = reachable(F.col("n"), F.col("at"), F.col(f"{to}.n"), F.col(f"{to}.at"), percent)
-        return shared.filter(F.col(to).isNotNull() & (F.col(f"{to}.g") != F.col("g")) & ok).select(F.least("g", f"{to}.g").alias("a"), F.greatest("g", f"{to}.g").alias("b"))
+        ok = reachable("own", to, percent) & (F.col(f"{to}.g") != F.col("own.g"))
+        return shared.filter(F.col(to).isNotNull() & ok).select(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b"))
 
     spokes = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
     some = stored(linked("first").union(linked("before")).union(spokes).distinct())
@@ -193,12 +199,12 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # Pairs whose classes are still in different components: lists that hold more than one, then classes of groups.
     known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
     span = known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    spread = shared.select("token", "g", "n", "at").join(span, "g")
+    spread = shared.select("token", "own.*").join(span, "g")
     mixed = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
     open_ = stored(spread.join(mixed, "token"))
     x, y = open_.alias("x"), open_.alias("y")
     apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
-    ok = reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
+    ok = reachable("x", "y", percent)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & ok).select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"))
     inner = span.filter("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = stored(pairs.union(inner).distinct())

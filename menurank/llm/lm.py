@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, release, stored, table
+from .common import WordHashes, ascii_words, fold, release, stored, table
 
 FOLDS, HELD_OUT, DISCOUNTED = 7, 2, 5
 BATCH_CHARS, BATCH_DOCS, TABLE_KEYS, LEAST_TABLES = 8_000_000, 4096, 1_500_000, 16
@@ -47,9 +47,7 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 def _marks() -> tuple[int, int]:
     """Hashes of the start and the end of a text; no word has a space in it."""
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(b" start"), xxh3_64_intdigest(b" end")
+    return tuple(int(x) for x in WordHashes().of([b" start", b" end"]))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -59,10 +57,8 @@ def packed(docs: DataFrame) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest
-
-        start, end = _marks()
-        known: dict[bytes, int] = {}
+        known = WordHashes()
+        start, _ = _marks()
         number = TaskContext.get().partitionId() << 32
         texts, ids, train, chars = [], [], [], 0
 
@@ -75,14 +71,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for i, text, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-                hashes = []
-                for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxh3_64_intdigest(w)
-                    hashes.append(h)
-                hashes.append(end)
-                texts.append(np.array(hashes, np.uint64))
+                texts.append(known.of([*ascii_words(text), b" end"]))
                 ids.append(i)
                 train.append(t)
                 chars += len(text or "")
@@ -90,8 +79,6 @@ def packed(docs: DataFrame) -> DataFrame:
                     yield flush()
                     number += 1
                     texts, ids, train, chars = [], [], [], 0
-                    if len(known) > 300_000:
-                        known.clear()
         if texts:
             yield flush()
 

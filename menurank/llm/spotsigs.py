@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WordHashes, table
 
 PART_ROWS, MOST_PARTS = 2000, 20_000
 
@@ -25,6 +25,21 @@ al como con del el es lo los las más no para por su sus una y
 """
 
 
+class AnchorHashes(WordHashes):
+    """Hashes whose lowest bit tells anchors."""
+
+    def __init__(self, anchors: set[bytes]):
+        super().__init__()
+        self.anchors = anchors
+
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh3_64_digest
+
+        got = xxh3_64_digest(word)
+        got = self[word] = bytes([got[0] & 254 | (word in self.anchors)]) + got[1:]
+        return got
+
+
 class Spots:
     """Text to an ascending array of 32-bit signatures. Remembers hashes of words, up to a fixed number.
 
@@ -32,23 +47,13 @@ class Spots:
     next words that aren't anchors. A text without any has one signature of all its words; one without words none.
     """
 
-    def __init__(self, anchors: str = ANCHORS, remembered: int = 300_000):
-        self.anchors = {w.encode() for w in anchors.split()}
-        self.remembered, self.known = remembered, {}
+    def __init__(self, anchors: str = ANCHORS):
+        self.known = AnchorHashes({w.encode() for w in anchors.split()})
 
     def __call__(self, text: str) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        known, anchors = self.known, self.anchors
-        if len(known) > self.remembered:
-            known.clear()
-        hashes = []
-        for w in text.encode("utf-8", "surrogatepass").lower().translate(None, b".,;:!?\"'()").split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxh3_64_intdigest(w) >> 1 << 1 | (w in anchors)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
+        h = self.known.of(text.encode("utf-8", "surrogatepass").lower().translate(None, b".,;:!?\"'()").split())
         common = (h & np.uint64(1)).astype(bool)
         content = np.flatnonzero(~common)
         at = np.flatnonzero(common)
