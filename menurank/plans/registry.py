@@ -1,5 +1,329 @@
 """Queries by name and the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import text as X
+from ..functions.rounding import round1
+from ..operators import kmeans, report, tfidf
+from ..operators import recommend as R
+from ..operators.clean import in_range, without_codes
+from ..schemas import RAW
+from ..sources import web
+from . import oracle as O
+from .meals_view import CLEAN_SQL, CODES_SQL, DISHES_SQL, KEY, NUTRIENT_SQL, RAW_SQL, clean_meals, raw_meals
+
 FLAGSHIP = "recommend_topk"
 QUERIES: dict = {}
 SQL: dict = {}
+
+RULES = R.Rules(
+    types={"metal": ["bolt", "rod"], "round": ["ring", "gear"], "flat": ["plate"], "heavy": ["anvil"], "toy": ["gizmo", "widget"]},
+    spice={5: ["hot"], 4: ["red"], 3: ["large", "cold"]},
+)
+FIRST = R.Profile(("red bolt", "gear"), ("anvil",), ("round", "flat"), 3, (7, 11))
+SECOND = R.Profile(("widget",), ("small rod",), ("toy",), 5, (3,))
+PLAIN = R.Profile(spice_level=2)
+TOP = 25
+# Frequent words of the prose, as stop words.
+STOP = ["the", "of", "and", "in", "to", "is", "on", "that", "la", "le", "de", "der", "die", "und", "que"]
+MENU = ["row_id", "date", "menu_text", "score", "cluster_name", "reason"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+# ---- cleaning -------------------------------------------------------------------------------------------------------
+
+_HTML = "replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"select page_id, len(d)::int as n_parts, array_to_string(d, '|') as parts from (select page_id, {DISHES_SQL.format(x=_HTML)} d from pages)")
+def html_break_split(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", X.dishes(F.col("html")).alias("d")).select("page_id", F.size("d").alias("n_parts"), F.array_join("d", "|").alias("parts"))
+
+
+@query(f"with {RAW_SQL} select row_id, array_to_string({CODES_SQL.format(x='DDISH_NM')}, ',') as codes from raw")
+def code_extract(spark, sf_dir):
+    return raw_meals(spark, sf_dir).select(KEY, joined(X.codes(F.col("DDISH_NM"))).alias("codes"))
+
+
+@query(f"with {RAW_SQL} select row_id, try_cast(nullif(regexp_extract(CAL_INFO, '-?[0-9]+(?:\\.[0-9]+)?'), '') as double) as calories from raw")
+def number_extract(spark, sf_dir):
+    return raw_meals(spark, sf_dir).select(KEY, X.first_number(F.col("CAL_INFO")).alias("calories"))
+
+
+@query(f"with {RAW_SQL} select row_id, {NUTRIENT_SQL.format(label='탄수화물')} as carbs_g, {NUTRIENT_SQL.format(label='단백질')} as protein_g, {NUTRIENT_SQL.format(label='지방')} as fat_g from raw")
+def nutrient_extract(spark, sf_dir):
+    return raw_meals(spark, sf_dir).select(KEY, *(X.nutrient(F.col("NTR_INFO"), n).alias(n) for n in C.NUTRIENTS))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, null::varchar as bad from orders")
+def date_normalise(spark, sf_dir):
+    iso = lambda c: F.date_format(X.compact_date(c), "yyyy-MM-dd")
+    return t(spark, sf_dir, "orders").select("o_orderkey", iso(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), iso(F.date_format("o_orderdate", "yyyy1399")).alias("bad"))
+
+
+@query(f"with {RAW_SQL} select row_id, MLSV_YMD from raw where coalesce(MLSV_YMD, '') between '19960101' and '19960630'")
+def date_range_filter(spark, sf_dir):
+    return in_range(raw_meals(spark, sf_dir), "19960101", "19960630").select(KEY, "MLSV_YMD")
+
+
+@query(f"with {CLEAN_SQL} select row_id, strftime(date, '%Y-%m-%d') as day, school_name, meal_type, array_to_string(dishes, '|') as dishes, menu_text, array_to_string(allergy_codes, ',') as codes, calories, carbs_g, protein_g, fat_g, dish_count from clean")
+def meals_clean(spark, sf_dir):
+    rows = clean_meals(spark, sf_dir)
+    return rows.select(KEY, F.date_format("date", "yyyy-MM-dd").alias("day"), "school_name", "meal_type", F.array_join("dishes", "|").alias("dishes"), "menu_text", joined("allergy_codes").alias("codes"), "calories", "carbs_g", "protein_g", "fat_g", "dish_count")
+
+
+@query("select event_id, (props->>'$.k')::bigint as k, strlen(props)::bigint as n from events")
+def json_path(spark, sf_dir):
+    k = F.expr("try_variant_get(parse_json(props), '$.k', 'bigint')")
+    return t(spark, sf_dir, "events").select("event_id", k.alias("k"), F.octet_length("props").cast("bigint").alias("n"))
+
+
+@query("select strftime(o.o_orderdate, '%Y%m%d') as day, o.o_orderpriority as meal_type, count(*) as n, max(c) as total from orders o join (select o_custkey % 50 page, count(*) c from orders group by 1) p on p.page = o.o_custkey % 50 group by all")
+def envelope_unnest(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("page"), F.struct(F.date_format("o_orderdate", "yyyyMMdd").alias("MLSV_YMD"), F.col("o_orderpriority").alias("MMEAL_SC_NM")).alias("r"))
+    pages = orders.groupBy("page").agg(F.collect_list("r").alias("row"), F.count("*").alias("n"))
+    head = F.struct(F.array(F.struct(F.col("n").alias("list_total_count"), F.lit(None).cast("struct<CODE:string,MESSAGE:string>").alias("RESULT")), F.struct(F.lit(None).cast("bigint").alias("list_total_count"), F.struct(F.lit("INFO-000").alias("CODE"), F.lit("ok").alias("MESSAGE")).alias("RESULT"))).alias("head"), F.lit(None).cast("array<struct<MLSV_YMD:string,MMEAL_SC_NM:string>>").alias("row"))
+    body = F.struct(F.lit(None).cast("array<struct<list_total_count:bigint,RESULT:struct<CODE:string,MESSAGE:string>>>").alias("head"), F.col("row"))
+    answers = pages.select(F.to_json(F.struct(F.array(head, body).alias(web.MEALS))).alias("answer"))
+    totals = answers.select("answer", web.total_count(F.col("answer"), web.MEALS, RAW).alias("total"))
+    rows = totals.select("total", F.from_json("answer", f"{web.MEALS} array<struct<row:array<struct<MLSV_YMD:string,MMEAL_SC_NM:string>>>>").alias("a")).select("total", F.inline(F.expr(f"a.{web.MEALS}[1].row")))
+    return rows.groupBy(F.col("MLSV_YMD").alias("day"), F.col("MMEAL_SC_NM").alias("meal_type")).agg(F.count("*").alias("n"), F.max("total").alias("total"))
+
+
+@query(f"with {CLEAN_SQL} select row_id, array_to_string(allergy_codes, ',') as codes from clean where not list_has_any(allergy_codes, [5, 9])")
+def allergen_antifilter(spark, sf_dir):
+    return without_codes(clean_meals(spark, sf_dir), [5, 9]).select(KEY, joined("allergy_codes").alias("codes"))
+
+
+@query(f"with {CLEAN_SQL} select count(*) as excluded from clean where list_has_any(allergy_codes, [5, 9])")
+def excluded_count(spark, sf_dir):
+    codes = F.lit([5, 9]).cast("array<int>")
+    return clean_meals(spark, sf_dir).agg(F.count_if(F.arrays_overlap("allergy_codes", codes)).alias("excluded"))
+
+
+# ---- keywords -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select p_partkey, array_to_string({O.case_types('p_name', RULES.types)}, ',') as classes from part")
+def keyword_class(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(X.menu_types(F.col("p_name"), RULES.types), ",").alias("classes"))
+
+
+@query(f"select p_partkey, {O.case_spice('p_name', RULES.spice)} as level from part")
+def spice_level(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", X.spice_level(F.col("p_name"), RULES.spice).alias("level"))
+
+
+@query("select n_nationkey, array_to_string(list_filter(list_transform(string_split(n_name || ' ,, x , ' || n_name, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as terms from nation")
+def csv_terms(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.array_join(X.csv_terms(F.concat("n_name", F.lit(" ,, x , "), "n_name")), "|").alias("terms"))
+
+
+@query("select n_nationkey, case when n_name = 'x' then 'x' else n_name || '|x' end as terms from nation")
+def ordered_distinct(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.array_join(X.ordered_distinct(F.array("n_name", F.lit(" "), F.lit("x "), F.concat(F.lit(" "), F.col("n_name")), F.lit("x"))), "|").alias("terms"))
+
+
+# ---- text statistics ------------------------------------------------------------------------------------------------
+
+_PART_GRAMS = f"g as (select p_partkey k, term, count(*) n from (select p_partkey, unnest({O.grams('p_name')}) term from part) group by all)"
+
+
+@query(f"with {_PART_GRAMS} select k as p_partkey, term, n from g")
+def char_ngrams(spark, sf_dir):
+    return tfidf.term_counts(t(spark, sf_dir, "part"), "p_partkey", X.char_grams(F.col("p_name")))
+
+
+@query(f"with {_PART_GRAMS} select term, count(*) as df from g group by term")
+def doc_frequency(spark, sf_dir):
+    return tfidf.document_frequency(char_ngrams(spark, sf_dir))
+
+
+@query(f"with {_PART_GRAMS}, d as (select term, count(*) df from g group by term), s as (select k, sum(n) s from g group by k) select g.k as p_partkey, g.term, round(n / s, 6) as tf, round(ln((1 + (select count(*) from part)) / (1 + df)) + 1, 6) as idf, round(n / s * (ln((1 + (select count(*) from part)) / (1 + df)) + 1), 6) as tfidf from g join d on d.term = g.term join s on s.k = g.k")
+def idf(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    out = tfidf.tfidf(char_ngrams(spark, sf_dir), "p_partkey", part.count())
+    return out.select("p_partkey", "term", *(F.round(c, 6).alias(c) for c in ("tf", "idf", "tfidf")))
+
+
+_ASKED = "hot gizmo plate zebra"
+
+
+@query(f"with {O.similarity('part', 'p_partkey', 'p_name', _ASKED, 'sim')} select k as p_partkey, round(similarity, 6) as similarity from sim")
+def tfidf_search(spark, sf_dir):
+    out = tfidf.similarity(t(spark, sf_dir, "part"), "p_partkey", "p_name", _ASKED)
+    return out.select("p_partkey", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"with {O.similarity('benchmark', 'item_id', 'text', 'the of and inter', 'sim')} select k as item_id, round(similarity, 6) as similarity from sim order by 2 desc, 1 limit 1")
+def topk_similar_one(spark, sf_dir):
+    return tfidf.most_similar(t(spark, sf_dir, "benchmark"), "item_id", "text", "the of and inter")
+
+
+@query(f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) term from documents),
+c as (select doc_id, term, count(*) n from w where term not in ({", ".join(f"'{x}'" for x in STOP)}) group by all),
+d as (select term, count(*) df from c group by term), s as (select doc_id, sum(n) s from c group by doc_id),
+v as (select c.doc_id, c.term, n, df, round(n / s * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1), 6) tfidf from c join d on d.term = c.term join s on s.doc_id = c.doc_id)
+select doc_id, row_number() over (partition by doc_id order by tfidf desc, term)::int as rank, term, n, df, tfidf from v qualify rank <= 8""")
+def keyword_top8(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    return tfidf.keywords(t(spark, sf_dir, "documents"), "doc_id", words, STOP)
+
+
+@query("with w as (select unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) term from benchmark) select distinct term from w")
+def vocabulary(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term")).distinct()
+
+
+# ---- numbers --------------------------------------------------------------------------------------------------------
+
+_PART_FEATURES = ["p_retailprice", "p_size", "p_partkey % 37", "p_partkey % 101", "length(p_name)"]
+_PART_SOURCE = f"pf as (select p_partkey k, {', '.join(f'case when p_partkey % {11 + i} = 0 then null else ({f})::double end f{i}' for i, f in enumerate(_PART_FEATURES))} from part)"
+_F = [f"f{i}" for i in range(5)]
+
+
+def part_features(spark, sf_dir):
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *(F.expr(f"case when p_partkey % {11 + i} = 0 then null else cast({f} as double) end").alias(f"f{i}") for i, f in enumerate(_PART_FEATURES)))
+
+
+_KM = O.clusters("pf", "k", _F, 3, "km")
+
+
+@query(f"with {_PART_SOURCE}, {O.clusters('pf', 'k', _F, 3, 'km', 1)} select k, {', '.join(f'round(x{i}, 6) as {f}' for i, f in enumerate(_F))} from km_x")
+def impute_median(spark, sf_dir):
+    made, _ = kmeans.imputed(part_features(spark, sf_dir), "k", _F)
+    return made.select("k", *(F.round(F.get("x", F.lit(i)), 6).alias(f) for i, f in enumerate(_F)))
+
+
+@query(f"with {_PART_SOURCE}, {O.clusters('pf', 'k', _F, 3, 'km', 1)} select k, {', '.join(f'round(z{i}, 6) as {f}' for i, f in enumerate(_F))} from km_z")
+def zscore(spark, sf_dir):
+    made, _ = kmeans.imputed(part_features(spark, sf_dir), "k", _F)
+    return made.select("k", *(F.round(F.get("z", F.lit(i)), 6).alias(f) for i, f in enumerate(_F)))
+
+
+@query(f"with {_PART_SOURCE}, {O.clusters('pf', 'k', _F, 3, 'km', 1)} select g as seed, {', '.join(f'round(v{i}, 6) as {f}' for i, f in enumerate(_F))} from km_0")
+def kmeans_seed(spark, sf_dir):
+    made, told = kmeans.imputed(part_features(spark, sf_dir), "k", _F)
+    ordered = made.select(F.get("x", F.lit(0)).alias("c"), "k", "z")
+    places = [round(i * (told["n"] - 1) / 2) for i in range(3)]
+    seeds = [(i, *(round(v, 6) for v in r["z"])) for i, r in enumerate(kmeans.at_positions(ordered, ["c", "k"], places))]
+    return spark.createDataFrame(seeds, "seed int, " + ", ".join(f"{f} double" for f in _F))
+
+
+@query(f"with {_PART_SOURCE}, {_KM} select k, cluster_name from km")
+def kmeans_labels(spark, sf_dir):
+    return kmeans.labelled(part_features(spark, sf_dir), "k", 3, _F).select("k", "cluster_name")
+
+
+@query(f"with {_PART_SOURCE} select unnest(['f0', 'f1', 'f2', 'f3', 'f4']) as \"column\", unnest([{', '.join(f'count(*) - count({f})' for f in _F)}]) as nulls from pf")
+def null_counts(spark, sf_dir):
+    return report.null_counts(part_features(spark, sf_dir).select(*_F))
+
+
+@query("select 'o_totalprice' as \"column\", count(o_totalprice) as count, round(avg(o_totalprice), 1) as mean, round(stddev_samp(o_totalprice), 1) as std, round(min(o_totalprice), 1) as min, round(quantile_cont(o_totalprice, 0.25), 1) as q1, round(quantile_cont(o_totalprice, 0.5), 1) as q2, round(quantile_cont(o_totalprice, 0.75), 1) as q3, round(max(o_totalprice), 1) as max from orders")
+def describe_stats(spark, sf_dir):
+    return report.described(t(spark, sf_dir, "orders"), ["o_totalprice"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, ((k + (case when d > 0.5 or (d = 0.5 and k % 2 = 1) then 1 else 0 end))::double / 10::double) as rounded from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(v)::bigint k, v - floor(v) d from (select *, (l_quantity / 4)::double * 10 v from lineitem))")
+def exact_rounding(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", round1(F.col("l_quantity") / 4).alias("rounded"))
+
+
+# ---- ranking --------------------------------------------------------------------------------------------------------
+
+_MENU_SQL = "row_id, strftime(date, '%Y-%m-%d') as date, menu_text, score, cluster_name, reason"
+
+
+def menu(df, *more):
+    return df.withColumn("date", F.date_format("date", "yyyy-MM-dd")).select(*more, *MENU)
+
+
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, FIRST, RULES, 'a', TOP)} select {_MENU_SQL} from a")
+def recommend_topk(spark, sf_dir):
+    return menu(R.recommend(clean_meals(spark, sf_dir), KEY, FIRST, TOP, RULES))
+
+
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, FIRST, RULES, 'a', 10)}, {O.ranking('clean', KEY, SECOND, RULES, 'b', 10)} select 'first' as profile, rank::int as rank, {_MENU_SQL} from a union all select 'second', rank::int, {_MENU_SQL} from b")
+def recommend_two_profiles(spark, sf_dir):
+    return menu(R.batch(clean_meals(spark, sf_dir), KEY, {"first": FIRST, "second": SECOND}, 10, RULES), "profile", "rank")
+
+
+_WARM = R.replace(FIRST, spice_level=5, allergy_codes=())
+
+
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, FIRST, RULES, 'a', 1)}, {O.ranking('clean', KEY, _WARM, RULES, 'b', 1)} select 'before' as profile, {_MENU_SQL} from a union all select 'after', {_MENU_SQL} from b")
+def what_if(spark, sf_dir):
+    return menu(R.what_if(clean_meals(spark, sf_dir), KEY, FIRST, RULES, spice_level=5, allergy_codes=()), "profile")
+
+
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, SECOND, RULES, 'a', 3)} select rank::int as \"순위\", strftime(date, '%Y-%m-%d') as \"날짜\", score as \"추천 점수\", menu_text as \"메뉴\", reason as \"추천 이유\", cluster_name as \"식단 군집\", case when len(allergy_codes) = 0 then '{C.NO_CODES}' else array_to_string(allergy_codes, ', ') end as \"알레르기 번호\" from a")
+def result_table(spark, sf_dir):
+    return report.result_table(R.recommend(clean_meals(spark, sf_dir), KEY, SECOND, 3, RULES), KEY)
+
+
+@query("select name, true as passed from (select unnest(['in_range', 'has_reason', 'neutral']) as name)")
+def score_bounds(spark, sf_dir):
+    rows = R.scored(clean_meals(spark, sf_dir), KEY, R.replace(PLAIN, spice_level=3), RULES)
+    return report.rule_checks(rows, {"in_range": F.col("score").between(0, 100), "has_reason": F.length("reason") > 0, "neutral": F.col("score") <= 20.0})
+
+
+@query("select count_if(event_type = 'click')::bigint as passed, count_if(event_type <> 'click')::bigint as failed, round(sum(value), 2) as total_seconds from events")
+def dq_summary(spark, sf_dir):
+    runs = t(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "PASS").otherwise("FAIL").alias("status"), F.col("value").alias("seconds"))
+    return report.run_summary(runs)
+
+
+@query(f"with {CLEAN_SQL} select strftime(date, '%Y-%m-%d') as day, round(avg(calories), 6) as calories from clean group by date")
+def calories_by_date(spark, sf_dir):
+    return clean_meals(spark, sf_dir).groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("calories"), 6).alias("calories"))
+
+
+@query("select user_id, arg_max(props, (ts, event_id)) as props from events group by user_id")
+def last_marked(spark, sf_dir):
+    lines = t(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.struct("ts", "event_id").alias("pos"), F.concat(F.lit("RESULT="), "props").alias("value"))
+    return report.marked_results(lines, "RESULT=", "k bigint").select(F.col("source").alias("user_id"), F.to_json("result").alias("props")).withColumn("props", F.replace("props", F.lit(":"), F.lit(": ")))
+
+
+@query("select doc_id, sha256(text) as sha, sha256(text) = sha256(text || '') as same, length(text)::int as n, substr(text, 1, 80) as head from documents")
+def sha256_verify(spark, sf_dir):
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return t(spark, sf_dir, "documents").select("doc_id", sha.alias("sha"), (sha == F.sha2(F.encode("text", "UTF-8"), 256)).alias("same"), F.length("text").alias("n"), F.substring("text", 1, 80).alias("head"))
+
+
+@query("select url[: instr(url, '://') - 1] as scheme, page_id, 'page=' || page_id || '&q=a+b' as request from pages")
+def request_preview(spark, sf_dir):
+    kept = F.map_filter(F.create_map(F.lit("page"), F.col("page_id").cast("string"), F.lit("KEY"), F.lit("secret"), F.lit("q"), F.lit("a b")), lambda k, v: k != "KEY")
+    return t(spark, sf_dir, "pages").select(F.substring_index("url", "://", 1).alias("scheme"), "page_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], F.url_encode(e["value"]))), "&").alias("request"))
+
+
+@query("select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') as kinds, min(strftime(o_orderdate, '%Y-%m-%d')) as low, max(strftime(o_orderdate, '%Y-%m-%d')) as high from orders group by o_custkey")
+def distinct_sorted(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("kinds"), F.min(day).alias("low"), F.max(day).alias("high"))
+
+
+@query(f"with {CLEAN_SQL} select school_name, row_id, rank::int as rank from (select *, row_number() over (partition by school_name order by calories desc, row_id) rank from clean) where rank <= 3")
+def top_per_school(spark, sf_dir):
+    order = W.partitionBy("school_name").orderBy(F.desc("calories"), KEY)
+    return clean_meals(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("school_name", KEY, "rank")
