@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -42,8 +43,10 @@ def forget(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds what the second may clean
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def parts(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:

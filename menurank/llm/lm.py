@@ -32,17 +32,30 @@ SENT = "part int, batch long, keys binary, x binary, y binary, z binary"
 
 
 def _pack(array: np.ndarray) -> bytes:
+    """The array's size in bytes, then its first bytes, second bytes and so on, compressed."""
     import pyarrow as pa
 
-    raw = array.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
     import pyarrow as pa
 
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes by their differences, which take some bits less."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
 def _marks() -> tuple[int, int]:
@@ -51,8 +64,8 @@ def _marks() -> tuple[int, int]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Batches: a is the sorted hashes of its words and marks, b the tokens as places in a, c the lengths of texts,
-    d doc_id, whether it is null and whether the text is for training."""
+    """Batches: a is the sorted hashes of its words and marks, b the places in a by falling frequency and then the tokens
+    as places in that list, c the lengths of texts, d doc_id, whether it is null and whether the text is for training."""
 
     def pack(batches):
         import pyarrow as pa
@@ -66,7 +79,10 @@ def packed(docs: DataFrame) -> DataFrame:
             words, places = np.unique(np.concatenate([*texts, np.array([start], np.uint64)]), return_inverse=True)
             lengths = np.array([len(t) for t in texts], np.int32)
             about = np.array([(i or 0, i is None, t) for i, t in zip(ids, train, strict=True)], np.int64)
-            cells = [_pack(words), _pack(places[:-1].astype(np.int32)), _pack(lengths), _pack(about)]
+            order = np.argsort(-np.bincount(places), kind="stable").astype(np.int32)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            cells = [_pack_keys(words), _pack(np.concatenate([order, rank[places[:-1]]])), _pack(lengths), _pack(about)]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["batch", "kind", "part", "a", "b", "c", "d"])
 
         for b in batches:
@@ -100,7 +116,8 @@ class Batch:
         own, told = None, {k: [] for k in kinds}
         for kind, part, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("kind", "part", "a", "b", "c", "d")), strict=True):
             if kind == 0:
-                own = _unpack(a, np.uint64), _unpack(b, np.int32), _unpack(c, np.int32), _unpack(d, np.int64).reshape(-1, 3)
+                words, ranked = _unpack_keys(a), _unpack(b, np.int32)
+                own = words, ranked[: len(words)][ranked[len(words) :]], _unpack(c, np.int32), _unpack(d, np.int64).reshape(-1, 3)
             else:
                 told[kind].append((part, _unpack(a, kinds[kind])))
         joined = {k: np.concatenate([x for _, x in sorted(v, key=lambda x: x[0])]) if v else np.zeros(0, kinds[k]) for k, v in told.items()}
@@ -135,7 +152,7 @@ def _send(number: int, keys: np.ndarray, parts: int, *values: np.ndarray):
 
     cut = _slices(keys, parts)
     columns = [[_pack(v[s]) for _, s in cut] for v in values] + [[None] * len(cut)] * (3 - len(values))
-    return pa.table([pa.array([p for p, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([keys[s].tobytes() for _, s in cut], pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "batch", "keys", "x", "y", "z"])
+    return pa.table([pa.array([p for p, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([_pack_keys(keys[s]) for _, s in cut], pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "batch", "keys", "x", "y", "z"])
 
 
 def _answers(rows, kind: int, answer, counts_of_counts: bool):
@@ -143,7 +160,7 @@ def _answers(rows, kind: int, answer, counts_of_counts: bool):
     counts of counts, a row of batch -1 has them (answer gives them second)."""
     import pyarrow as pa
 
-    keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+    keys = [_unpack_keys(k) for k in rows.column("keys").to_pylist()]
     told, counts = answer(np.concatenate(keys), rows)
     ends = np.cumsum([0, *map(len, keys)])
     batches, part = rows.column("batch").to_pylist(), rows.column("part")[0].as_py()
