@@ -64,7 +64,7 @@ def scored(rows: DataFrame, key: str, profile: Profile, rules: Rules | None = No
     rules = rules or Rules()
     _need(rows)
     profile = profile.validated(rules)
-    safe = without_codes(rows, list(profile.allergy_codes))
+    safe = without_codes(rows, list(profile.allergy_codes)).persist()  # four plans read it; it may spill to disk
     near = similarity(safe.select(key, "menu_text"), key, "menu_text", profile.query())
     labels = labelled(safe, key) if {"calories", "carbs_g", "protein_g", "fat_g", "dish_count"} <= set(rows.columns) else safe.withColumn("cluster_name", F.lit(C.TOO_FEW))
     return ruled(labels.join(near, key), profile, rules)
@@ -107,7 +107,8 @@ def batch(rows: DataFrame, key: str, profiles: dict[str, Profile], top: int = 3,
     for name, profile in profiles.items():
         profile = profile.validated(rules)
         if profile.allergy_codes not in fitted:
-            fitted[profile.allergy_codes] = labelled(without_codes(rows, list(profile.allergy_codes)), key)
+            safe = without_codes(rows, list(profile.allergy_codes)).persist()
+            fitted[profile.allergy_codes] = labelled(safe, key)
         safe = fitted[profile.allergy_codes]
         near = similarity(safe.select(key, "menu_text"), key, "menu_text", profile.query())
         best = ruled(safe.join(near, key), profile, rules).orderBy(F.desc("score"), "date", key).limit(top).withColumn("profile", F.lit(name))

@@ -40,12 +40,12 @@ def similarity(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     corpus = docs.count() + 1
     counts = term_counts(docs, key, X.char_grams(F.col(text)))
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(X.char_grams(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("q"))
+    # The norm needs only the query's terms: their document frequencies come from a semi-join, before any shuffle.
+    few = counts.join(F.broadcast(asked.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.join(few, "term", "left").select("q", idf(F.coalesce("df", F.lit(0)) + 1, F.lit(corpus)).alias("idf"))
+    norm = known.agg(F.sqrt(F.sum((F.col("q") * F.col("idf")) ** 2)).alias("norm")).first()["norm"] or 1.0
     df = document_frequency(counts).join(F.broadcast(asked), "term", "left")
-    own = F.col("q").isNotNull().cast("int")
-    weights = df.select("term", idf(F.col("df") + own, F.lit(corpus)).alias("idf"), F.coalesce("q", F.lit(0)).alias("q"))
-    # Terms of the query that no document has: df is 1.
-    unseen = asked.join(df.select("term"), "term", "left_anti").select(idf(F.lit(1), F.lit(corpus)).alias("idf"), "q")
-    norm = weights.filter("q > 0").select("idf", "q").union(unseen).agg(F.sqrt(F.sum((F.col("q") * F.col("idf")) ** 2)).alias("norm")).first()["norm"] or 1.0
+    weights = df.select("term", idf(F.col("df") + F.col("q").isNotNull().cast("int"), F.lit(corpus)).alias("idf"), F.coalesce("q", F.lit(0)).alias("q"))
     parts = counts.join(weights, "term").select(key, (F.col("n") * F.col("idf")).alias("w"), (F.col("q") * F.col("idf")).alias("v"))
     sums = parts.groupBy(key).agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
     cosine = F.coalesce(F.col("dot") / (F.when(F.col("length") == 0, 1.0).otherwise(F.col("length")) * norm), F.lit(0.0))

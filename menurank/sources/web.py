@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from datetime import date, datetime
 from urllib.parse import urlencode
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import RAW, SCHOOL, SCHOOL_ROW, envelope
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 TIMEOUT_S, PAGE_ROWS, MOST_DAYS = 15, 1000, 366
 OK, NONE = "INFO-000", "INFO-200"  # Fixed values: codes of the source's answers.
 SCHOOLS, MEALS = "schoolInfo", "mealServiceDietInfo"  # Fixed values: names of its datasets.
@@ -195,4 +199,5 @@ def unnested(answers: DataFrame, column: str, dataset: str, row) -> DataFrame:
 def total_count(column, dataset: str, row):
     """list_total_count of a stored answer, at least 0; null without one."""
     head = F.get(F.from_json(column, envelope(dataset, row))[dataset], F.lit(0))["head"]
-    return F.greatest(F.get(F.filter(head, lambda h: h["list_total_count"].isNotNull()), F.lit(0))["list_total_count"], F.lit(0))
+    told = F.get(F.filter(head, lambda h: h["list_total_count"].isNotNull()), F.lit(0))["list_total_count"]
+    return F.when(told < 0, 0).otherwise(told)
