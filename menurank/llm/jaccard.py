@@ -139,17 +139,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def reachable(x: str, y: str, percent: int):
-    """Whether two groups may be linked that share a member of their prefixes, by size and by place.
+    """Whether two groups may be linked that share a member of their prefixes, if it is the first that they share.
 
-    What precedes that member in both is in both prefixes, so min(rank) at most is shared there: rank counts members
-    that another group's prefix holds too. Of the group whose prefix ends first in the global order this goes for the
-    rest of its prefix as well: what no other prefix holds, the other set lacks. Of the other group all the rest may be
-    shared."""
+    Linked groups share a first member, so they pass at that one. After it, all the rest may be shared, but of the group
+    whose prefix ends first in the global order only what another group's prefix holds too (rank counts these) and what
+    lies beyond its prefix: what no other prefix holds, the other set lacks."""
     c = lambda side, name: F.col(f"{side}.{name}")
     rest = lambda side: c(side, "n") - c(side, "at") - 1
     known = lambda side: c(side, "held") - c(side, "rank") - 1 + c(side, "tail")
     after = F.when(c(x, "last") <= c(y, "last"), F.least(known(x), rest(y))).otherwise(F.least(rest(x), known(y)))
-    most = F.least(c(x, "rank"), c(y, "rank")) + 1 + after
+    most = 1 + after
     sizes = (100 * F.least(c(x, "n"), c(y, "n"))) >= percent * F.greatest(c(x, "n"), c(y, "n"))
     return sizes & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n")))
 
