@@ -89,3 +89,56 @@ class WordHashes(dict):
 def ascii_words(text: str | None) -> list[bytes]:
     """What ASCII white space (space, 9 to 13) parts, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _mixed(n: int) -> np.ndarray:
+    """n fixed 64-bit numbers without pattern (splitmix)."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHasher:
+    """Texts to the 64-bit hashes of their words (see ascii_words), without making the words.
+
+    A word's hash is a polynomial over numbers that stand for its bytes. Sums over a text's beginnings give all words'
+    polynomials at once; the power at which a word begins is divided out (it is odd, so it has an inverse)."""
+
+    CHUNK = 1 << 20
+    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self):
+        self.numbers = _mixed(256)
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.numbers[self.space] = 0
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+        self.powers, self.inverses = power(self.BASE), power(self.INVERSE)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+        if len(raw) <= self.CHUNK:
+            return self._of(raw)
+        gaps = np.flatnonzero(self.space[raw])
+        cuts = np.unique(gaps[np.minimum(np.searchsorted(gaps, np.arange(self.CHUNK, len(raw), self.CHUNK)), len(gaps) - 1)]) if len(gaps) else []
+        return np.concatenate([self._of(x) for x in np.split(raw, cuts)])
+
+    def _of(self, raw: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        if n > len(self.powers):
+            self._grow(2 * n)
+        word = np.zeros(n + 2, np.int8)
+        word[1:-1] = ~self.space[raw]
+        edge = np.diff(word)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.numbers[raw] * self.powers[:n], out=sums[1:])
+        x = (sums[end] - sums[start]) * self.inverses[start]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))

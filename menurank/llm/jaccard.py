@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, forget, release, stored, table
+from .common import WordHasher, forget, release, stored, table
 from .graph import components
 
 SLOT_BITS, CHUNKS = 20, 64
@@ -26,19 +26,19 @@ BROADCAST_IDS = 1_000_000  # 16 MB
 
 
 class Shingles:
-    """Text to the ascending array of its distinct n-grams' 64-bit hashes. Remembers hashes of words, up to a number.
+    """Text to the ascending array of its distinct n-grams' 64-bit hashes.
 
     Words are what ASCII white space parts, A-Z lower-cased. A text of fewer words has one n-gram of all of them; one
     without words has none.
     """
 
     def __init__(self, width: int):
-        self.width, self.known = width, WordHashes()
+        self.width, self.hashes = width, WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        h = self.known.of(ascii_words(text))
+        h = self.hashes(text)
         if len(h) < self.width:
             return np.array([xxh3_64_intdigest(h.tobytes())], np.uint64) if len(h) else h
         n = len(h) - self.width + 1

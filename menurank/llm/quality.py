@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
 
     rows = chosen.select("at", "y", "text").mapInArrow(featured, "at long, y int, slots binary, values binary")
     model = rows.repartition(1).sortWithinPartitions("at", "slots", "values").mapInArrow(learnt, "weights binary").first()
-    return np.frombuffer(model["weights"], np.float32)
+    return np.frombuffer(model["weights"], np.float32) if model else np.zeros(SLOTS + 1, np.float32)
 
 
 def scored(df: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -67,8 +67,9 @@ def slots(host, path, size: int = SLOTS):
     """Distinct hash slots of the 3-grams of ^host$ and of the path, in which a run of digits is one 0; md5, so that any SQL engine gives the same."""
 
     def grams(text, tag):
-        chars = F.split(text, "")
-        return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 3, F.lit(0))), lambda i: F.concat(F.lit(tag), F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))).otherwise(F.array(F.concat(F.lit(tag), text)))
+        # The characters are bound as a lambda's argument, so that a long text is split once, not once a gram.
+        windows = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat(F.lit(tag), F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+        return F.when(F.length(text) >= 3, F.flatten(F.transform(F.array(F.split(text, "")), windows))).otherwise(F.array(F.concat(F.lit(tag), text)))
 
     every = F.concat(grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), grams(F.regexp_replace(path, "[0-9]+", "0"), "p"))
     return F.array_distinct(F.transform(every, lambda g: F.pmod(F.conv(F.md5(g).substr(1, 4), 16, 10).cast("int"), F.lit(size))))

@@ -1,0 +1,64 @@
+import random
+import zlib
+from collections import Counter
+
+from helpers import folder, texts
+from pyspark.sql import functions as F
+
+from menurank.llm import sharding as S
+
+
+def check(rows, shards):
+    by = Counter(r["shard"] for r in rows)
+    sizes = [by.get(s, 0) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(rows)
+    for s in by:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(by[s]))
+
+
+def test_hard_rows(spark, tmp_path):
+    rows = S.op8_sharding(spark, folder(spark, tmp_path)).collect()
+    check(rows, 24)
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
+    assert S.op8_sharding(spark, folder(spark, tmp_path / "e", [])).count() == 0
+
+
+def test_many_blocks_and_repeated_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 700).alias("x"), F.lit("clash").alias("slot"))
+    out = S.hypergeometric_shards(df, 7, block_rows=40)
+    rows = out.collect()
+    check(rows, 7)
+    assert Counter(r["x"] for r in rows) == Counter(i % 700 for i in range(3000))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, S.hypergeometric_shards(df.repartition(5), 7, block_rows=40).collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_matrix_has_its_sums():
+    for seed in range(20):
+        rng = random.Random(seed)
+        blocks = [rng.randrange(0, 500) for _ in range(rng.randrange(1, 9))]
+        sizes = S.shard_sizes(sum(blocks), 5)
+        m = S.communication_matrix(blocks, sizes, seed)
+        assert [sum(r) for r in m] == blocks and [sum(c) for c in zip(*m)] == sizes and all(x >= 0 for r in m for x in r)
+
+
+def test_draws_follow_the_hypergeometric_law():
+    from math import comb
+
+    rng, n = random.Random(1), 20000
+    got = Counter(S.hypergeometric(rng, 12, 18, 10) for _ in range(n))
+    for k in range(11):
+        p = comb(12, k) * comb(18, 10 - k) / comb(30, 10)
+        assert abs(got[k] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+    assert 0 <= S.hypergeometric(rng, 10**10, 10**11, 10**9) <= 10**9
+
+
+def test_each_place_is_as_likely(spark):
+    hits = Counter()
+    for seed in range(60):
+        for r in S.hypergeometric_shards(spark.range(40).toDF("x"), 4, block_rows=10, seed=seed).collect():
+            hits[r["x"] < 20, r["shard"]] += 1
+    assert all(abs(hits[h, s] - 300) < 75 for h in (True, False) for s in range(4))
