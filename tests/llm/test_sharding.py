@@ -58,7 +58,7 @@ def test_draws_follow_the_hypergeometric_law():
 
 def test_each_place_is_as_likely(spark):
     hits = Counter()
-    for seed in range(60):
-        for r in S.hypergeometric_shards(spark.range(40).toDF("x"), 4, block_rows=10, seed=seed).collect():
-            hits[r["x"] < 20, r["shard"]] += 1
-    assert all(abs(hits[h, s] - 300) < 75 for h in (True, False) for s in range(4))
+    for seed in range(8):
+        for r in S.hypergeometric_shards(spark.range(400).toDF("x"), 4, block_rows=100, seed=seed).collect():
+            hits[r["x"] < 200, r["shard"]] += 1
+    assert all(abs(hits[h, s] - 400) < 90 for h in (True, False) for s in range(4))
