@@ -5,7 +5,7 @@
     P(w)     = d1(c) * c / (N + e)             for a word of training
              = what that leaves                for any other: all unknown words are one type, as in the base score
 
-d are Katz's discounts for r to 5, from counts of counts; e is 1 where no follower of h (no word) has a count that is
+d are Katz's discounts for r to 5, from counts of counts smoothed as Simple Good-Turing does; e is 1 where no follower of h (no word) has a count that is
 discounted, else 0, so that something is always left; alpha(h) makes P(. | h) sum to 1 exactly.
 
 Texts are packed in batches of token numbers once. N-gram tables are partitioned by hash: each batch sends its distinct
@@ -185,23 +185,41 @@ def _count(keys: np.ndarray, rows):
     return told, np.array([*of[1 : DISCOUNTED + 2], (total > 0).sum(), total.sum()])
 
 
+def slope(counts: list[int]) -> float | None:
+    """Slope of the log-linear fit of counts of counts (from 1), each spread over the gaps beside it, as Simple
+    Good-Turing does; None where fewer than two aren't 0 or where it isn't below -1, so that it can't discount."""
+    r = [i for i, n in enumerate(counts, 1) if n]
+    if len(r) < 2:
+        return None
+    before, after = [0, *r[:-1]], [*r[1:], 2 * r[-1] - r[-2]]
+    spread = [2 * counts[i - 1] / (t - q) for i, q, t in zip(r, before, after, strict=True)]
+    b = float(np.polyfit(np.log(r), np.log(spread), 1)[0])
+    return b if b < -1 - 1e-9 else None
+
+
 def discounts(counts: list[int]) -> np.ndarray:
     """d for counts 0 to DISCOUNTED + 1, the last for all greater ones (1). counts: counts of counts from 1.
 
-    Katz's Good-Turing discounts; where the counts of counts don't give all of them between 0 and 1 (little text),
-    an absolute discount N1 / (N1 + 2 N2), held between 0.1 and 0.9.
+    Katz's discounts of Simple Good-Turing's adjusted counts: Turing's own r* up to the first r whose r* gives no d
+    between 0 and 1 or is within 1.65 standard deviations of the fit's r*, from there on the fit's. Where there is no
+    fit (see slope), an absolute discount N1 / (N1 + 2 N2), held between 0.1 and 0.9.
     """
     n, k = [0, *counts], DISCOUNTED
     out = np.ones(k + 2)
-    try:
-        common = (k + 1) * n[k + 1] / n[1]
-        got = [((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)]
-    except ZeroDivisionError:
-        got = [0.0]
-    if not all(0 < d < 1 for d in got):
+    b = slope(counts[: k + 1])
+    if b is None:
         cut = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5))
-        got = [1 - cut / r for r in range(1, k + 1)]
-    out[1 : k + 1] = got
+        out[1 : k + 1] = [1 - cut / r for r in range(1, k + 1)]
+        return out
+    common, raw = (k + 1.0) ** (b + 1), True
+    for r in range(1, k + 1):
+        kept = (1 + 1 / r) ** (b + 1)  # the fit's r* / r
+        raw = raw and n[r] > 0 and n[r + 1] > 0
+        if raw:
+            turing = (r + 1) * n[r + 1] / n[r] / r
+            spread = (r + 1) / n[r] * np.sqrt(n[r + 1] * (1 + n[r + 1] / n[r])) / r
+            raw = common < turing < 1 and abs(turing - kept) > 1.65 * spread
+        out[r] = ((turing if raw else kept) - common) / (1 - common)
     return out
 
 

@@ -74,3 +74,29 @@ def test_discounts():
     assert all(0 < d < 1 for d in lm.discounts([1000, 400, 200, 120, 80, 60])[1:6])
     for odd in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 9, 9, 9, 9]):
         assert all(0 < d < 1 for d in lm.discounts(odd)[1:6])
+
+
+def test_discounts_are_good_turing_where_a_count_of_counts_sticks_out():
+    """Counts of counts of the words and pairs of sf0.01 and sf0.1: N5 is large against N4."""
+    for n in ([49663, 12919, 5197, 2729, 2383, 1067], [193655, 25105, 6496, 2179, 2497, 618], [207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580]):
+        x, y = [math.log(r) for r in range(1, 7)], [math.log(c) for c in n]
+        mx, my = sum(x) / 6, sum(y) / 6
+        b = sum((p - mx) * (q - my) for p, q in zip(x, y)) / sum((p - mx) ** 2 for p in x)
+        share, plain = [], True
+        for r in range(1, 6):
+            turing, fit = (r + 1) * n[r] / n[r - 1], r * (1 + 1 / r) ** (b + 1)
+            error = math.sqrt((r + 1) ** 2 * n[r] / n[r - 1] ** 2 * (1 + n[r] / n[r - 1]))
+            plain = plain and turing < r and turing / r > 6 ** (b + 1) and abs(turing - fit) > 1.65 * error
+            share.append((turing if plain else fit) / r)
+        want = [(s - 6 ** (b + 1)) / (1 - 6 ** (b + 1)) for s in share]
+        got = lm.discounts(n)
+        assert list(got[1:6]) == pytest.approx(want, rel=1e-9) and all(0 < d < 1 for d in want) and got[6] == 1
+        assert share[0] == pytest.approx(2 * n[1] / n[0])  # Turing's own estimate, where counts are many
+        cut = n[0] / (n[0] + 2 * n[1])
+        assert max(abs(got[r] - 1 + cut / r) for r in range(1, 6)) > 0.05
+
+
+def test_one_missing_count_of_counts_does_not_end_good_turing():
+    got = lm.discounts([1000, 300, 120, 0, 50, 30])
+    assert lm.slope([1000, 300, 120, 0, 50, 30]) is not None and all(0 < d < 1 for d in got[1:6])
+    assert all(lm.slope(n) is None for n in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 9, 9, 9, 9]))
