@@ -1,6 +1,7 @@
 """Personal data: base patterns, and terms that disclose protected entities by corpus co-occurrence.
 
-An entity is a matched value. A term near it (a run of letters among the WORDS next on either side) discloses it if the
+An entity is a matched value, or a class of values that is the same for many: the domains an address is in, a network, an
+issuer or industry of cards, the area or zone of a phone number. A value is rarely in several texts, a class is. A term near it (a run of letters among the WORDS next on either side) discloses it if the
 pointwise mutual information of term and entity over the corpus reaches THETA times the entity's own information:
 log2(N * n_te / (n_t * n_e)) >= THETA * log2(N / n_e), all counts in distinct texts, n_te at least SUPPORT. Terms
 beyond that threshold are spans of kind `term`, which sanitised() generalises, as it replaces the base spans.
@@ -78,12 +79,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
+def entities(text: Column, span) -> Column:
+    """array<string>: the value of a span and the classes it is in."""
+    value, k = F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"])), span["k"]
+    labels, number = F.split(F.substring_index(value, "@", -1), "[.]"), digits(value)
+    domains = [F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".") for n in (2, 3, 4)]
+    of = {
+        "email": [value, F.substring_index(value, "@", -1), *domains],
+        "ip": [value, *(F.concat(F.substring_index(value, ".", n), F.lit(".")) for n in (1, 2, 3))],
+        "card": [number, F.substring(number, 1, 6), F.substring(number, 1, 1)],
+        "phone": [number, F.substring(number, 1, 4), F.substring(number, 1, 1)],
+    }
+    listed_ = F.coalesce(*(F.when(k == i, F.array(*of[kind])) for i, kind in enumerate(KINDS[:4])))
+    return F.transform(F.array_distinct(listed_), lambda x: F.concat(k.cast("string"), F.lit(":"), x))
+
+
 def contexts(text: Column, spans: Column) -> Column:
     """array<struct<term, entity, s, e>>: terms next to each span."""
     letters = F.lit(r"\p{L}{2,}+")
 
-    def near(span):
-        entity = F.concat(span["k"].cast("string"), F.lit(":"), F.lower(F.substring(text, span["s"] + 1, span["e"] - span["s"])))
+    def near(span, entity):
         left = F.greatest(span["s"] - REACH, F.lit(0))
         before, after = F.substring(text, left + 1, span["s"] - left), F.substring(text, span["e"] + 1, F.lit(REACH))
         whole_b = F.filter(located(before, F.regexp_extract_all(before, letters, F.lit(0))), lambda p: (p["s"] > 0) | (left == 0))
@@ -93,7 +108,7 @@ def contexts(text: Column, spans: Column) -> Column:
         put = lambda p, off: F.struct(F.lower(F.substring(text, p["s"] + off + 1, p["e"] - p["s"])).alias("term"), entity.alias("entity"), (p["s"] + off).alias("s"), (p["e"] + off).alias("e"))
         return F.concat(F.transform(last, lambda p: put(p, left)), F.transform(first, lambda p: put(p, span["e"])))
 
-    return F.flatten(F.transform(spans, near))
+    return F.flatten(F.transform(spans, lambda span: F.flatten(F.transform(entities(text, span), lambda entity: near(span, entity)))))
 
 
 def disclosing(found: DataFrame, texts: DataFrame, total: int) -> DataFrame:

@@ -58,6 +58,21 @@ def test_terms_that_disclose_an_entity(spark, tmp_path):
     assert "the [TERM] [EMAIL] the" in safe[0] and "[EMAIL]" in safe[20] and safe[100] == dict(rows)[100]
 
 
+def test_terms_that_disclose_what_values_seen_once_share(spark, tmp_path):
+    """Each value is in one text only; its domain, network, issuer or area is in six."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fill = lambda n: " ".join(["the", *(word() for _ in range(n)), "and"])
+    cards = [c for c in (f"411111{n:010d}" for n in range(10**9, 10**9 + 100)) if luhn(c)]
+    said = {"zanzibarian": lambda i: f"jo{i}@secret.org", "quuxnetwork": lambda i: f"10.20.30.{i}", "goldenbank": lambda i: cards[i], "lakesidetown": lambda i: f"+1 (323) 555-10{i:02d}"}
+    rows = [(100 * n + i, f"{fill(9)} the {term} {value(i)} the {fill(5)}") for n, (term, value) in enumerate(said.items()) for i in range(6)]
+    rows += [(1000 + i, fill(12)) for i in range(200)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.op9_pii(spark, folder(spark, tmp_path, rows)).collect()}
+    for i, text in rows:
+        terms = {text[int(s) : int(e)] for kind, s, e in (x.split(":") for x in got[i] if x) if kind == "term"}
+        assert terms == ({list(said)[i // 100]} if i < 1000 else set())
+
+
 def test_sanitised_rows(spark):
     df = docs(spark)
     out = pii.sanitised(df)
