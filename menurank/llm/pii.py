@@ -1,13 +1,14 @@
 """Personal data: base patterns, and terms that disclose protected entities by corpus co-occurrence.
 
 An entity is a matched value, or a class of values that is the same for many: the domains an address is in, a network, an
-issuer or industry of cards, the area or zone of a phone number. A value is rarely in several texts, a class is. A term near it (a run of letters among the WORDS next on either side) discloses it if the
-pointwise mutual information of term and entity over the corpus reaches THETA times the entity's own information:
-log2(N * n_te / (n_t * n_e)) >= THETA * log2(N / n_e), all counts in distinct texts, n_te at least SUPPORT. Terms
-beyond that threshold are spans of kind `term`, which sanitised() generalises, as it replaces the base spans.
-
-Everything is DataFrame functions. One pass over texts finds the base spans and their contexts; terms that have the
-support are counted over all texts in a second pass.
+issuer or industry of cards, the area or zone of a phone number. A value is rarely in several texts, a class is. A term
+(a run of letters outside the matches) discloses an entity if the pointwise mutual information of term and entity over the
+corpus reaches THETA times the entity's own information: log2(N * n_te / (n_t * n_e)) >= THETA * log2(N / n_e), all counts
+in distinct texts, n_te at least SUPPORT. Wherever such a term is in any text, it is a span of kind `term`, which
+sanitised() generalises, as it replaces the base spans.
+
+Everything is DataFrame functions. One pass over texts finds the base spans, a second counts the terms that can have the
+support over all texts, a third finds the places of those that disclose.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WORDS, REACH, SUPPORT, THETA = 3, 64, 3, 0.8
+SUPPORT, THETA = 3, 0.8
+LETTERS = r"\p{L}{2,}+"
 BROADCAST_TERMS = 500_000
 
 # The contract's patterns, in forms that find the same matches but neither recurse nor try a run of characters twice:
@@ -94,57 +96,88 @@ def entities(text: Column, span) -> Column:
     return F.transform(F.array_distinct(listed_), lambda x: F.concat(k.cast("string"), F.lit(":"), x))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """array<struct<term, entity, s, e>>: terms next to each span."""
-    letters = F.lit(r"\p{L}{2,}+")
-
-    def near(span, entity):
-        left = F.greatest(span["s"] - REACH, F.lit(0))
-        before, after = F.substring(text, left + 1, span["s"] - left), F.substring(text, span["e"] + 1, F.lit(REACH))
-        whole_b = F.filter(located(before, F.regexp_extract_all(before, letters, F.lit(0))), lambda p: (p["s"] > 0) | (left == 0))
-        whole_a = F.filter(located(after, F.regexp_extract_all(after, letters, F.lit(0))), lambda p: p["e"] < REACH)
-        last = F.slice(whole_b, F.greatest(F.size(whole_b) - WORDS + 1, F.lit(1)), WORDS)
-        first = F.slice(whole_a, 1, WORDS)
-        put = lambda p, off: F.struct(F.lower(F.substring(text, p["s"] + off + 1, p["e"] - p["s"])).alias("term"), entity.alias("entity"), (p["s"] + off).alias("s"), (p["e"] + off).alias("e"))
-        return F.concat(F.transform(last, lambda p: put(p, left)), F.transform(first, lambda p: put(p, span["e"])))
-
-    return F.flatten(F.transform(spans, lambda span: F.flatten(F.transform(entities(text, span), lambda entity: near(span, entity)))))
-
-
-def disclosing(found: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """(term, entity) pairs over the threshold. found: h (a text's hash) and near (contexts); texts: text."""
-    seen = found.filter(F.size("near") > 0).select("h", F.explode("near").alias("c")).select("h", "c.term", "c.entity").distinct()
-    joint = seen.groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    entities = seen.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    enough = lambda n_t: F.log2(F.lit(float(total)) * F.col("n_te") / (n_t * F.col("n_e"))) >= THETA * F.log2(F.lit(float(total)) / F.col("n_e"))
-    # A term is in as many texts as it is near entities in, at least: this rules most terms out before they are counted.
-    joint = stored(joint.join(entities, "entity").join(near, "term").filter(enough(F.col("n_near"))).drop("n_near"))
-    terms = joint.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    words = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}+"), F.lit(0)))).alias("term"))
-    kept = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").distinct()
-    counts = kept.groupBy("term").agg(F.count("*").alias("n_t"))
+def masked(text: Column, spans: Column) -> Column:
+    """text with blanks in place of the spans' characters, as long as before."""
+
+    def step(acc, p):
+        at = F.greatest(acc["at"], p["s"])
+        new = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(" "), F.greatest(p["e"] - at, F.lit(0)))))
+        return F.struct(F.greatest(at, p["e"]).alias("at"), new.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def found_words(text: Column) -> Column:
+    """array<string>: the distinct runs of letters of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower))
+
+
+def places(text: Column, terms: Column) -> Column:
+    """array<struct<s, k, e>>: where any of terms is a whole run of letters in text; one pass over the text's runs."""
+    runs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)).alias("run"), F.slice(F.split(text, LETTERS, -1), 1, F.size(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)))).alias("gap"))
+
+    def step(acc, x):
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["run"])
+        own = F.array(F.struct(s.alias("s"), F.lit(4).alias("k"), e.alias("e")))
+        return F.struct(e.alias("at"), F.when(F.array_contains(terms, F.lower(x["run"])), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
+    return F.aggregate(runs, start, step, lambda acc: acc["out"])
+
+
+def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, entity) pairs over the threshold. found: h (a text's hash), entities and words of each text with base
+    spans, and empty arrays for others; texts: h and clear (the text without its base spans).
+
+    A term is with an entity in no more texts than it or the entity is in: what that bound rules out isn't paired."""
+    total = float(max(1, found.select("h").distinct().count()))
+    most_texts = lambda n_e: total ** (1 - THETA) * F.pow(n_e, F.lit(THETA)) * (1 + 1e-9)
+    seen = found.filter(F.size("entities") > 0)
+    held = seen.select("h", F.explode("entities").alias("entity")).distinct()
+    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
+    bound = held.agg(most_texts(F.max("n_e")).alias("b")).first()["b"] or 0.0
+    near = seen.select("h", F.explode("words").alias("term")).distinct()
+    enough = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) >= THETA * F.log2(total / F.col("n_e"))
+    # A term is in as many texts as it is in with entities, at least: this rules most out before all texts are counted.
+    terms = stored(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
+    both = near.join(few(terms), "term").join(held, "h").filter(F.col("n_near") <= most_texts(F.col("n_e")))
+    joint = both.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    joint = stored(joint.filter(enough(F.col("n_near"))))
+    words = texts.select("h", F.explode(found_words(F.col("clear"))).alias("term"))
+    counts = words.join(few(stored(joint.select("term").distinct())), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity")
 
 
+def few(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (hashes of the row's id and text), base and spans (arrays of s, k, e) for each row of docs.
 
-    Null texts count as empty and have no spans. Rows equal in id and text have equal spans. Spans of different kinds
-    may overlap. An empty table gives no rows; other columns are ignored.
+    Null texts count as empty and have no spans. Rows equal in id and text have equal spans. Base spans of different
+    kinds may overlap. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id"))
+    keys = rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id")).withColumn("h", F.xxhash64("text"))
     based = keys.withColumn("base", base_spans(F.col("text")))
-    based = based.withColumn("near", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<term:string,entity:string,s:int,e:int>>")))
-    found = stored(based.select("doc_id", "k1", "k2", F.xxhash64("text").alias("h"), "base", "near"))
-    total = max(1, found.count())
-    pairs = disclosing(found, rows, total)
-    told = found.filter(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("c")).select("k1", "k2", "c.*").distinct()
-    told = told.join(pairs, ["term", "entity"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("more"))
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return found.join(told, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    clear = based.withColumn("clear", masked(F.col("text"), F.col("base")))
+    none = F.array().cast("array<string>")
+    listed_ = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", lambda span: entities(F.col("text"), span))))).otherwise(none)
+    own = F.when(F.size("base") > 0, found_words(F.col("clear"))).otherwise(none)
+    found = stored(clear.select("doc_id", "k1", "k2", "h", "base", listed_.alias("entities"), own.alias("words")))
+    terms = stored(disclosing(found, clear).select("term").distinct())
+    out = found.select("doc_id", "k1", "k2", "base")
+    if terms.isEmpty():
+        return out.withColumn("spans", F.col("base"))
+    told = clear.select("k1", "k2", F.explode(found_words(F.col("clear"))).alias("term")).join(few(terms), "term", "left_semi")
+    told = stored(told.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")))
+    more = clear.select("k1", "k2", "clear").join(few(told), ["k1", "k2"]).select("k1", "k2", places(F.col("clear"), F.col("terms")).alias("more")).dropDuplicates(["k1", "k2"])
+    nowhere = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    return out.join(more, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.array_sort(F.concat("base", F.coalesce("more", nowhere))).alias("spans"))
 
 
 def listed(spans) -> Column:

@@ -73,6 +73,22 @@ def test_terms_that_disclose_what_values_seen_once_share(spark, tmp_path):
         assert terms == ({list(said)[i // 100]} if i < 1000 else set())
 
 
+def test_terms_far_from_the_value_and_in_other_texts(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    fill = lambda n: " ".join(["the", *(word() for _ in range(n)), "and"])
+    rows = [(i, f"İ😀 Zanzibarian, {fill(40)} jo@secret.org {fill(40)} (ZANZIBARIAN) zanzibarian{word()}") for i in range(6)]
+    rows += [(20, f"{fill(5)} zanzibarian alone"), (21, f"{fill(5)} zanzibarian alone"), (21, None)] + [(100 + i, fill(12)) for i in range(200)]
+    got = pii.op9_pii(spark, folder(spark, tmp_path, rows)).collect()
+    assert len(got) == len(rows)
+    spans = {r["doc_id"]: r["spans"].split(",") for r in got if r["doc_id"] != 21}
+    for i, text in rows:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\b[Zz](?:anzibarian|ANZIBARIAN)\b", text or "")]
+        assert i == 21 or [x for x in spans[i] if x.startswith("term")] == want
+    safe = [r["text"] for r in pii.sanitised(docs(spark, rows)).collect()]
+    assert len(safe) == len(rows) and not any(re.search(r"zanzibarian\b|secret", x or "", re.I) for x in safe) and sum((x or "").count("[TERM]") for x in safe) == 14
+
+
 def test_sanitised_rows(spark):
     df = docs(spark)
     out = pii.sanitised(df)
