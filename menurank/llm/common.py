@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -16,18 +15,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset: on one machine (tests) below a temporary folder, on a
+    cluster an error, since executors wouldn't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="menurank-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/menurank-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written to the shared folder and read again: cuts lineage, survives lost executors. The shuffle files of the
+    write are deleted when it ends; an executor lost meanwhile costs recomputation from the last stored table."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._menurank_path = path
     return out
@@ -41,19 +52,6 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now rather than at some later collection."""
-    for _ in range(2):  # the first finds what the second may clean
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
-def parts(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
-    """Partitions for so many rows, about `each` in one."""
-    return max(least, -(-rows // each))
-
-
 def lowered(text):
     """Lower-case A-Z only, as the contracts ask."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,54 +89,74 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _mixed(n: int) -> np.ndarray:
-    """n fixed 64-bit numbers without pattern (splitmix)."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHasher:
-    """Texts to the 64-bit hashes of their words (see ascii_words), without making the words.
-
-    A word's hash is a polynomial over numbers that stand for its bytes. Sums over a text's beginnings give all words'
-    polynomials at once; the power at which a word begins is divided out (it is odd, so it has an inverse)."""
-
-    CHUNK = 1 << 20
-    BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-    def __init__(self):
-        self.numbers = _mixed(256)
-        self.space = np.zeros(256, bool)
-        self.space[[32, 9, 10, 11, 12, 13]] = True
-        self.numbers[self.space] = 0
-        self._grow(1 << 12)
-
-    def _grow(self, n: int) -> None:
-        power = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-        self.powers, self.inverses = power(self.BASE), power(self.INVERSE)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-        if len(raw) <= self.CHUNK:
-            return self._of(raw)
-        gaps = np.flatnonzero(self.space[raw])
-        cuts = np.unique(gaps[np.minimum(np.searchsorted(gaps, np.arange(self.CHUNK, len(raw), self.CHUNK)), len(gaps) - 1)]) if len(gaps) else []
-        return np.concatenate([self._of(x) for x in np.split(raw, cuts)])
-
-    def _of(self, raw: np.ndarray) -> np.ndarray:
-        n = len(raw)
-        if n > len(self.powers):
-            self._grow(2 * n)
-        word = np.zeros(n + 2, np.int8)
-        word[1:-1] = ~self.space[raw]
-        edge = np.diff(word)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.numbers[raw] * self.powers[:n], out=sums[1:])
-        x = (sums[end] - sums[start]) * self.inverses[start]
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch, column: str = "text", limit: int = SLICE_BYTES):
+    """An Arrow batch in slices whose texts have at most `limit` bytes together, or that are one row; so what a worker
+    makes of a batch is bounded by bytes, not by rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+        upto = max(at + 1, upto)
+        yield batch.slice(at, upto - at)
+        at = upto
+    pa.default_memory_pool().release_unused()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers without pattern."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (see ascii_words) of an Arrow column of texts, and where each text's words begin in
+    them (one number more than texts); null is a text without words.
+
+    A word's hash takes its length and then eight bytes after eight, each step one-to-one in these bytes: words of up
+    to eight bytes and equal length never collide, others as hashes of 64 bits do."""
+    import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
+
+    column = pa.concat_arrays([column.cast(pa.large_string()).fill_null("")])
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size, data = int(bounds[-1] - bounds[0]), column.buffers()[2]
+    raw = np.zeros(size + 8, np.uint8)
+    if size:
+        raw[:size] = _LOWER[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    inside = np.zeros(size + 2, bool)
+    inside[1:-1] = ~_SPACE[raw[:size]]
+    opens, closes = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cuts = bounds[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < size)]
+    opens[cuts] |= inside[1:-1][cuts]  # texts stand side by side, without a space
+    closes[cuts - 1] |= inside[1:-1][cuts - 1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    length = end - start
+    lanes = np.ndarray((size + 1,), np.uint64, raw, 0, (1,))
+    h = _mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = _mix(h ^ (lanes[start] & _MASKS[np.minimum(length, 8)]))
+    at, left = 8, np.flatnonzero(length > 8)
+    while len(left) and at < LONG_WORD:
+        h[left] = _mix(h[left] ^ (lanes[start[left] + at] & _MASKS[np.minimum(length[left] - at, 8)]))
+        at += 8
+        left = left[length[left] > at]
+    for i in left.tolist():
+        h[i] = xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return h, np.searchsorted(start, bounds)

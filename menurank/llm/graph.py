@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, release, stored
+from .common import forget, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,6 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for each node of an edge; component is the least node of its component. Loops and repeated
     edges do no harm; nulls are left out; no edges give no rows. Each step is written to the shared folder."""
-    spark = edges.sparkSession
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
     mark = None
     while True:
@@ -25,7 +24,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(_least(large), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(_least(large).select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         old, now = now, stored(small)
         forget(old)
-        release(spark)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (got["n"], got["h"]) == mark:
             break

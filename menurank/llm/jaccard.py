@@ -2,13 +2,17 @@
 
 1. Texts with equal sets are one class. Classes with the same size and the same prefix are one group.
 2. A prefix holds a set's first n - ceil(t*n) + 1 members in one global order, rare ones first: members that share a
-   prefix member only can reach the threshold t. The order is by counts over the whole corpus, kept in a table of
-   fixed size (counts of hash slots), then by hash; any order is right, this one keeps posting lists short.
+   prefix member only can reach the threshold t. The order is by counts over the whole corpus, kept in a table of hash
+   slots whose size follows the corpus, then by hash; any order is right, this one keeps posting lists short.
 3. Group pairs that share a prefix member and pass the filters by size and by place (which know how many prefix
-   members a group has alone) are expanded to classes and verified on whole sets. For components not every pair matters: first each group is checked against the most copied
-   group of each of its lists, its predecessor there, and each class against its group's first. Then only those pairs
-   are left whose classes are in different components by then; these are all verified. So no link between components
-   is missed, and a cluster of near copies costs about one check a member, not one a pair.
+   members a group has alone) are expanded to classes and verified on whole sets. For components not every pair matters:
+   first each group is checked against the most copied group of each of its lists, its predecessor there, and each class
+   against its group's first. Then only those pairs are left whose classes are in different components by then; these
+   are all verified. So no link between components is missed, and a cluster of near copies costs about one check a
+   member, not one a pair.
+
+A posting list that may be long (its slot's count tells) is dealt into blocks by a hash of the group; blocks' firsts are
+compared with each other, and what is left of a list is compared block against block. No list is ever in one task.
 """
 
 from __future__ import annotations
@@ -18,65 +22,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHasher, forget, release, stored, table
+from .common import forget, slices, stored, table, word_hashes
 from .graph import components
 
-SLOT_BITS, CHUNKS = 20, 64
-BROADCAST_IDS = 1_000_000  # 16 MB
+LEAST_BITS, MOST_BITS, CHUNKS = 20, 24, 64
+BLOCK = 2048  # groups of a posting list in one block, about
+BROADCAST_IDS = 1_000_000  # 16 MB; only the plan depends on it, not the result
 
 
-class Shingles:
-    """Text to the ascending array of its distinct n-grams' 64-bit hashes.
+def shingle_sets(column, width: int) -> list[np.ndarray]:
+    """For each text of an Arrow column the ascending array of its distinct n-grams' 64-bit hashes.
 
     Words are what ASCII white space parts, A-Z lower-cased. A text of fewer words has one n-gram of all of them; one
     without words has none.
     """
+    from xxhash import xxh3_64_intdigest
+
+    h, firsts = word_hashes(column)
+    n = max(0, len(h) - width + 1)
+    s = h[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(1, width):
+        s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
+    s = (s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    s ^= s >> np.uint64(30)
+    out = []
+    for a, b in zip(firsts.tolist(), firsts[1:].tolist()):
+        if b - a >= width:
+            out.append(np.unique(s[a : b - width + 1]))
+        else:
+            out.append(np.array([xxh3_64_intdigest(h[a:b].tobytes())], np.uint64) if b > a else h[:0])
+    return out
 
-    def __init__(self, width: int):
-        self.width, self.hashes = width, WordHasher()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
+def slot_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
+    """How many n-grams (a text counts once for an n-gram) fall in each of 2**bits hash slots, up to 2**32 - 1. Each task
+    adds up its own counts; sums are made in CHUNKS parts."""
 
-        h = self.hashes(text)
-        if len(h) < self.width:
-            return np.array([xxh3_64_intdigest(h.tobytes())], np.uint64) if len(h) else h
-        n = len(h) - self.width + 1
-        s = h[:n] * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(1, self.width):
-            s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
-        s = (s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return np.unique(s ^ (s >> np.uint64(30)))
+    def count(batches):
+        import pyarrow as pa
 
+        counts = np.zeros(1 << bits, np.uint32)
+        for big in batches:
+            for b in slices(big):
+                for s in shingle_sets(b.column("text"), width):
+                    np.add.at(counts, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+        chunks = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in counts.reshape(CHUNKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
 
-def slot_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """For each of 2**SLOT_BITS hash slots how common its n-grams are, 0 to 127, from counts over all texts (a text
-    counts once for an n-gram). Each task adds up its own counts, held to 255 a slot; sums are made in CHUNKS parts."""
+    each = (1 << bits) // CHUNKS
 
-    def count(batches):
+    def total(key, chunks):
         import pyarrow as pa
 
-        shingles, counts = Shingles(width), np.zeros(1 << SLOT_BITS, np.uint32)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                np.add.at(counts, (shingles(t) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), 1)
-        held = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in held], pa.binary())], ["chunk", "counts"])
+        sums = np.zeros(each, np.uint64)
+        for b in chunks:
+            for x in b.column("counts").to_pylist():
+                sums += np.frombuffer(pa.decompress(x, 4 * each, "zstd", asbytes=True), np.uint32)
+        held = np.minimum(sums, 2**32 - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    def total(chunk):
-        import pyarrow as pa
+    from collections.abc import Iterator
 
-        sums = np.zeros((1 << SLOT_BITS) // CHUNKS, np.int64)
-        for x in chunk.column("counts").to_pylist():
-            sums += np.frombuffer(x, np.uint8)
-        return pa.table({"chunk": chunk.column("chunk")[:1], "counts": pa.array([sums.tobytes()], pa.binary())}, schema=pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
+    import pyarrow as pa
 
+    total.__annotations__ = {"key": tuple[pa.Scalar, ...], "chunks": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     rows = texts.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
-    counts = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
-    for r in rows:  # 8 MB in all
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.ravel()
-    return np.minimum(127, 4 * counts // max(1, int(counts.mean()))).astype(np.uint8)
+    counts = np.zeros((CHUNKS, each), np.uint32)
+    for r in rows:  # 4 * 2**bits bytes in all, 64 MB at most
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+    return counts.ravel()
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """A byte for each slot, of count c: about 8 * log2(c + 1), rounded up; one table for order and for block numbers."""
+    return np.minimum(255, np.ceil(8 * np.log2(counts.astype(float) + 1))).astype(np.uint8)
+
+
+def blocks_of(levels: np.ndarray) -> np.ndarray:
+    """Into how many blocks lists of slots of these levels are dealt: lists of BLOCK groups or fewer into one."""
+    return np.ceil(2.0 ** (levels / 8.0) / BLOCK).astype(np.int32)
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -85,46 +109,52 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
     def make(batches):
         import pyarrow as pa
 
-        shingles = Shingles(width)
-        for b in batches:
-            got = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
-            offsets = np.cumsum([0, *map(len, got)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate([*got, np.zeros(0, np.int64)]))], ["doc_id", "members"])
+        for big in batches:
+            for b in slices(big):
+                got = shingle_sets(b.column("text"), width)
+                offsets = np.cumsum([0, *map(len, got)], dtype=np.int32)
+                members = np.concatenate([*got, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, members)], ["doc_id", "members"])
 
     return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, members array<long>")
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's 128-bit signature (two longs), its prefix in the global order, and where in that order the
-    prefix ends (as a long, of the level and 56 bits of the hash)."""
-    told = texts.sparkSession.sparkContext.broadcast(levels)  # 2**SLOT_BITS bytes
+    """doc_id, n, the set's 128-bit signature (two longs), its prefix in the global order, into how many blocks each
+    prefix member's list is dealt, and where in that order the prefix ends (a long of the level and 55 bits of the hash)."""
+    told = texts.sparkSession.sparkContext.broadcast(levels)  # a byte a slot
+    mask = np.uint64(len(levels) - 1)
 
     def make(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        shingles, levels = Shingles(width), told.value
-        for b in batches:
-            sizes, signs, heads, ends = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t)
-                n = len(s)
-                first = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.argsort(levels[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)], kind="stable")
-                sizes.append(n)
-                signs.append(xxh3_128_digest(s.tobytes()))
-                head = s[order[:first]]
-                heads.append(head.view(np.int64))
-                ends.append((int(levels[int(head[-1]) & ((1 << SLOT_BITS) - 1)]) << 56) + (int(head[-1]) >> 8) if first else -1)
-            sign = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
-            offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.ListArray.from_arrays(offsets, np.concatenate([*heads, np.zeros(0, np.int64)])), pa.array(ends, pa.int64())], ["doc_id", "n", "s1", "s2", "prefix", "last"])
-
-    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, prefix array<long>, last long")
+        levels = told.value
+        for big in batches:
+            for b in slices(big):
+                sizes, signs, heads, ends, dealt = [], [], [], [], []
+                for s in shingle_sets(b.column("text"), width):
+                    n = len(s)
+                    first = n - (percent * n + 99) // 100 + 1 if n else 0
+                    level = levels[(s & mask).astype(np.int64)]
+                    order = np.argsort(level, kind="stable")[:first]
+                    sizes.append(n)
+                    signs.append(xxh3_128_digest(s.tobytes()))
+                    heads.append(s[order].view(np.int64))
+                    dealt.append(blocks_of(level[order]))
+                    ends.append((int(level[order[-1]]) << 55) + (int(s[order[-1]]) >> 9) if first else -1)
+                sign = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
+                offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([*x, np.zeros(0, kind)])) for x, kind in ((heads, np.int64), (dealt, np.int32))]
+                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), *lists, pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "prefix", "dealt", "last"])
+
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, prefix array<long>, dealt array<int>, last long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold; a pair may come twice where a doc_id has several rows. Both
+    joins are plain, so that Spark may split the pairs of a hub."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     few = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -132,9 +162,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    out = stored(both.filter((100 + percent) * F.col("i") >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+    out = stored(both.filter((100 + percent) * F.col("i") >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
     forget(ids)
-    release(pairs.sparkSession)
     return out
 
 
@@ -158,53 +187,58 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     component_id is the least doc_id reachable. Null and empty texts have empty sets and are linked with nothing. Rows
     that share a doc_id are parts of one document: links of each count for all, if their sets aren't equal. Rows with
-    a null doc_id link to nothing and have no component. An empty table gives no rows. Other columns are ignored.
+    a null doc_id link to nothing and have no component. Texts of any length are read whole, in slices bounded by bytes.
+    An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = slot_levels(texts, width)
-    every = stored(prefixes(texts, width, percent, levels))
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("prefix", "doc_id").alias("prefix"), F.min("last").alias("last"))
+    bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 1))
+    every = stored(prefixes(texts, width, percent, coded(slot_counts(texts, width, bits))))
+    one = lambda c: F.min_by(c, "doc_id").alias(c)  # noqa: E731  equal in a class
+    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), one("prefix"), one("dealt"), F.min("last").alias("last"))
     classes = stored(classes.withColumn("head", F.xxhash64("prefix")))
-    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.min("last").alias("last")))
-    member = stored(classes.select("n", "head", "id").join(groups.select("n", "head", "g"), ["n", "head"]).select("id", "n", "g"))
-    release(spark)
-
-    # Posting lists of two or more groups, then what each group can share at all.
-    lists = W.partitionBy("token").orderBy("g")
-    posted = groups.select("g", "n", "copies", "last", (F.col("n") - F.size("prefix")).alias("tail"), F.posexplode("prefix").alias("at", "token"))
+    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.min("dealt").alias("dealt"), F.min("last").alias("last")))
+    member = stored(classes.select("n", "head", "prefix", "id").join(groups.select("n", "head", "prefix", "g"), ["n", "head", "prefix"]).select("id", "n", "g"))
+
+    # Blocks of posting lists of two or more groups (or of long lists), then what each group can share at all.
+    lists = W.partitionBy("token", "block").orderBy("g")
+    tail = (F.col("n") - F.size("prefix")).alias("tail")
+    posted = groups.select("g", "n", "copies", "last", tail, F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
+    posted = posted.select("g", "n", "copies", "last", "tail", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("g"), F.col("one.dealt")).cast("int").alias("block"))
     posted = posted.withColumn("before", F.lag("g").over(lists)).withColumn("after", F.lead("g").over(lists))
-    shared = stored(posted.filter("before is not null or after is not null").select("token", "g", "n", "copies", "last", "tail", "at"))
+    shared = stored(posted.filter("before is not null or after is not null or blocks > 1").drop("before", "after"))
     forget(groups)
-    release(spark)
     own = W.partitionBy("g")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own))
     place = F.struct("g", "n", "last", "tail", "at", "rank", "held")
-    lists = W.partitionBy("token").orderBy(F.desc("copies"), "n", "g")
-    ranked = ranked.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists)).withColumn("after", F.lead("g").over(lists))
-    old, shared = shared, stored(ranked.filter("before is not null or after is not null").select("token", place.alias("own"), "first", "before"))
+    lists = W.partitionBy("token", "block").orderBy(F.desc("copies"), "n", "g")
+    ranked = ranked.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists))
+    old, shared = shared, stored(ranked.select("token", "blocks", "block", "copies", place.alias("own"), "first", "before"))
     forget(old)
-    release(spark)
 
-    def linked(to: str) -> DataFrame:
+    def linked(rows: DataFrame, to: str) -> DataFrame:
         ok = reachable("own", to, percent) & (F.col(f"{to}.g") != F.col("own.g"))
-        return shared.filter(F.col(to).isNotNull() & ok).select(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b"))
+        return rows.filter(F.col(to).isNotNull() & ok).select(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b"))
 
+    heads = shared.filter("blocks > 1 and before is null").select("token", "copies", "own")  # a row for each block
+    heads = heads.withColumn("first", F.first("own").over(W.partitionBy("token").orderBy(F.desc("copies"), "own.n", "own.g")))
     spokes = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
-    some = stored(linked("first").union(linked("before")).union(spokes).distinct())
+    some = stored(linked(shared, "first").union(linked(shared, "before")).union(linked(heads, "first")).union(spokes).distinct())
     links = verified(some, texts, width, percent)
     found = stored(components(links))
 
     # Pairs whose classes are still in different components: lists that hold more than one, then classes of groups.
     known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
-    span = known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    spread = shared.select("token", "own.*").join(span, "g")
+    span = stored(known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")))
+    spread = shared.select("token", "blocks", "block", "own.*").join(span, "g")
     mixed = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
     open_ = stored(spread.join(mixed, "token"))
-    x, y = open_.alias("x"), open_.alias("y")
+    lesser = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "one")
+    greater = open_.withColumn("one", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "other")
+    x, y = lesser.alias("x"), greater.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.other") == F.col("y.other"))
+    once = (F.col("x.one") < F.col("x.other")) | (F.col("x.g") < F.col("y.g"))
     apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
-    ok = reachable("x", "y", percent)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & ok).select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"))
+    pairs = x.join(y, same & once & apart & reachable("x", "y", percent)).select(F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2"))
     inner = span.filter("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = stored(pairs.union(inner).distinct())
     one, two = known.select(F.col("g").alias("g1"), F.col("id").alias("i1"), F.col("c").alias("c1")), known.select(F.col("g").alias("g2"), F.col("id").alias("i2"), F.col("c").alias("c2"))
@@ -212,8 +246,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = stored(rest.join(some, ["a", "b"], "left_anti"))
     more = verified(rest, texts, width, percent)
     final = stored(components(links.union(more)))
-    forget(shared, open_, pairs, rest, some, links, more, found, known)
-    release(spark)
+    forget(shared, open_, pairs, rest, some, links, more, found, known, span, member)
 
     named = classes.select("n", "s1", "s2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("c"))
     out = every.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, fold, release, stored, table
+from .common import WordHashes, ascii_words, fold, stored, table
 
 FOLDS, HELD_OUT, DISCOUNTED = 7, 2, 5
 BATCH_CHARS, BATCH_DOCS, TABLE_KEYS, LEAST_TABLES = 8_000_000, 4096, 1_500_000, 16
@@ -278,7 +278,6 @@ def katz_scores(docs: DataFrame, train: str = "train") -> DataFrame:
                 yield from _send(one.column("batch")[0].as_py(), batch.words, n_words, counts).to_batches()
 
     words = stored(batches.mapInArrow(send_words, SENT).groupBy("part").applyInArrow(lambda rows: _answers(rows, 1, _count, True), BATCH))
-    release(spark)
 
     def send_pairs(rows):
         batch = Batch.of(rows, {1: np.uint64})
@@ -287,7 +286,6 @@ def katz_scores(docs: DataFrame, train: str = "train") -> DataFrame:
         return _send(rows.column("batch")[0].as_py(), keys, n_pairs, counts)
 
     pairs = stored(batches.groupBy("batch").applyInArrow(send_pairs, SENT).groupBy("part").applyInArrow(lambda rows: _answers(rows, 2, _count, True), BATCH))
-    release(spark)
     model = Model.of(_counts(words), _counts(pairs))
 
     def send_histories(rows):
@@ -313,7 +311,6 @@ def katz_scores(docs: DataFrame, train: str = "train") -> DataFrame:
 
     known = batches.unionByName(words.filter("batch >= 0")).unionByName(pairs.filter("batch >= 0"))
     histories = stored(known.groupBy("batch").applyInArrow(send_histories, SENT).groupBy("part").applyInArrow(lambda rows: _answers(rows, 3, weigh, False), BATCH))
-    release(spark)
 
     def score(rows):
         import pyarrow as pa

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, slices, table
 
 SLOTS, SAMPLE, FOLDS, KEEP_FROM = 1 << 18, 10_000, 5, 0.3
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 0.01, 0.01, 6
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
         import pyarrow as pa
 
         make = Features()
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             got = [make(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("at"), b.column("y"), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["at", "y", "slots", "values"])
 
@@ -120,7 +120,7 @@ def scored(df: DataFrame, weights: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         make, w = Features(), told.value.astype(np.float64)
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             got = [w[s] @ v + w[-1] for s, v in map(make, b.column("text").to_pylist())]
             p = 1 / (1 + np.exp(-np.clip(np.array(got, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= KEEP_FROM).astype(np.int32))], [*b.schema.names, "score", "predicted"])

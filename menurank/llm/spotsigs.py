@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, table
+from .common import WordHashes, slices, table
 
 PART_ROWS, MOST_PARTS = 2000, 20_000
 
@@ -128,7 +128,7 @@ def compared(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
         spots, schema = Spots(), pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
         held = None  # the row that waits for its next: part, id, text, signatures
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             out = []
             for part, guest, i, text in zip(b.column("part").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if guest and held is None:

@@ -4,7 +4,7 @@ import re
 import pytest
 from helpers import docs
 
-from menurank.llm import graph
+from menurank.llm import common, graph, jaccard
 from menurank.llm.jaccard import jaccard_classes
 
 
@@ -42,10 +42,12 @@ def test_hard_rows(spark):
     assert same(got(docs(spark), 4, 85), brute(texts(), 4, 85))
 
 
-@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80), (3, 60)])
-def test_near_copies_of_every_degree(spark, seed, percent):
+@pytest.mark.parametrize(("seed", "percent", "block"), [(1, 85, 2048), (2, 80, 3), (3, 60, 3)])
+def test_near_copies_of_every_degree(spark, monkeypatch, seed, percent, block):
+    """Also with posting lists dealt into blocks of about three groups."""
     from helpers import same
 
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
     rows, n = [], 0
@@ -78,3 +80,40 @@ def test_components_of_chains_and_stars(spark):
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{i: 200 for i in range(200, 260)}, 300: 300, 301: 300}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_words_of_one_pattern_do_not_collide(spark):
+    """Thue and Morse's words: a polynomial modulo 2**64 gives them equal hashes, whatever its odd base."""
+    from helpers import same
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, f"{a} {b} {a}{b} {b}{a} {a} x"), (2, f"{b} {a} {b}{a} {a}{b} {b} x"), (3, " ".join([a[:7], a[:8], a[:9]] * 3)), (4, " ".join([b[:7], b[:8], b[:9]] * 3))]
+    assert same(got(docs(spark, rows, False), 4, 85), brute(rows, 4, 85)) and [c for _, _, c in brute(rows, 4, 85)] == [1, 2, 3, 4]
+
+
+def test_word_hashes_are_one_for_each_word():
+    import pyarrow as pa
+    from helpers import texts
+
+    rng = random.Random(5)
+    some = [None, "", *(t for _, t in texts()), *("".join(rng.choice("aAb é\n\t\x1c😀") for _ in range(rng.randrange(60))) for _ in range(500)), "y" * 300, "Y" * 300, "y" * 301, "a\x00", "a"]
+    column = pa.array(["skipped", *some, "too"])[1:-1]
+    h, firsts = common.word_hashes(column)
+    known = {}
+    for t, a, b in zip(some, firsts, firsts[1:]):
+        words = common.ascii_words(t)
+        assert len(words) == b - a
+        for w, x in zip(words, h[a:b].tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known) > 500
+    assert len(common.word_hashes(pa.array([], pa.string()))[0]) == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    rows = ["x" * n for n in (0, 5, 3, 20, 1, 1, 0, 9)] + [None]
+    got = [b.column("text").to_pylist() for b in common.slices(pa.RecordBatch.from_pydict({"text": rows}), limit=9)]
+    assert [t for b in got for t in b] == rows and all(len(b) == 1 or sum(len(t or "") for t in b) <= 9 for b in got)
