@@ -28,24 +28,27 @@ BROADCAST_TERMS = 500_000
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # Runs are maximal; only those of 14 to 19 digits can be cards.
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without a match of this has none of the pattern; it is quick to test.
-MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 
 
-def located(text: Column, found: Column) -> Column:
-    """Places (s, e) of leftmost non-overlapping matches found in text, in code points.
+def located(text: Column, pattern: str) -> Column:
+    """Places and texts (s, e, m) of leftmost non-overlapping matches of pattern, in code points. The text is split once
+    at the matches; lengths before a match, summed up, give its place."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"))
 
-    The next match is the first place of its own string after the last match: an earlier place would have matched."""
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-
-    def step(acc, m):
-        at = F.call_function("locate", m, text, acc["at"])
-        return F.struct((at + F.length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct((at - 1).alias("s"), (at - 1 + F.length(m)).alias("e")))).alias("out"))
+    def step(acc, x):
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["m"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(found, F.struct(F.lit(1).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
 def digits(m: Column) -> Column:
@@ -73,9 +76,9 @@ def base_spans(text: Column) -> Column:
 
     def of(k: int, kind: str) -> Column:
         may = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(MAY[kind])
-        found = F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        spans = F.transform(located(text, found), lambda p: F.struct(p["s"].alias("s"), F.lit(k).alias("k"), p["e"].alias("e")))
-        return F.filter(spans, lambda p: passes(kind, F.substring(text, p["s"] + 1, p["e"] - p["s"])))
+        none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+        good = F.filter(F.when(may, located(text, PATTERNS[kind])).otherwise(none), lambda p: passes(kind, p["m"]))
+        return F.transform(good, lambda p: F.struct(p["s"].alias("s"), F.lit(k).alias("k"), p["e"].alias("e")))
 
     every = [of(k, kind) for k, kind in enumerate(KINDS[:4])]
     return F.array_sort(F.concat(*every))
@@ -132,34 +135,46 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, entity) pairs over the threshold. found: h (a text's hash), entities and words of each text with base
     spans, and empty arrays for others; texts: h and clear (the text without its base spans).
 
-    A term is with an entity in no more texts than it or the entity is in: what that bound rules out isn't paired."""
-    total = float(max(1, found.select("h").distinct().count()))
+    A term is with an entity in no more texts than it or the entity is in: what that bound rules out isn't paired. Of
+    equal texts each counts as one part of their number, so they count as one text though no text is moved."""
+    copies = found.groupBy("h").agg(F.count("*").alias("c"))
+    total = float(max(1, copies.count()))
+    repeated = stored(copies.filter("c > 1"))
     most_texts = lambda n_e: total ** (1 - THETA) * F.pow(n_e, F.lit(THETA)) * (1 + 1e-9)
-    seen = found.filter(F.size("entities") > 0)
-    held = seen.select("h", F.explode("entities").alias("entity")).distinct()
+    seen = stored(found.filter(F.size("entities") > 0).groupBy("h").agg(F.min("entities").alias("entities"), F.min("words").alias("words")))
+    held = seen.select("h", F.explode("entities").alias("entity"))
     held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
     bound = held.agg(most_texts(F.max("n_e")).alias("b")).first()["b"] or 0.0
-    near = seen.select("h", F.explode("words").alias("term")).distinct()
+    near = seen.select("h", F.explode("words").alias("term"))
     enough = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) >= THETA * F.log2(total / F.col("n_e"))
     # A term is in as many texts as it is in with entities, at least: this rules most out before all texts are counted.
     terms = stored(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
-    both = near.join(few(terms), "term").join(held, "h").filter(F.col("n_near") <= most_texts(F.col("n_e")))
-    joint = both.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    own = held.groupBy("h").agg(F.collect_list(F.struct("entity", "n_e")).alias("own"))  # a text's entities
+    near = seen.join(own, "h").select("own", F.explode("words").alias("term")).join(few(terms), "term")
+    pairs = near.select("term", "n_near", F.explode("own").alias("one")).select("term", "n_near", "one.entity", "one.n_e").filter(F.col("n_near") <= most_texts(F.col("n_e")))
+    joint = pairs.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
     joint = stored(joint.filter(enough(F.col("n_near"))))
-    words = texts.select("h", F.explode(found_words(F.col("clear"))).alias("term"))
-    counts = words.join(few(stored(joint.select("term").distinct())), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    wanted = stored(joint.select("term").distinct())
+    weighed = texts.join(few(repeated), "h", "left").select((1.0 / F.coalesce("c", F.lit(1))).alias("part"), F.explode(found_words(F.col("clear"))).alias("term"))
+    counts = among(weighed, wanted).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
     return joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity")
 
 
-def few(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+def few(rows: DataFrame) -> DataFrame:
+    """Narrow rows (a term or a hash and numbers), broadcast if they are so few that this is a bounded number of bytes."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+def among(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows whose term is one of terms, if these are few; else all rows, as counting them first moves less."""
+    return rows.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else rows
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (hashes of the row's id and text), base and spans (arrays of s, k, e) for each row of docs.
 
     Null texts count as empty and have no spans. Rows equal in id and text have equal spans. Base spans of different
-    kinds may overlap. An empty table gives no rows; other columns are ignored.
+    kinds may overlap. Very long texts are read whole. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keys = rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id")).withColumn("h", F.xxhash64("text"))
@@ -175,7 +190,10 @@ def all_spans(docs: DataFrame) -> DataFrame:
         return out.withColumn("spans", F.col("base"))
     told = clear.select("k1", "k2", F.explode(found_words(F.col("clear"))).alias("term")).join(few(terms), "term", "left_semi")
     told = stored(told.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")))
-    more = clear.select("k1", "k2", "clear").join(few(told), ["k1", "k2"]).select("k1", "k2", places(F.col("clear"), F.col("terms")).alias("more")).dropDuplicates(["k1", "k2"])
+    held = clear.select("k1", "k2", "clear")
+    if told.count() <= BROADCAST_TERMS:  # their keys take 16 bytes each; then only texts that hold terms are moved
+        held = held.join(F.broadcast(told.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    more = held.join(told.hint("merge"), ["k1", "k2"]).select("k1", "k2", places(F.col("clear"), F.col("terms")).alias("more")).dropDuplicates(["k1", "k2"])
     nowhere = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return out.join(more, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.array_sort(F.concat("base", F.coalesce("more", nowhere))).alias("spans"))
 
@@ -201,14 +219,14 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with every span in its texts replaced; columns, rows and null texts stay. n_chars follows the text."""
-    spans = all_spans(docs).filter(F.size("spans") > 0).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"])
-    keyed = docs.withColumn("_k1", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).withColumn("_k2", F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")), "doc_id"))
-    joined = keyed.join(spans, ["_k1", "_k2"], "left")
-    text = F.when(F.col("_spans").isNotNull(), replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    key = lambda text: (F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(7), text, "doc_id").alias("k2"))
+    spans = all_spans(docs).filter(F.size("spans") > 0).select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *key(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(spans, ["k1", "k2"], "left").select(F.when(F.col("spans").isNotNull(), replaced(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("new"), "row")
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_pii(spark, sf_dir):
