@@ -44,6 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """A small df that several steps of one operator read: kept by executors, made again where one is lost. Callers
+    unpersist it before they return."""
+    return df.persist()
+
+
+def drop(*frames: DataFrame) -> None:
+    for df in frames:
+        df.unpersist()
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what stored() wrote for these frames, which nothing reads any more."""
     for df in frames:

@@ -4,8 +4,8 @@
 2. A prefix holds a set's first n - ceil(t*n) + 1 members in one global order, rare ones first: members that share a
    prefix member only can reach the threshold t. The order is by counts over the whole corpus, kept in a table of hash
    slots whose size follows the corpus, then by hash; any order is right, this one keeps posting lists short.
-3. Group pairs that share a prefix member and pass the filters by size and by place (which know how many prefix
-   members a group has alone) are expanded to classes and verified on whole sets. For components not every pair matters:
+3. Group pairs that share a prefix member and pass the filters by size, by place (which know how many prefix members a
+   group has alone) and by sketch are expanded to classes and verified on whole sets. For components not every pair matters:
    first each group is checked against the most copied group of each of its lists, its predecessor there, and each class
    against its group's first. Then only those pairs are left whose classes are in different components by then; these
    are all verified. So no link between components is missed, and a cluster of near copies costs about one check a
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, slices, stored, table, word_hashes
+from .common import cached, drop, forget, slices, stored, table, word_hashes
 from .graph import components
 
 LEAST_BITS, MOST_BITS, CHUNKS = 20, 24, 64
+SKETCH = 8  # longs
+ROUNDS, MANY = 2, 8
 BLOCK = 2048  # groups of a posting list in one block, about
 BROADCAST_IDS = 1_000_000  # 16 MB; only the plan depends on it, not the result
 
@@ -119,9 +121,16 @@ def sets_of(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, members array<long>")
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits: whether an odd number of members falls on each. Two sets' sketches differ in no more bits than
+    the sets in members, so sketches too different rule a pair out."""
+    odd = np.bincount((members >> np.uint64(50)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's 128-bit signature (two longs), its prefix in the global order, into how many blocks each
-    prefix member's list is dealt, and where in that order the prefix ends (a long of the level and 55 bits of the hash)."""
+    """doc_id, n, the set's 128-bit signature (two longs), its sketch, its prefix in the global order, into how
+    many blocks each prefix member's list is dealt, and where in that order the prefix ends (a long of the level and 55 bits of the hash)."""
     told = texts.sparkSession.sparkContext.broadcast(levels)  # a byte a slot
     mask = np.uint64(len(levels) - 1)
 
@@ -132,7 +141,7 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
         levels = told.value
         for big in batches:
             for b in slices(big):
-                sizes, signs, heads, ends, dealt = [], [], [], [], []
+                sizes, signs, sketches, heads, ends, dealt = [], [], [], [], [], []
                 for s in shingle_sets(b.column("text"), width):
                     n = len(s)
                     first = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -140,22 +149,23 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                     order = np.argsort(level, kind="stable")[:first]
                     sizes.append(n)
                     signs.append(xxh3_128_digest(s.tobytes()))
+                    sketches.append(sketch(s))
                     heads.append(s[order].view(np.int64))
                     dealt.append(blocks_of(level[order]))
                     ends.append((int(level[order[-1]]) << 55) + (int(s[order[-1]]) >> 9) if first else -1)
                 sign = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
                 offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, np.concatenate([*x, np.zeros(0, kind)])) for x, kind in ((heads, np.int64), (dealt, np.int32))]
-                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), *lists, pa.array(ends, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "prefix", "dealt", "last"])
+                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.ListArray.from_arrays(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH, np.concatenate(sketches)), *lists, pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "sketch", "prefix", "dealt", "last"])
 
-    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, prefix array<long>, dealt array<int>, last long")
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, sketch array<long>, prefix array<long>, dealt array<int>, last long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold; a pair may come twice where a doc_id has several rows. Both
     joins are plain, so that Spark may split the pairs of a hub."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = cached(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     few = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = sets_of(wanted, width)
@@ -163,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     out = stored(both.filter((100 + percent) * F.col("i") >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
-    forget(ids)
+    drop(ids)
     return out
 
 
@@ -179,7 +189,9 @@ def reachable(x: str, y: str, percent: int):
     after = F.when(c(x, "last") <= c(y, "last"), F.least(known(x), rest(y))).otherwise(F.least(rest(x), known(y)))
     most = 1 + after
     sizes = (100 * F.least(c(x, "n"), c(y, "n"))) >= percent * F.greatest(c(x, "n"), c(y, "n"))
-    return sizes & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n")))
+    unlike = sum((F.bit_count(F.get(c(x, "sketch"), F.lit(i)).bitwiseXOR(F.get(c(y, "sketch"), F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    close = F.coalesce((100 + percent) * unlike <= (100 - percent) * (c(x, "n") + c(y, "n")), F.lit(True))  # a group of several classes has no sketch
+    return sizes & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n"))) & close
 
 
 def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -194,27 +206,29 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 1))
     every = stored(prefixes(texts, width, percent, coded(slot_counts(texts, width, bits))))
     one = lambda c: F.min_by(c, "doc_id").alias(c)  # noqa: E731  equal in a class
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), one("prefix"), one("dealt"), F.min("last").alias("last"))
+    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), one("sketch"), one("prefix"), one("dealt"), F.min("last").alias("last"))
     classes = stored(classes.withColumn("head", F.xxhash64("prefix")))
-    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.min("dealt").alias("dealt"), F.min("last").alias("last")))
+    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.when(F.count("*") == 1, F.min("sketch")).alias("sketch"), F.min("dealt").alias("dealt"), F.min("last").alias("last")))
     member = stored(classes.select("n", "head", "prefix", "id").join(groups.select("n", "head", "prefix", "g"), ["n", "head", "prefix"]).select("id", "n", "g"))
 
     # Blocks of posting lists of two or more groups (or of long lists), then what each group can share at all.
     lists = W.partitionBy("token", "block").orderBy("g")
     tail = (F.col("n") - F.size("prefix")).alias("tail")
-    posted = groups.select("g", "n", "copies", "last", tail, F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
-    posted = posted.select("g", "n", "copies", "last", "tail", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("g"), F.col("one.dealt")).cast("int").alias("block"))
+    posted = groups.select("g", "n", "copies", "last", tail, "sketch", F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
+    posted = posted.select("g", "n", "copies", "last", "tail", "sketch", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("g"), F.col("one.dealt")).cast("int").alias("block"))
     posted = posted.withColumn("before", F.lag("g").over(lists)).withColumn("after", F.lead("g").over(lists))
     shared = stored(posted.filter("before is not null or after is not null or blocks > 1").drop("before", "after"))
     forget(groups)
     own = W.partitionBy("g")
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own))
-    place = F.struct("g", "n", "last", "tail", "at", "rank", "held")
+    place = F.struct("g", "n", "last", "tail", "sketch", "at", "rank", "held")
     lists = W.partitionBy("token", "block").orderBy(F.desc("copies"), "n", "g")
     ranked = ranked.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists))
     old, shared = shared, stored(ranked.select("token", "blocks", "block", "copies", place.alias("own"), "first", "before"))
     forget(old)
 
+    apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
+
     def linked(rows: DataFrame, to: str) -> DataFrame:
         ok = reachable("own", to, percent) & (F.col(f"{to}.g") != F.col("own.g"))
         return rows.filter(F.col(to).isNotNull() & ok).select(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b"))
@@ -222,31 +236,48 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     heads = shared.filter("blocks > 1 and before is null").select("token", "copies", "own")  # a row for each block
     heads = heads.withColumn("first", F.first("own").over(W.partitionBy("token").orderBy(F.desc("copies"), "own.n", "own.g")))
     spokes = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
-    some = stored(linked(shared, "first").union(linked(shared, "before")).union(linked(heads, "first")).union(spokes).distinct())
-    links = verified(some, texts, width, percent)
-    found = stored(components(links))
-
-    # Pairs whose classes are still in different components: lists that hold more than one, then classes of groups.
-    known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
-    span = stored(known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")))
-    spread = shared.select("token", "blocks", "block", "own.*").join(span, "g")
-    mixed = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    open_ = stored(spread.join(mixed, "token"))
+    tried = stored(linked(shared, "first").union(linked(shared, "before")).union(linked(heads, "first")).union(spokes).distinct())
+    links = verified(tried, texts, width, percent)
+    old = [shared, member, tried, links]
+
+    # Lists that hold several components. While they have many pairs for their rows, neighbours in a random order of
+    # each list are tried: groups with many links soon are one component, and their other pairs needn't be made.
+    for turn in range(ROUNDS + 1):
+        found = stored(components(links))
+        known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
+        span = cached(known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")))
+        spread = shared.select("token", "blocks", "block", "own.*").join(span, "g")
+        mixed = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
+        open_ = stored(spread.join(mixed, "token"))
+        old += [found, known, open_]
+        size = open_.groupBy("token").count().agg(F.sum("count").alias("rows"), F.sum(F.expr("count * (count - 1) / 2")).alias("pairs")).first()
+        if turn == ROUNDS or (size["pairs"] or 0) <= MANY * (size["rows"] or 0):
+            break
+        drop(span)
+        own = F.struct(*(c for c in open_.columns if c not in ("token", "blocks", "block")))
+        before = F.lag(own).over(W.partitionBy("token", "block").orderBy(F.xxhash64("g", "token", F.lit(turn))))
+        beside = open_.select(own.alias("x"), before.alias("y")).filter(apart & reachable("x", "y", percent))
+        more = stored(beside.select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        got = verified(more, texts, width, percent)
+        tried, links = tried.union(more), links.union(got)
+        old += [more, got]
+
+    # All pairs whose classes are still in different components, and classes of one group that are.
     lesser = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "one")
     greater = open_.withColumn("one", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "other")
     x, y = lesser.alias("x"), greater.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.other") == F.col("y.other"))
     once = (F.col("x.one") < F.col("x.other")) | (F.col("x.g") < F.col("y.g"))
-    apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
     pairs = x.join(y, same & once & apart & reachable("x", "y", percent)).select(F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2"))
     inner = span.filter("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = stored(pairs.union(inner).distinct())
+    pairs = cached(pairs.union(inner).distinct())
     one, two = known.select(F.col("g").alias("g1"), F.col("id").alias("i1"), F.col("c").alias("c1")), known.select(F.col("g").alias("g2"), F.col("id").alias("i2"), F.col("c").alias("c2"))
     rest = pairs.join(one, "g1").join(two, "g2").filter("c1 <> c2").select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).distinct()
-    rest = stored(rest.join(some, ["a", "b"], "left_anti"))
+    rest = cached(rest.join(tried, ["a", "b"], "left_anti"))
     more = verified(rest, texts, width, percent)
     final = stored(components(links.union(more)))
-    forget(shared, open_, pairs, rest, some, links, more, found, known, span, member)
+    forget(*old, more)
+    drop(pairs, rest, span)
 
     named = classes.select("n", "s1", "s2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("c"))
     out = every.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")

@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import cached, drop, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, THETA = 3, 0.8
 LETTERS = r"\p{L}{2,}+"
-BROADCAST_TERMS = 500_000
+BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 32 << 20  # only plans depend on these, not results
 
 # The contract's patterns, in forms that find the same matches but neither recurse nor try a run of characters twice:
 # a match begins where a run begins or where the last match ended.
@@ -139,35 +139,43 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     equal texts each counts as one part of their number, so they count as one text though no text is moved."""
     copies = found.groupBy("h").agg(F.count("*").alias("c"))
     total = float(max(1, copies.count()))
-    repeated = stored(copies.filter("c > 1"))
+    repeated = cached(copies.filter("c > 1"))
     most_texts = lambda n_e: total ** (1 - THETA) * F.pow(n_e, F.lit(THETA)) * (1 + 1e-9)
-    seen = stored(found.filter(F.size("entities") > 0).groupBy("h").agg(F.min("entities").alias("entities"), F.min("words").alias("words")))
+    seen = cached(found.filter(F.size("entities") > 0).groupBy("h").agg(F.min("entities").alias("entities"), F.min("words").alias("words")))
     held = seen.select("h", F.explode("entities").alias("entity"))
-    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
+    held = cached(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
     bound = held.agg(most_texts(F.max("n_e")).alias("b")).first()["b"] or 0.0
     near = seen.select("h", F.explode("words").alias("term"))
     enough = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) >= THETA * F.log2(total / F.col("n_e"))
     # A term is in as many texts as it is in with entities, at least: this rules most out before all texts are counted.
-    terms = stored(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
+    terms = cached(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
     own = held.groupBy("h").agg(F.collect_list(F.struct("entity", "n_e")).alias("own"))  # a text's entities
     near = seen.join(own, "h").select("own", F.explode("words").alias("term")).join(few(terms), "term")
     pairs = near.select("term", "n_near", F.explode("own").alias("one")).select("term", "n_near", "one.entity", "one.n_e").filter(F.col("n_near") <= most_texts(F.col("n_e")))
     joint = pairs.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    joint = stored(joint.filter(enough(F.col("n_near"))))
-    wanted = stored(joint.select("term").distinct())
+    joint = cached(joint.filter(enough(F.col("n_near"))))
+    wanted = cached(joint.select("term").distinct())
     weighed = texts.join(few(repeated), "h", "left").select((1.0 / F.coalesce("c", F.lit(1))).alias("part"), F.explode(found_words(F.col("clear"))).alias("term"))
     counts = among(weighed, wanted).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
-    return joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity")
+    out = stored(joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity"))
+    drop(repeated, seen, held, terms, joint, wanted)
+    return out
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Whether narrow rows (numbers, hashes, a term) are at most BROADCAST_TERMS, and their terms BROADCAST_BYTES."""
+    size = F.sum(F.octet_length("term")) if "term" in rows.columns else F.lit(0)
+    told = rows.agg(F.count("*").alias("n"), size.alias("b")).first()
+    return told["n"] <= BROADCAST_TERMS and (told["b"] or 0) <= BROADCAST_BYTES
 
 
 def few(rows: DataFrame) -> DataFrame:
-    """Narrow rows (a term or a hash and numbers), broadcast if they are so few that this is a bounded number of bytes."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+    return F.broadcast(rows) if is_small(rows) else rows
 
 
 def among(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows whose term is one of terms, if these are few; else all rows, as counting them first moves less."""
-    return rows.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else rows
+    return rows.join(F.broadcast(terms), "term", "left_semi") if is_small(terms) else rows
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -184,14 +192,16 @@ def all_spans(docs: DataFrame) -> DataFrame:
     listed_ = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", lambda span: entities(F.col("text"), span))))).otherwise(none)
     own = F.when(F.size("base") > 0, found_words(F.col("clear"))).otherwise(none)
     found = stored(clear.select("doc_id", "k1", "k2", "h", "base", listed_.alias("entities"), own.alias("words")))
-    terms = stored(disclosing(found, clear).select("term").distinct())
+    terms = cached(disclosing(found, clear).select("term").distinct())
     out = found.select("doc_id", "k1", "k2", "base")
     if terms.isEmpty():
+        drop(terms)
         return out.withColumn("spans", F.col("base"))
     told = clear.select("k1", "k2", F.explode(found_words(F.col("clear"))).alias("term")).join(few(terms), "term", "left_semi")
     told = stored(told.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")))
+    drop(terms)
     held = clear.select("k1", "k2", "clear")
-    if told.count() <= BROADCAST_TERMS:  # their keys take 16 bytes each; then only texts that hold terms are moved
+    if is_small(told.select("k1")):  # their keys take 16 bytes each; then only texts that hold terms are moved
         held = held.join(F.broadcast(told.select("k1", "k2")), ["k1", "k2"], "left_semi")
     more = held.join(told.hint("merge"), ["k1", "k2"]).select("k1", "k2", places(F.col("clear"), F.col("terms")).alias("more")).dropDuplicates(["k1", "k2"])
     nowhere = F.array().cast("array<struct<s:int,k:int,e:int>>")
