@@ -1,23 +1,34 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A slice of the corpus is split into pieces; its distinct pieces form one word list. An inverted index leads from each
-mergeable pair (by the rank of its bytes) to the places where it stands in that list. Merges are applied in rank
-order, each to all its places at once, and only the two neighbours of a merged place are indexed anew. Documents are
-then encoded by looking up their pieces. A slice is an Arrow batch, so encoding needs no shuffle and memory is bounded.
+1. Texts are split into pieces; each batch of texts sends its distinct pieces to the dictionary, which is dealt into
+   parts by a hash of the piece. So each distinct piece of the corpus is in one part, however often it occurs.
+2. A part lists its distinct pieces once. An inverted index leads from each mergeable pair (by the rank of its bytes) to
+   the places where it stands in that list. Merges are applied in rank order, each to all its places, and only the two
+   neighbours of a merged place are indexed anew. Every batch gets the ids of its pieces back.
+3. Batches meet their answers and are put together by looking pieces up.
+
+What moves is a batch's distinct pieces, their ids, and texts as numbers of pieces; no part or batch depends on how
+often a piece, text or source occurs.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from heapq import heappop, heappush
+from itertools import chain
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pack, slices, stored, table, unpack
 
-VOCABULARY, REMEMBERED = "byte_bpe_multi_50k.tiktoken", 300_000
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BATCH_CHARS, BATCH_DOCS, PART_DOCS = 8_000_000, 16_384, 20_000
+SIMPLE = 0x24F  # texts up to this code point are split by a pattern of plain classes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,14 +57,11 @@ def newer_letters() -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else r"(?!)"
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], merged: dict[tuple[int, int], int] | None = None) -> list[list[int]]:
-    """Ids of each word, as merging its lowest-ranked adjacent pair (the leftmost of equals) again and again gives.
-
-    merged remembers the rank of a pair of ids, -1 for none.
-    """
-    merged = {} if merged is None else merged
+def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Ids of each word, as merging its lowest-ranked adjacent pair (the leftmost of equals) again and again gives."""
     texts = _texts(ranks)
     single = [ranks[bytes([b])] for b in range(256)]
+    merged: dict[tuple[int, int], int] = {}  # ranks of pairs of ids, -1 for none: as many as the vocabulary allows
     ids: list[int] = []
     after: list[int] = []
     before: list[int] = []
@@ -87,25 +95,32 @@ def replay(words: list[bytes], ranks: dict[bytes, int], merged: dict[tuple[int,
             r = rank_of(ids[at], ids[at + 1])
             if r >= 0:
                 index(r, at)
+    starts.append(len(ids))
     while heap:
         r = heappop(heap)
+        wait = -1  # places before this one wait: their word has a pair of lower rank now
         for at in sorted(places.pop(r)):
+            if at < wait:
+                index(r, at)
+                continue
             b = after[at]
             if b < 0 or ids[at] < 0 or rank_of(ids[at], ids[b]) != r:
                 continue  # a neighbour's merge took part of this pair
             ids[at], ids[b] = r, -1
             c, a = after[b], before[at]
             after[at] = c
+            s = t = r
             if c >= 0:
                 before[c] = at
                 s = rank_of(r, ids[c])
                 if s >= 0:
                     index(s, at)
             if a >= 0:
-                s = rank_of(ids[a], r)
-                if s >= 0:
-                    index(s, a)
-    starts.append(len(ids))
+                t = rank_of(ids[a], r)
+                if t >= 0:
+                    index(t, a)
+            if 0 <= s < r or 0 <= t < r:
+                wait = starts[bisect_right(starts, at)]
     return [[i for i in ids[s:e] if i >= 0] for s, e in zip(starts, starts[1:])]
 
 
@@ -123,85 +138,217 @@ def _texts(ranks: dict[bytes, int]) -> list[bytes]:
     return got[1]
 
 
-class Encoder:
-    """Texts to ids and back. Keeps the ids of at most twice `remembered` pieces."""
+def plain_pattern(pattern: str, odd: str) -> str | None:
+    """pattern with its classes written out for code points up to SIMPLE, for Python's own engine; None if it has other
+    escapes than these."""
+    import re
+
+    import regex
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, odd: str = r"(?!)", remembered: int = REMEMBERED):
+    every = "".join(map(chr, range(SIMPLE + 1)))
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        name = re.match(r"\\[pP]\{[LN]\}|\\[sS]", pattern[at:])
+        if name:
+            negated = name.group()[1].isupper()
+            own = [x for x in regex.findall(f"\\{name.group()[1].lower()}{name.group()[2:]}", every) if not re.match(odd, x)]
+            if negated and inside:
+                return None
+            members = "".join(f"\\u{ord(x):04x}" for x in own)
+            out += members if inside else f"[{'^' * negated}{members}]"
+            at += len(name.group())
+            continue
+        if pattern[at] == "\\" or pattern[at : at + 2] == "(?" and pattern[at : at + 3] not in ("(?!", "(?=", "(?:"):
+            return None
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out += pattern[at]
+        at += 1
+    return out
+
+
+class Splitter:
+    """Texts to pieces, by the classes of tiktoken's edition of Unicode."""
+
+    def __init__(self, pattern: str, odd: str = r"(?!)"):
         import re
 
         import regex
 
-        self.ranks, self.texts, self.remembered = ranks, _texts(ranks), remembered
-        self.pattern, self.odd = regex.compile(pattern), re.compile(odd)
-        self.high = re.compile(f"[^\\0-{odd[1:11]}]" if odd[0] == "[" else r"(?!)")  # a quick test for most texts
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-
-    def split(self, text: str) -> list[str]:
-        if text.isascii() or not self.high.search(text) or not self.odd.search(text):
-            return self.pattern.findall(text)
+        plain = plain_pattern(pattern, odd)
+        self.pattern, self.odd, self.plain = regex.compile(pattern), re.compile(odd), plain and re.compile(plain)
+        self.beyond = re.compile(f"[^\\0-\\u{SIMPLE:04x}]")
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.plain and not self.beyond.search(text):
+            return [m.group() for m in self.plain.finditer(text)]
+        if not self.odd.search(text):
+            return [m.group() for m in self.pattern.finditer(text)]
         # A private code point is neither letter, number nor space in any edition.
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.odd.sub("\ue000", text))]
 
-    def learn(self, pieces: set[str]) -> None:
-        import struct
-
-        if len(self.new) + len(pieces) > self.remembered:
-            self.old, self.new = self.new, {}
-        if len(self.merged) > 1_000_000:
-            self.merged.clear()
-        unknown = []
-        for p in pieces:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    unknown.append(p)
-        for p, got in zip(unknown, replay([p.encode("utf-8", "surrogatepass") for p in unknown], self.ranks, self.merged), strict=True):
-            self.new[p] = struct.pack(f"<{len(got)}I", *got)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [self.split(t or "") for t in texts]
-        self.learn(set().union(*split))
-        known = self.new
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        import numpy as np
-
-        texts = self.texts
-        return b"".join([texts[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-
-def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", slice_rows: int = 256) -> DataFrame:
+
+class Numbers(dict):
+    """Pieces and their numbers, given as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
+def write_pieces(pieces: list[bytes]) -> bytes:
+    sizes = np.array(list(map(len, pieces)), np.uint32)
+    return len(head := pack(sizes)).to_bytes(8, "little") + head + pack(np.frombuffer(b"".join(pieces), np.uint8))
+
+
+def read_pieces(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    ends = np.cumsum(unpack(data[8 : 8 + n], np.uint32), dtype=np.int64).tolist()
+    text = unpack(data[8 + n :], np.uint8).tobytes()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each place, joined."""
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at += np.repeat(starts - (ends - sizes), sizes)
+    return values[at]
+
+
+class Speller:
+    """Ids to the bytes they stand for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        texts = _texts(ranks)
+        self.sizes = np.array(list(map(len, texts)), np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(texts), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return gathered(self.bytes, self.starts[ids], self.sizes[ids]).tobytes()
+
+
+OWN = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+ROW = "batch long, kind int, part int, pieces binary, ids binary, sizes binary, rest binary"
+
+
+def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", part_docs: int = PART_DOCS) -> DataFrame:
     """df without its text, with n_tokens, ids (little-endian 32-bit integers), ids_sha256 and decoded_sha256.
 
-    Every row is kept; null counts as the empty text, which has no ids. Clashing columns are replaced. The ranks go
-    to executors as one broadcast (about a megabyte, fixed by the vocabulary).
+    Every row is kept; null counts as the empty text, which has no ids; very long texts are encoded whole, in a batch of
+    their own. Repeated rows are encoded each. Clashing columns are replaced; an empty table gives none. The ranks go to
+    executors as one broadcast (about a megabyte, fixed by the vocabulary).
     """
     from pyspark.sql import types as T
 
-    own = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
-    df = df.drop(*own)
-    told = df.sparkSession.sparkContext.broadcast((ranks, pattern, newer_letters()))
-    keep = [f for f in df.schema.fields if f.name != text]
+    df = df.drop(*OWN)
+    spark, keep = df.sparkSession, [f for f in df.schema.fields if f.name != text]
+    told = spark.sparkContext.broadcast((ranks, pattern, newer_letters()))
+    parts = max(8, -(-df.count() // part_docs))
+
+    def batches(rows):
+        """(number, rows as an Arrow table, pieces of each text) of runs of rows of one partition."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        split, number = Splitter(*told.value[1:]), TaskContext.get().partitionId() << 32
+        held, pieces, chars = [], [], 0
+        for big in rows:
+            for b in slices(big, text):
+                held.append(b)
+                for t in b.column(text).to_pylist():
+                    pieces.append(split(t))
+                    chars += len(t or "")
+                if chars >= BATCH_CHARS or len(pieces) >= BATCH_DOCS:
+                    yield number, pa.Table.from_batches(held), pieces
+                    number, held, pieces, chars = number + 1, [], [], 0
+        if pieces:
+            yield number, pa.Table.from_batches(held), pieces
+
+    def row(batch, kind, part=0, pieces=None, ids=None, sizes=None, rest=None):
+        return {"batch": batch, "kind": kind, "part": part, "pieces": pieces, "ids": ids, "sizes": sizes, "rest": rest}
+
+    def schema():
+        import pyarrow as pa
+
+        return pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("pieces", "ids", "sizes", "rest"))])
+
+    def ask(rows):
+        import pyarrow as pa
+
+        for number, _, pieces in batches(rows):
+            dealt: list[list[bytes]] = [[] for _ in range(parts)]
+            for p in set(chain.from_iterable(pieces)):
+                raw = p.encode("utf-8", "surrogatepass")
+                dealt[crc32(raw) % parts].append(raw)
+            yield pa.RecordBatch.from_pylist([row(number, 1, i, write_pieces(sorted(own))) for i, own in enumerate(dealt) if own], schema())
 
-    def encode(batches):
+    def answer(asked):
         import pyarrow as pa
 
-        coder = Encoder(*told.value)
-        for big in batches:
-            for at in range(0, big.num_rows, slice_rows):
-                b = big.slice(at, slice_rows)
-                ids = coder.encode(b.column(text).to_pylist())
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([sha(x) for x in ids]), pa.array([sha(coder.decode(x)) for x in ids])]
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), *columns], [*(f.name for f in keep), *own])
+        lists = [read_pieces(x) for x in asked.column("pieces").to_pylist()]
+        words = sorted(set(chain.from_iterable(lists)))
+        known = dict(zip(words, replay(words, told.value[0]), strict=True))
+        out = []
+        for number, part, packed, own in zip(asked.column("batch").to_pylist(), asked.column("part").to_pylist(), asked.column("pieces").to_pylist(), lists):
+            ids = [known[p] for p in own]
+            out.append(row(number, 1, part, packed, pack(np.array(list(chain.from_iterable(ids)), np.uint32)), pack(np.array(list(map(len, ids)), np.uint32))))
+        return pa.Table.from_pylist(out, schema())
+
+    def body(rows):
+        import pyarrow as pa
+
+        for number, whole, pieces in batches(rows):
+            numbers = Numbers()
+            tokens = np.array([numbers[p] for p in chain.from_iterable(pieces)], np.int32)
+            order = np.argsort(-np.bincount(tokens, minlength=len(numbers)), kind="stable").astype(np.int32)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order), dtype=np.int32)  # small numbers for frequent pieces
+            listed = [p.encode("utf-8", "surrogatepass") for p in numbers]
+            sink = pa.BufferOutputStream()
+            rest = whole.drop_columns([text]).combine_chunks()
+            with pa.ipc.new_stream(sink, rest.schema) as out:
+                out.write_table(rest)
+            made = row(number, 0, 0, write_pieces([listed[i] for i in order.tolist()]), pack(rank[tokens]), pack(np.array(list(map(len, pieces)), np.int64)), pa.compress(sink.getvalue(), "zstd", asbytes=True))
+            yield pa.RecordBatch.from_pylist([made | {"part": sink.getvalue().size}], schema())
+
+    def finish(rows):
+        import pyarrow as pa
 
+        ranks, spell = told.value[0], Speller(told.value[0])
+        known, own = {}, None
+        for r in rows.to_pylist():
+            if r["kind"]:
+                ends = np.cumsum(unpack(r["sizes"], np.uint32), dtype=np.int64).tolist()
+                ids = unpack(r["ids"], np.uint32)
+                known.update((p, ids[a:b]) for p, a, b in zip(read_pieces(r["pieces"]), [0, *ends], ends))
+            else:
+                own = r
+        pieces = read_pieces(own["pieces"])
+        if lost := [p for p in pieces if p not in known]:  # only if a batch came out otherwise when it was made again
+            known.update((p, np.array(x, np.uint32)) for p, x in zip(lost, replay(lost, ranks), strict=True))
+        each = [known[p] for p in pieces]
+        sizes = np.array(list(map(len, each)), np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*each, np.zeros(0, np.uint32)])
+        tokens, at, columns = unpack(own["ids"], np.int32), 0, ([], [], [], [])
+        for n in unpack(own["sizes"], np.int64).tolist():
+            mine = tokens[at : at + n]
+            at += n
+            ids = gathered(flat, starts[mine], sizes[mine])
+            raw = ids.astype("<u4").tobytes()
+            for c, x in zip(columns, (len(ids), raw, hashlib.sha256(raw).hexdigest(), hashlib.sha256(spell(ids)).hexdigest()), strict=True):
+                c.append(x)
+        rest = pa.ipc.open_stream(pa.decompress(own["rest"], own["part"], "zstd")).read_all()
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.string())
+        for name, c, kind in zip(OWN, columns, kinds, strict=True):
+            rest = rest.append_column(name, pa.array(c, kind))
+        return rest
+
+    answers = stored(df.select(text).mapInArrow(ask, ROW).groupBy("part").applyInArrow(answer, ROW))
     kinds = [T.LongType(), T.BinaryType(), T.StringType(), T.StringType()]
-    return df.mapInArrow(encode, T.StructType([*keep, *(T.StructField(n, k) for n, k in zip(own, kinds, strict=True))]))
+    out = T.StructType([*keep, *(T.StructField(n, k) for n, k in zip(OWN, kinds, strict=True))])
+    return df.mapInArrow(body, ROW).unionByName(answers).groupBy("batch").applyInArrow(finish, out)
 
 
 def decoded(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -215,9 +362,9 @@ def decoded(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFra
     def decode(batches):
         import pyarrow as pa
 
-        coder = Encoder(told.value, "x")
+        spell = Speller(told.value)
         for b in batches:
-            got = [None if x is None else coder.decode(x) for x in b.column(ids).to_pylist()]
+            got = [None if x is None else spell(np.frombuffer(x, "<u4")) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(got, pa.binary())], [*(f.name for f in keep), "decoded"])
 
     return df.mapInArrow(decode, T.StructType([*keep, T.StructField("decoded", T.BinaryType())]))

@@ -171,3 +171,21 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     for i in left.tolist():
         h[i] = xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
     return h, np.searchsorted(start, bounds)
+
+
+def pack(array: np.ndarray) -> bytes:
+    """The array's size in bytes, then its first bytes, second bytes and so on, compressed."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, fold, stored, table
+from .common import WordHashes, ascii_words, fold, pack, stored, table, unpack
 
 FOLDS, HELD_OUT, DISCOUNTED = 7, 2, 5
 BATCH_CHARS, BATCH_DOCS, TABLE_KEYS, LEAST_TABLES = 8_000_000, 4096, 1_500_000, 16
@@ -31,31 +31,13 @@ BATCH = "batch long, kind int, part int, a binary, b binary, c binary, d binary"
 SENT = "part int, batch long, keys binary, x binary, y binary, z binary"
 
 
-def _pack(array: np.ndarray) -> bytes:
-    """The array's size in bytes, then its first bytes, second bytes and so on, compressed."""
-    import pyarrow as pa
-
-    planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    import pyarrow as pa
-
-    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
-
-
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Ascending hashes by their differences, which take some bits less."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 def _marks() -> tuple[int, int]:
@@ -67,9 +49,10 @@ def packed(docs: DataFrame) -> DataFrame:
     """Batches: a is the sorted hashes of its words and marks, b the places in a by falling frequency and then the tokens
     as places in that list, c the lengths of texts, d doc_id, whether it is null and whether the text is for training."""
 
-    def pack(batches):
+    def gather(batches):
         import pyarrow as pa
         from pyspark import TaskContext
+
         known = WordHashes()
         start, _ = _marks()
         number = TaskContext.get().partitionId() << 32
@@ -82,7 +65,7 @@ def packed(docs: DataFrame) -> DataFrame:
             order = np.argsort(-np.bincount(places), kind="stable").astype(np.int32)
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            cells = [_pack_keys(words), _pack(np.concatenate([order, rank[places[:-1]]])), _pack(lengths), _pack(about)]
+            cells = [_pack_keys(words), pack(np.concatenate([order, rank[places[:-1]]])), pack(lengths), pack(about)]
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], ["batch", "kind", "part", "a", "b", "c", "d"])
 
         for b in batches:
@@ -98,7 +81,7 @@ def packed(docs: DataFrame) -> DataFrame:
         if texts:
             yield flush()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(pack, BATCH)
+    return docs.select("doc_id", "text", "train").mapInArrow(gather, BATCH)
 
 
 @dataclass
@@ -116,10 +99,10 @@ class Batch:
         own, told = None, {k: [] for k in kinds}
         for kind, part, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("kind", "part", "a", "b", "c", "d")), strict=True):
             if kind == 0:
-                words, ranked = _unpack_keys(a), _unpack(b, np.int32)
-                own = words, ranked[: len(words)][ranked[len(words) :]], _unpack(c, np.int32), _unpack(d, np.int64).reshape(-1, 3)
+                words, ranked = _unpack_keys(a), unpack(b, np.int32)
+                own = words, ranked[: len(words)][ranked[len(words) :]], unpack(c, np.int32), unpack(d, np.int64).reshape(-1, 3)
             else:
-                told[kind].append((part, _unpack(a, kinds[kind])))
+                told[kind].append((part, unpack(a, kinds[kind])))
         joined = {k: np.concatenate([x for _, x in sorted(v, key=lambda x: x[0])]) if v else np.zeros(0, kinds[k]) for k, v in told.items()}
         return cls(*own, joined)
 
@@ -151,7 +134,7 @@ def _send(number: int, keys: np.ndarray, parts: int, *values: np.ndarray):
     import pyarrow as pa
 
     cut = _slices(keys, parts)
-    columns = [[_pack(v[s]) for _, s in cut] for v in values] + [[None] * len(cut)] * (3 - len(values))
+    columns = [[pack(v[s]) for _, s in cut] for v in values] + [[None] * len(cut)] * (3 - len(values))
     return pa.table([pa.array([p for p, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int64()), pa.array([_pack_keys(keys[s]) for _, s in cut], pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "batch", "keys", "x", "y", "z"])
 
 
@@ -164,7 +147,7 @@ def _answers(rows, kind: int, answer, counts_of_counts: bool):
     told, counts = answer(np.concatenate(keys), rows)
     ends = np.cumsum([0, *map(len, keys)])
     batches, part = rows.column("batch").to_pylist(), rows.column("part")[0].as_py()
-    out = [(b, kind, part, _pack(told[s:e])) for b, s, e in zip(batches, ends, ends[1:])]
+    out = [(b, kind, part, pack(told[s:e])) for b, s, e in zip(batches, ends, ends[1:])]
     if counts_of_counts:
         out.append((-1, kind, part, counts.astype(np.int64).tobytes()))
     empty = pa.nulls(len(out), pa.binary())
@@ -172,7 +155,7 @@ def _answers(rows, kind: int, answer, counts_of_counts: bool):
 
 
 def _joined(rows, column: str, kind) -> np.ndarray:
-    return np.concatenate([_unpack(x, kind) for x in rows.column(column).to_pylist()])
+    return np.concatenate([unpack(x, kind) for x in rows.column(column).to_pylist()])
 
 
 def _count(keys: np.ndarray, rows):

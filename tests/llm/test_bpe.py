@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -25,12 +26,38 @@ def test_like_the_library(ranks, library):
     kinds = [lambda: rng.randrange(32, 127), lambda: rng.randrange(1, 0x250), lambda: rng.randrange(0x250, 0xD800), lambda: rng.randrange(0xE000, 0x30000)]
     lines = ["".join(chr(rng.choice(kinds)()) for _ in range(rng.randrange(50))) for _ in range(3000)]
     lines += ["".join(rng.choice("aab cé\n'") for _ in range(rng.randrange(200))) for _ in range(1000)] + [t or "" for _, t in texts()]
-    coder = bpe.Encoder(ranks, P.PATTERN, bpe.newer_letters(), remembered=500)
-    for at in range(0, len(lines), 100):
-        some = lines[at : at + 100]
-        for t, ids in zip(some, coder.encode(some)):
-            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t)
-            assert coder.decode(ids) == t.encode()
+    split, spell = bpe.Splitter(P.PATTERN, bpe.newer_letters()), bpe.Speller(ranks)
+    words = sorted({p.encode() for t in lines for p in split(t)})
+    known = dict(zip(words, bpe.replay(words, ranks), strict=True))  # one list for all texts
+    for t in lines:
+        ids = [i for p in split(t) for i in known[p.encode()]]
+        assert ids == library.encode_ordinary(t) and spell(np.array(ids, int)) == t.encode()
+    assert split.plain and all([m.group() for m in split.plain.finditer(t)] == split.pattern.findall(t) for t in lines if not split.beyond.search(t))
+
+
+def test_lowest_rank_first_even_where_a_merge_makes_a_lower_one():
+    ranks = {bytes([b]): 100 + b for b in range(256)} | {b"xy": 20, b"ab": 21, b"abc": 5, b"cab": 6, b"abca": 7, b"aba": 8, b"bc": 9}
+    rng = random.Random(9)
+
+    def plain(w):
+        if w in ranks:
+            return [ranks[w]]
+        parts = [bytes([b]) for b in w]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    words = [bytes(rng.choice(b"aabbccxy") for _ in range(rng.randrange(1, 30))) for _ in range(5000)]
+    assert bpe.replay(words, ranks) == [plain(w) for w in words]
+
+
+@pytest.mark.parametrize(("docs_each", "chars"), [(1, 10), (10**6, 10**9)])
+def test_batches_and_parts_of_any_size(spark, ranks, library, monkeypatch, docs_each, chars):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", chars)
+    got = {(r["doc_id"], r["ids_sha256"]) for r in bpe.encoded(docs(spark).repartition(3), ranks, P.PATTERN, part_docs=docs_each).collect()}
+    ids = lambda t: struct.pack(f"<{len(x := library.encode_ordinary(t or ''))}I", *x)
+    assert got == {(i, hashlib.sha256(ids(t)).hexdigest()) for i, t in texts()}
 
 
 def test_rows(spark, ranks, library):
