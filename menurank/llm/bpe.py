@@ -266,6 +266,13 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
         if pieces:
             yield number, pa.Table.from_batches(held), pieces
 
+    def dealt(pieces: list[bytes], order=None) -> dict[int, list[int]]:
+        """Places of pieces by part of the dictionary, in order."""
+        out: dict[int, list[int]] = {}
+        for k in range(len(pieces)) if order is None else order:
+            out.setdefault(crc32(pieces[k]) % parts, []).append(k)
+        return out
+
     def row(batch, kind, part=0, pieces=None, ids=None, sizes=None, rest=None):
         return {"batch": batch, "kind": kind, "part": part, "pieces": pieces, "ids": ids, "sizes": sizes, "rest": rest}
 
@@ -278,11 +285,8 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
         import pyarrow as pa
 
         for number, _, pieces in batches(rows):
-            dealt: list[list[bytes]] = [[] for _ in range(parts)]
-            for p in set(chain.from_iterable(pieces)):
-                raw = p.encode("utf-8", "surrogatepass")
-                dealt[crc32(raw) % parts].append(raw)
-            yield pa.RecordBatch.from_pylist([row(number, 1, i, write_pieces(sorted(own))) for i, own in enumerate(dealt) if own], schema())
+            distinct = sorted(p.encode("utf-8", "surrogatepass") for p in set(chain.from_iterable(pieces)))
+            yield pa.RecordBatch.from_pylist([row(number, 1, i, write_pieces([distinct[k] for k in own])) for i, own in dealt(distinct).items()], schema())
 
     def answer(asked):
         import pyarrow as pa
@@ -293,7 +297,7 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
         out = []
         for number, part, packed, own in zip(asked.column("batch").to_pylist(), asked.column("part").to_pylist(), asked.column("pieces").to_pylist(), lists):
             ids = [known[p] for p in own]
-            out.append(row(number, 1, part, packed, pack(np.array(list(chain.from_iterable(ids)), np.uint32)), pack(np.array(list(map(len, ids)), np.uint32))))
+            out.append(row(number, 1, part, crc32(packed).to_bytes(4, "little"), pack(np.array(list(chain.from_iterable(ids)), np.uint32)), pack(np.array(list(map(len, ids)), np.uint32))))
         return pa.Table.from_pylist(out, schema())
 
     def body(rows):
@@ -317,20 +321,26 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
         import pyarrow as pa
 
         ranks, spell = told.value[0], Speller(told.value[0])
-        known, own = {}, None
-        for r in rows.to_pylist():
-            if r["kind"]:
-                ends = np.cumsum(unpack(r["sizes"], np.uint32), dtype=np.int64).tolist()
-                ids = unpack(r["ids"], np.uint32)
-                known.update((p, ids[a:b]) for p, a, b in zip(read_pieces(r["pieces"]), [0, *ends], ends))
-            else:
-                own = r
+        rows = rows.to_pylist()
+        own = next(r for r in rows if not r["kind"])
         pieces = read_pieces(own["pieces"])
-        if lost := [p for p in pieces if p not in known]:  # only if a batch came out otherwise when it was made again
-            known.update((p, np.array(x, np.uint32)) for p, x in zip(lost, replay(lost, ranks), strict=True))
-        each = [known[p] for p in pieces]
-        sizes = np.array(list(map(len, each)), np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*each, np.zeros(0, np.uint32)])
+        places = dealt(pieces, sorted(range(len(pieces)), key=pieces.__getitem__))  # as the batch asked for them
+        starts, sizes, flat, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)], 0
+
+        def tell(where, each, ids):
+            nonlocal end
+            sizes[where], starts[where] = each, end + np.cumsum(each) - each
+            flat.append(ids)
+            end += len(ids)
+
+        for r in (r for r in rows if r["kind"]):
+            where = places.get(r["part"], [])
+            if crc32(write_pieces([pieces[k] for k in where])).to_bytes(4, "little") == r["pieces"]:
+                tell(places.pop(r["part"]), unpack(r["sizes"], np.uint32).astype(np.int64), unpack(r["ids"], np.uint32))
+        if lost := list(chain.from_iterable(places.values())):  # only if a batch came out otherwise when it was made again
+            each = replay([pieces[k] for k in lost], ranks)
+            tell(lost, np.array(list(map(len, each)), np.int64), np.array(list(chain.from_iterable(each)), np.uint32))
+        flat = np.concatenate(flat)
         tokens, at, columns = unpack(own["ids"], np.int32), 0, ([], [], [], [])
         for n in unpack(own["sizes"], np.int64).tolist():
             mine = tokens[at : at + n]
