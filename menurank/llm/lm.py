@@ -339,7 +339,7 @@ def _sizes(found):
 def op7_katz(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(FOLDS) != HELD_OUT).alias("train"))
     out = katz_scores(docs)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op7_katz": op7_katz}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import lowered, table
 
-SLOTS, EPOCHS, RATE, BLOCK_ABOVE = 1024, 40, 1.0, 1.0  # log-odds from which a URL is blocked
+SLOTS, EPOCHS, RATE = 4096, 20, 1.0
+BLOCK_ABOVE = 0.0  # log-odds above which a URL is blocked: where the model finds junk likelier
 
 # The rules as (verdict, host, path).
 RULES = [
@@ -26,25 +27,44 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-# The labelled URLs, as (host, path); 1 is to be blocked.
-LABELLED = [
-    ("spam-farm.test", "/en/100", 1), ("www.spam-farm.test", "/fr/210", 1), ("spam-links.test", "/de/31", 1),
-    ("link-farm.test", "/es/512", 1), ("blog.link-farm.test", "/en/44", 1), ("cheap-pills.test", "/en/870", 1),
-    ("www.cheap-pills.test", "/de/9", 1), ("pills-online.test", "/fr/77", 1), ("cheap-meds.test", "/en/640", 1),
-    ("buy-cheap-viagra.test", "/es/18", 1), ("casino-bonus.test", "/en/300", 1), ("free-casino.test", "/de/720", 1),
-    ("online-poker-win.test", "/en/12", 1), ("free-prizes.test", "/win/now", 1), ("adult-cams.test", "/live/1", 1),
-    ("xxx-videos.test", "/hot/22", 1), ("hot-singles.test", "/en/5", 1), ("warez-download.test", "/crack/99", 1),
-    ("free-cracks.test", "/serial/7", 1), ("replica-watches.test", "/buy/3", 1), ("payday-loans.test", "/apply/now", 1),
-    ("seo-backlinks.test", "/cheap/41", 1), ("ads-click.test", "/track/8", 1), ("clickbait-farm.test", "/en/65", 1),
-    ("www.city-library.test", "/en/100", 0), ("blog.gardening.test", "/fr/210", 0), ("m.weather.test", "/de/31", 0),
-    ("news.tribune.test", "/es/512", 0), ("www.university.test", "/en/44", 0), ("docs.python-guide.test", "/en/870", 0),
-    ("history.museum.test", "/de/9", 0), ("recipes.kitchen.test", "/fr/77", 0), ("www.science-daily.test", "/en/640", 0),
-    ("blog.travelers.test", "/es/18", 0), ("m.bookreview.test", "/en/300", 0), ("www.school.test", "/de/720", 0),
-    ("forum.cycling.test", "/en/12", 0), ("wiki.astronomy.test", "/article/now", 0), ("www.parliament.test", "/bills/1", 0),
-    ("health.institute.test", "/topics/22", 0), ("www.theater.test", "/en/5", 0), ("blog.thread.test", "/posts/99", 0),
-    ("m.therapy.test", "/guide/7", 0), ("www.northern.test", "/about/3", 0), ("other.weather.test", "/en/8", 0),
-    ("thesis.archive.test", "/en/41", 0), ("www.orchestra.test", "/de/65", 0), ("therein.test", "/es/6", 0),
-]
+# Words that junk hosts and plain hosts are put together from.
+JUNK = """
+casino poker bets betting slots jackpot lottery prizes bingo roulette winner adult porn xxx sex cams singles escort nude pills meds
+viagra pharmacy steroid spam ads click track popup banner traffic seo backlinks links warez cracks keygen torrent replica payday loans
+cheap free win buy fake phishing malware hack farm
+""".split()
+PLAIN = """
+library garden weather tribune university guide museum kitchen science travel book school cycling astronomy parliament institute
+theater thread therapy northern archive orchestra hospital history geography mathematics chemistry biology railway bakery cinema
+concert football recipes language dictionary newspaper radio government council charity church village mountain harbor forest
+river ocean island bridge castle market painter poetry novel teacher student research engineer software hardware network
+database compiler journal review article letter notebook nation station education table cable stable clothing health earth
+month other mother brother winter printer letters season reason person union million region television version
+""".split()
+
+
+def _labelled() -> list[tuple[str, str, int]]:
+    """(host, path, label), 1 to be blocked: each word stands before two others of its kind, joined by a hyphen or not.
+    Both kinds have the same joints, sub-domains, reserved
+    domains and paths, so that these tell nothing."""
+    out = []
+    for words, label in ((JUNK, 1), (PLAIN, 0)):
+        for i, word in enumerate(words):
+            for step in (5, 17):
+                host = ("", "www.", "blog.", "m.")[(i + step) % 4] + word + ("-", "", "-")[i % 3] + words[(i + step) % len(words)] + (".test", ".example.com", ".example.net", ".example.org")[(i + i // 4) % 4]
+                out.append((host, ("/en/100", "/fr/210.html", "/de/31/", "/es/512", "/item/7", "/about/now")[i % 6], label))
+    return out
+
+
+LABELLED = [*_labelled(), ("", "", 0)]  # what has no host is no junk host
+
+
+def held_out(host: str) -> bool:
+    """Whether a labelled host is kept out of training, to measure on: a quarter, by hash."""
+    return host != "" and int(hashlib.md5(host.encode()).hexdigest()[:2], 16) % 4 == 0
+
+
+TRAINED = [row for row in LABELLED if not held_out(row[0])]
 
 
 def host_path(url):
@@ -97,7 +117,8 @@ def log_odds(host, path, weights: list[float]):
 
 
 def judged(pages: DataFrame, weights: list[float]) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row; repeated rows stay, null urls have empty host and path."""
+    """page_id, host, path, rule, verdict for each row; repeated rows stay, null urls have empty host and path, urls of any
+    length are read whole, other columns are ignored (host, path and so on too); an empty table gives none."""
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of("host", "path")
@@ -106,20 +127,25 @@ def judged(pages: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def op6_urls(spark, sf_dir):
-    labelled = spark.createDataFrame(LABELLED, "host string, path string, label int")
+    labelled = spark.createDataFrame(TRAINED, "host string, path string, label int")
     return judged(table(spark, sf_dir, "pages"), train(labelled))
 
 
-def plain_weights() -> list[float]:
-    """The same training written plainly, for the oracle."""
+def plain_slots(h: str, p: str) -> list[int]:
+    grams = []
+    for tag, t in (("h", f"^{h}$"), ("p", re.sub("[0-9]+", "0", p))):
+        grams += [tag + t[i : i + 3] for i in range(len(t) - 2)] or [tag + t]
+    return sorted({int(hashlib.md5(g.encode()).hexdigest()[:4], 16) % SLOTS for g in grams})
+
 
-    def where(h, p):
-        grams = []
-        for tag, t in (("h", f"^{h}$"), ("p", re.sub("[0-9]+", "0", p))):
-            grams += [tag + t[i : i + 3] for i in range(len(t) - 2)] or [tag + t]
-        return sorted({int(hashlib.md5(g.encode()).hexdigest()[:4], 16) % SLOTS for g in grams})
+def plain_log_odds(h: str, p: str, w: list[float]) -> float:
+    s = plain_slots(h, p)
+    return (w[SLOTS] + sum(w[i] for i in s)) / math.sqrt(len(s))
 
-    rows = sorted((hashlib.md5(f"{h}/{p}".encode()).hexdigest(), y, where(h, p)) for h, p, y in LABELLED)
+
+def plain_weights() -> list[float]:
+    """The same training written plainly, for the oracle."""
+    rows = sorted((hashlib.md5(f"{h}/{p}".encode()).hexdigest(), y, plain_slots(h, p)) for h, p, y in TRAINED)
     w = [0.0] * (SLOTS + 1)
     for _ in range(EPOCHS):
         for _, y, s in rows:
