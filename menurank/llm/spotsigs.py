@@ -1,18 +1,21 @@
 """Document fingerprints by spot signatures: chains of content words that follow anchors (very common words).
 
 A fingerprint is the set of a text's signatures, written as ascending 8-digit hex numbers. Likeness is the Jaccard
-similarity of two sets; sets whose lengths alone rule out a threshold are never compared.
+similarity of two sets. near_pairs() finds all pairs of different sets from a threshold: sets are partitioned by length so
+that each can only match its own partition and the next; inverted lists in a partition hold the rarest signatures of
+each set; what they bring together is compared, if lengths and the rest of the lists don't rule it out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, slices, table
+from .common import WordHashes, slices, stored, table
 
 PART_ROWS, MOST_PARTS = 2000, 20_000
 
@@ -147,6 +150,65 @@ def compared(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return with_next(rows, "doc_id", part_rows).mapInArrow(compare, SCHEMA)
 
 
+LEAST, LIST_ROWS = 0.8, 2048
+
+
+def signature_sets(docs: DataFrame) -> DataFrame:
+    """doc_id and the ascending array of its signatures, for each row; null texts count as empty."""
+
+    def make(batches):
+        import pyarrow as pa
+
+        spots = Spots()
+        for b in (x for big in batches for x in slices(big)):
+            got = [spots(t or "").astype(np.int64) for t in b.column("text").to_pylist()]
+            offsets = np.cumsum([0, *map(len, got)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, np.concatenate([*got, np.zeros(0, np.int64)]))], ["doc_id", "sigs"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(make, "doc_id long, sigs array<long>")
+
+
+def near_pairs(docs: DataFrame, least: float = LEAST, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members has doc_id and class_id, the least doc_id with an equal set; pairs has a, b (class ids,
+    a < b) and likeness, for all classes of different sets from `least` on.
+
+    Rows without doc_id or signatures are in no class. Copies stay one class and are never paired off. Texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows. Inverted lists of more than
+    list_rows sets are dealt into blocks and compared block against block, so none is ever in one task.
+    """
+    sets = stored(signature_sets(docs).filter("doc_id is not null and size(sigs) > 0"))
+    keyed = sets.withColumn("k", F.struct(F.xxhash64("sigs"), F.xxhash64(F.lit(5), "sigs"), F.size("sigs")))
+    named = keyed.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.min("sigs").alias("sigs"))
+    members = keyed.select("doc_id", "k").join(named.select("k", "class_id"), "k").select("doc_id", "class_id")
+    n = F.size("sigs")
+    # Lengths n and n' >= n can match only if n >= least * n', so at most one partition (a factor of 1 / least) apart.
+    part = F.floor(F.log(n.cast("double")) / math.log(1 / least) + 1e-9).cast("int") if least < 1 else n
+    classes = stored(named.select("class_id", "sigs", n.alias("n"), part.alias("part")))
+    places = classes.select("class_id", "n", "part", F.explode("sigs").alias("sig"))
+    common = places.groupBy("sig").agg(F.count("*").alias("c"))
+    order = F.array_sort(F.collect_list(F.struct("c", "sig")))
+    first = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    heads = places.join(common.filter("c > 1"), "sig").groupBy("class_id", "n", "part").agg(order.alias("shared"))
+    # A signature of one set only brings nothing together: such ones are the rarest and come first in a prefix.
+    own = F.col("n") - F.size("shared")
+    heads = heads.withColumn("shared", F.slice("shared", 1, F.greatest(F.lit(0), first - own)))
+    lists = stored(heads.select("class_id", "n", "part", F.explode("shared").alias("s")).select("class_id", "n", "part", "s.sig", F.ceil(F.col("s.c") / list_rows).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    here = lists.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
+    there = lists.withColumn("y", block).withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("part", F.explode(F.array(F.col("part"), F.col("part") - 1)))
+    a, b = here.alias("a"), there.alias("b")
+    same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    rising = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.class_id") < F.col("b.class_id")))
+    fits = F.col("a.n") >= least * F.col("b.n") - 1e-9
+    found = a.join(b, same & rising & fits).select(F.col("a.class_id").alias("one"), F.col("b.class_id").alias("two")).distinct()
+    whole = lambda name, s: classes.select(F.col("class_id").alias(name), F.col("sigs").alias(s))
+    both = found.join(whole("one", "p"), "one").join(whole("two", "q"), "two").withColumn("i", F.size(F.array_intersect("p", "q")))
+    likeness_ = F.col("i") / (F.size("p") + F.size("q") - F.col("i"))
+    pairs = both.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"), likeness_.alias("likeness")).filter(F.col("likeness") >= least - 1e-12)
+    return members, pairs
+
+
 def op10_spotsigs(spark, sf_dir):
     return compared(table(spark, sf_dir, "documents"))
 

@@ -40,3 +40,48 @@ def test_scores_do_not_see_other_columns(spark):
     rows = docs(spark, extra=False)
     changed = rows.withColumn("doc_id", F.lit(5)).withColumn("source", F.lit("z")).withColumn("lang", F.lit("z"))
     assert sorted(r["score"] for r in quality.scored(rows, w).collect()) == sorted(r["score"] for r in quality.scored(changed, w).collect())
+
+
+def plain_features(text):
+    """Counts by slot, with Python's own numbers."""
+    import math
+    import re
+
+    m, tokens = 2**64, re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or "")
+    one = [zlib.crc32(t.lower().encode()) for t in tokens]
+    two = [(a * 0x9E3779B97F4A7C15 % m) ^ (b * 0xC2B2AE3D27D4EB4F % m) for a, b in zip(one, one[1:])]
+    often = [(min(15, int(math.log2(two.count(x)))) + 0xABCDEF01) * 0xD6E8FEB86659FD93 % m for x in two]
+    out = {}
+    for x in [o * 0xFF51AFD7ED558CCD % m for o in one] + two + often:
+        slot = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % m >> 40) % quality.SLOTS
+        out[slot] = out.get(slot, 0) + 1
+    length = math.sqrt(sum(v * v for v in out.values())) or 1
+    return {s: v / length for s, v in out.items()}
+
+
+def test_scores_like_plain_follow_the_regularised_leader(spark, tmp_path):
+    import math
+
+    labels = [(1, 1, 0), (6, 0, 0), (7, 0, 0), (9, 1, 0), (11, 0, 1), (12, 1, 0), (2, 1, 0), (4, 0, 0)]
+    got = {(r["doc_id"], r["score"]) for r in quality.op5_quality(spark, folder(spark, tmp_path, labels=labels)).collect()}
+    learnt = quality.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    known = {r["doc_id"]: (r["at"], r["y"]) for r in learnt}
+    made = lambda t: sorted(plain_features(t).items())
+    rows = [(known[i][0], np.array([s for s, _ in made(t)], np.int32).tobytes(), made(t), known[i][1]) for i, t in texts() if i in known]
+    z, n = {}, {}
+
+    def weight(s):
+        if abs(z.get(s, 0)) <= quality.L1:
+            return 0.0
+        return -(z[s] - math.copysign(quality.L1, z[s])) / ((quality.BETA + math.sqrt(n[s])) / quality.ALPHA + quality.L2)
+
+    p = lambda x: 1 / (1 + math.exp(-sum(weight(s) * v for s, v in x)))
+    for _ in range(quality.PASSES):
+        for _, _, x, y in sorted(rows, key=lambda r: r[:2]):
+            x = [*x, ("bias", 1.0)]
+            g = p(x) - y
+            for s, v, w in [(s, v, weight(s)) for s, v in x]:
+                z[s] = z.get(s, 0) + g * v - (math.sqrt(n.get(s, 0) + (g * v) ** 2) - math.sqrt(n.get(s, 0))) / quality.ALPHA * w
+                n[s] = n.get(s, 0) + (g * v) ** 2
+    assert sum(w != 0 for w in map(weight, z)) > 20
+    assert len(got) >= 10 and all(any(abs(s - p([*made(t), ("bias", 1.0)])) < 2e-4 for j, t in texts() if j == i) for i, s in got)

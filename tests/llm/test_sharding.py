@@ -62,3 +62,32 @@ def test_each_place_is_as_likely(spark):
         for r in S.hypergeometric_shards(spark.range(400).toDF("x"), 4, block_rows=100, seed=seed).collect():
             hits[r["x"] < 200, r["shard"]] += 1
     assert all(abs(hits[h, s] - 400) < 90 for h in (True, False) for s in range(4))
+
+
+def test_law_adds_up_and_is_right():
+    from math import comb
+
+    for good, bad, drawn in ((12, 18, 10), (300, 5, 200), (7, 1, 3)):
+        first, p = S.law(good, bad, drawn)
+        want = [comb(good, first + i) * comb(bad, drawn - first - i) / comb(good + bad, drawn) for i in range(len(p))]
+        assert max(abs(a - b) for a, b in zip(p, want)) < 1e-12 and abs(sum(want) - 1) < 1e-12
+    first, p = S.law(10**11 // 24, 10**11 - 10**11 // 24, 250_000)
+    k = first + sum(i * x for i, x in enumerate(p))
+    assert abs(p.sum() - 1) < 1e-9 and abs(k - 250_000 / 24) < 1e-3
+
+
+def test_placement_like_plain_python(spark):
+    """Blocks, orders and counts as the method says them, written plainly over the same hashes."""
+    df = spark.range(900).select((F.col("id") % 700).alias("x"), (F.col("id") % 3).cast("string").alias("_block"))
+    row = F.struct("x", "_block")
+    rows = [tuple(r) for r in df.select("x", "_block", *(F.xxhash64(F.lit(5 + n), row) for n in range(3))).collect()]
+    blocks = max(1, -(-900 // 100), min(64, 900 // 500))
+    by = {b: sorted((r for r in rows if r[2] % blocks == b), key=lambda r: (r[3], r[:2])) for b in range(blocks)}
+    matrix = S.communication_matrix([len(by[b]) for b in range(blocks)], S.shard_sizes(900, 4), 5)
+    shards = {s: [] for s in range(4)}
+    for b in range(blocks):
+        took = iter(by[b])
+        for s, n in enumerate(matrix[b]):
+            shards[s] += [next(took) for _ in range(n)]
+    want = sorted((r[0], r[1], s, i) for s, own in shards.items() for i, r in enumerate(sorted(own, key=lambda r: ((r[4] % 2**64) >> 1, r[4], r[:2]))))
+    assert want == sorted(map(tuple, S.hypergeometric_shards(df, 4, block_rows=100, seed=5).collect()))
