@@ -87,7 +87,7 @@ def test_near_pairs_like_brute_force(spark, least, list_rows):
     words = [f"w{i}" for i in range(60)]
     rows = [(i + 1000, t) for i, t in enumerate(["", None, "the", "only content words"])] + [(None, "the fox of hill and lake")]
     for g in range(12):
-        base = [rng.choice([*words, "the", "of", "and"]) for _ in range(rng.randrange(60, 260))]
+        base = [rng.choice([*words, *["the", "of", "and"] * 6]) for _ in range(rng.randrange(60, 260))]
         for k in range(12):
             t = list(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
