@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import drop, cached, pack, stored, table, unpack
 
-TOP, SCALE, EVERY, LEVELS = 5, 256, 50, 256
-BLOCK_ROWS, QUERY_ROWS = 8192, 65_536
-ROUNDS = (0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0)  # share of the postings taken by each round
+TOP, SCALE, EVERY, LEVELS = 5, 256, 50, 64
+BLOCK_ROWS, QUERY_ROWS = 32_768, 65_536
+ROUNDS = (0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0)  # share of the postings taken by each round
+MOST_BLIND = 8  # with more blocks, a search of one first is worth its cost
 BROADCAST_QUERIES = 1_000_000  # 16 MB; only the plan depends on it
 
 
@@ -33,7 +34,7 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray, docs: np.ndarray | None = None, levels: int = LEVELS):
         self.vectors = vectors
         self.n, self.d = vectors.shape
-        self.docs = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32) if docs is None else docs  # d lists of n
+        self.docs = np.argsort(vectors, axis=0, kind="stable").T.astype(np.intp) if docs is None else docs.astype(np.intp)  # d lists of n
         self.quantum = max(1, int(vectors.max(initial=0) - vectors.min(initial=0)) // levels)
         sorted_ = np.take_along_axis(vectors, self.docs.T, 0).T
         level = sorted_ // self.quantum
@@ -59,18 +60,19 @@ class ImpactIndex:
         by_most = np.argsort(-most, kind="stable")
         sizes = (self.end - self.begin)[by_most]
         taken = np.cumsum(sizes)
-        gathered, seen = np.zeros(self.n), np.zeros(self.n, np.int64)
-        done = 0
+        # One sum holds both what a vector has gathered and, times a step beyond any gathered sum, how often it was seen.
+        step = 2.0 ** np.ceil(np.log2(2.0 * float(np.abs(most).max(initial=0)) * self.d + 2))
+        both, done = np.zeros(self.n), 0
         for share in ROUNDS:
             stop = len(by_most) if share == 1.0 else int(np.searchsorted(taken, share * taken[-1])) + 1
             now = by_most[done:stop]
             if len(now):
                 docs = np.concatenate([self.docs[d, b:e] for d, b, e in zip(self.dim[now].tolist(), self.begin[now].tolist(), self.end[now].tolist())])
-                gathered += np.bincount(docs, np.repeat(most[now], self.end[now] - self.begin[now]), self.n)
-                seen += np.bincount(docs, minlength=self.n)
+                both += np.bincount(docs, np.repeat(most[now] + step, self.end[now] - self.begin[now]), self.n)
             done = max(done, stop)
             left = most[by_most[done]] if done < len(by_most) else 0.0
-            bound = gathered + left * (self.d - seen)
+            seen = np.rint(both / step)
+            bound = both - step * seen + left * (self.d - seen)
             bound[own] = -np.inf
             best = np.argpartition(-bound, k - 1)[:k]
             least = max(floor, (self.vectors[best] @ query).min())  # k exact scores: the k-th best is no less
@@ -85,7 +87,8 @@ class ImpactIndex:
 
 def exact_in_float(vectors: np.ndarray, queries: np.ndarray) -> bool:
     most = lambda m: 2 * float(np.abs(m.astype(float)).max(initial=0)) + 1  # noqa: E731  a segment's bound may be a level beyond
-    return most(vectors) * most(queries) * max(1, vectors.shape[1]) < 2.0**53
+    d = max(1, vectors.shape[1])
+    return 8 * most(vectors) * most(queries) * d * d < 2.0**53  # sums of a step each, see ImpactIndex.search
 
 
 def plain_search(vectors, query, k, order, own):
@@ -171,7 +174,7 @@ def top_k(df: DataFrame, k: int = TOP, key: str = "vec_id", vector: str = "embed
     queries = cached(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(lots)).cast("int").alias("lot"), F.lit(None).cast("long").alias("floor")))
     there = F.array(*map(F.lit, range(blocks))) if blocks <= 100 else F.sequence(F.lit(0), F.lit(blocks - 1))
     asked = queries
-    if blocks > 1:  # a search of one block each tells a score that the result reaches
+    if blocks > MOST_BLIND:  # a search of one block each tells a score that the result reaches
         home = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(blocks)).cast("int"))
         best = W.partitionBy("query_id").orderBy(F.desc("score"))
         floors = searched(index, home, k, blocks * lots).withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", F.col("score").alias("floor"))

@@ -22,7 +22,7 @@ def test_like_brute_force(spark):
     rows = [(i, [rng.choice([rng.gauss(0, 0.3), 0.0, 0.25]) for _ in range(12)]) for i in range(500)]
     rows += [(1000 + i, rows[i][1]) for i in range(60)] + [(None, [1.0] * 12), (3000, None), (3001, [None] + [0.0] * 11), (3050, [float("nan")] * 12), (3100, [float("inf")] * 12), (3150, [0.5] * 7), (3200, []), (10, [9.0] * 12), (10, [9.0] * 12), *([(77, [1.0] * 12)] * 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("block", F.lit(1))
-    got = [tuple(r) for r in top_k(df, 5, every=10, block_rows=90, query_rows=7).collect()]
+    got = [tuple(r) for r in top_k(df, 5, every=10, block_rows=50, query_rows=7).collect()]
     assert same(got, brute(rows, 5, 10))
 
 
