@@ -3,9 +3,6 @@
 # Columns of the cleaned table, in order.
 CLEAN_COLUMNS = ["date", "school_name", "meal_type", "dishes", "menu_text", "allergy_codes", "calories", "carbs_g", "protein_g", "fat_g", "dish_count"]
 
-# Names of the allergy codes 1 to 19.
-ALLERGENS = ["난류", "우유", "메밀", "땅콩", "대두", "밀", "고등어", "게", "새우", "돼지고기", "복숭아", "토마토", "아황산류", "호두", "닭고기", "쇠고기", "오징어", "조개류", "잣"]
-
 # Menu classes and their keywords, in order.
 MENU_TYPES = {
     "밥": ["밥", "덮밥", "볶음밥", "비빔밥", "주먹밥"],

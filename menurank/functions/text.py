@@ -74,7 +74,7 @@ def first_number(x: Column) -> Column:
 
 
 def nutrient(x: Column, name: str) -> Column:
-    return F.regexp_extract(decoded(x), rf"(?iU){NUTRIENTS[name]}\s*\(g\)\s*:\s*({NUMBER.replace('(?:', '(?:')})", 1).try_cast("double")
+    return F.regexp_extract(decoded(x), rf"(?iU){NUTRIENTS[name]}\s*\(g\)\s*:\s*({NUMBER})", 1).try_cast("double")
 
 
 def compact_date(x: Column) -> Column:
@@ -85,6 +85,10 @@ def compact_date(x: Column) -> Column:
     return F.when(t.rlike(parts), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
 
 
+def without_hyphens(x: Column) -> Column:
+    return F.replace(x, F.lit("-"), F.lit(""))
+
+
 def csv_terms(x: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), stripped), lambda t: t != "")
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.rounding import round1
 from ..operators import kmeans, report, tfidf
 from ..operators import recommend as R
-from ..operators.clean import in_range, without_codes
+from ..operators.clean import cleaned, in_range, without_codes
 from ..schemas import RAW
 from ..sources import web
 from . import oracle as O
@@ -121,6 +121,38 @@ def excluded_count(spark, sf_dir):
     return clean_meals(spark, sf_dir).agg(F.count_if(F.arrays_overlap("allergy_codes", codes)).alias("excluded"))
 
 
+@query(f"with {RAW_SQL} select row_id, array_to_string(regexp_extract_all(NTR_INFO, '[가-힣]{{2,}}'), '|') as words from raw")
+def hangul_words(spark, sf_dir):
+    return raw_meals(spark, sf_dir).select(KEY, F.array_join(X.hangul_words(F.col("NTR_INFO")), "|").alias("words"))
+
+
+@query("select o_orderkey, replace(strftime(o_orderdate, '%Y-%m-%d'), '-', '') as compact from orders")
+def hyphen_removal(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", X.without_hyphens(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("compact"))
+
+
+@query("""select strftime(o_orderdate, '%Y-%m-%d') as day, case when o_custkey % 5 = 0 then null else o_orderpriority end as meal_type, count(*) as n from orders
+where o_custkey % 7 <> 0 and o_custkey % 11 <> 0 group by all""")
+def stored_answers(spark, sf_dir):
+    """Rows in stored answers of the web source: pages with rows, and some that say that there are none."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd").alias("MLSV_YMD"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority")).alias("MMEAL_SC_NM")
+    told = lambda code: F.struct(F.lit(code).alias("CODE"), F.lit("x").alias("MESSAGE"))
+    row = F.struct(day, kind)
+    whole = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(told(web.OK).alias("RESULT"))).alias("head"), F.lit(None).cast("array<struct<MLSV_YMD:string,MMEAL_SC_NM:string>>").alias("row")), F.struct(F.lit(None).cast("array<struct<RESULT:struct<CODE:string,MESSAGE:string>>>").alias("head"), F.array(row).alias("row"))).alias(web.MEALS)))
+    none = F.to_json(F.struct(told(web.NONE).alias("RESULT")))
+    key = F.col("o_custkey")
+    answers = t(spark, sf_dir, "orders").select(F.when((key % 7 == 0) | (key % 11 == 0), none).otherwise(whole).alias("answer"))
+    rows = web.unnested(answers, "answer", web.MEALS, RAW)
+    return rows.groupBy(F.col("MLSV_YMD").alias("day"), F.col("MMEAL_SC_NM").alias("meal_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {RAW_SQL} select row_id, MLSV_YMD from raw where row_id % 3 <> 0 and row_id % 5 <> 0")
+def incomplete_rejected(spark, sf_dir):
+    """Rows without a real date or a dish are rejected by cleaning."""
+    raw = raw_meals(spark, sf_dir).withColumn("MLSV_YMD", F.when(F.col(KEY) % 3 == 0, "19991399").otherwise(F.col("MLSV_YMD"))).withColumn("DDISH_NM", F.when(F.col(KEY) % 5 == 0, " <br/> (1.2)").otherwise(F.col("DDISH_NM")))
+    return cleaned(raw, (KEY,)).select(KEY, F.date_format("date", "yyyyMMdd").alias("MLSV_YMD"))
+
+
 # ---- keywords -------------------------------------------------------------------------------------------------------
 
 
@@ -282,10 +314,10 @@ def result_table(spark, sf_dir):
     return report.result_table(R.recommend(clean_meals(spark, sf_dir), KEY, SECOND, 3, RULES), KEY)
 
 
-@query("select name, true as passed from (select unnest(['in_range', 'has_reason', 'neutral']) as name)")
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, R.replace(PLAIN, spice_level=3), RULES, 'a', 10**12)} select unnest(['in_range', 'has_reason', 'neutral', 'top']) as name, unnest([bool_and(score between 0 and 100), bool_and(length(reason) > 0), bool_and(score <= 20), bool_and(score >= 20)]) as passed from a")
 def score_bounds(spark, sf_dir):
     rows = R.scored(clean_meals(spark, sf_dir), KEY, R.replace(PLAIN, spice_level=3), RULES)
-    return report.rule_checks(rows, {"in_range": F.col("score").between(0, 100), "has_reason": F.length("reason") > 0, "neutral": F.col("score") <= 20.0})
+    return report.rule_checks(rows, {"in_range": F.col("score").between(0, 100), "has_reason": F.length("reason") > 0, "neutral": F.col("score") <= 20.0, "top": F.col("score") >= 20.0})
 
 
 @query("select count_if(event_type = 'click')::bigint as passed, count_if(event_type <> 'click')::bigint as failed, round(sum(value), 2) as total_seconds from events")
@@ -305,10 +337,10 @@ def last_marked(spark, sf_dir):
     return report.marked_results(lines, "RESULT=", "k bigint").select(F.col("source").alias("user_id"), F.to_json("result").alias("props")).withColumn("props", F.replace("props", F.lit(":"), F.lit(": ")))
 
 
-@query("select doc_id, sha256(text) as sha, sha256(text) = sha256(text || '') as same, length(text)::int as n, substr(text, 1, 80) as head from documents")
+@query("select doc_id, sha256(text) as sha, length(text) = n_chars as same, length(text)::int as n, substr(text, 1, 80) as head from documents")
 def sha256_verify(spark, sf_dir):
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    return t(spark, sf_dir, "documents").select("doc_id", sha.alias("sha"), (sha == F.sha2(F.encode("text", "UTF-8"), 256)).alias("same"), F.length("text").alias("n"), F.substring("text", 1, 80).alias("head"))
+    return t(spark, sf_dir, "documents").select("doc_id", sha.alias("sha"), (F.length("text") == F.col("n_chars")).alias("same"), F.length("text").alias("n"), F.substring("text", 1, 80).alias("head"))
 
 
 @query("select url[: instr(url, '://') - 1] as scheme, page_id, 'page=' || page_id || '&q=a+b' as request from pages")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def snapshot(spark: SparkSession, path: str, school: str, least: int = 0) -> Dat
     return whole.select(F.inline("rows"))
 
 
+def read_once(rows: DataFrame) -> DataFrame:
+    """rows, read now and kept, so that a page that fails does so here, as a SourceError, and no page is asked for again
+    while its copy is there. A school's period is a few hundred rows."""
+    rows = rows.persist()
+    try:
+        rows.count()
+    except PySparkException as e:
+        rows.unpersist()
+        if told := re.search(r"SourceError: ([^\n]*)", str(e)):
+            raise SourceError(told[1]) from None
+        raise
+    return rows
+
+
 def meal_table(spark: SparkSession, school: str, start: str, end: str, fallback: str, fetch: Callable[[str, str, str], DataFrame], on_empty: str = "error") -> tuple[DataFrame, str]:
     """Cleaned meals and where they come from.
 
@@ -41,7 +57,7 @@ def meal_table(spark: SparkSession, school: str, start: str, end: str, fallback:
     if not wanted:
         raise ValueError("a school's name is needed")
     try:
-        live = cleaned(fetch(wanted, start, end))
+        live = read_once(cleaned(fetch(wanted, start, end)))
         if not live.isEmpty():
             return live, C.LIVE_LABEL
         if on_empty != "fallback":

@@ -119,8 +119,8 @@ def total_of(answer: dict, dataset: str) -> int | None:
 
 
 class Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, rows: list[dict] | None = None):
+        self.number, self.rows = number, rows
 
 
 class PagedReader(DataSourceReader):
@@ -137,10 +137,11 @@ class PagedReader(DataSourceReader):
         first = self.page(1)
         got, total = rows_of(first, self.options["dataset"]), total_of(first, self.options["dataset"])
         pages = -(-total // max(1, len(got))) if got and total is not None else 1
-        return [Page(n + 1) for n in range(max(1, pages))]
+        return [Page(1, got), *(Page(n + 1) for n in range(1, pages))]  # the first was read to learn the total
 
     def read(self, partition):
-        for row in rows_of(self.page(partition.number), self.options["dataset"]):
+        rows = partition.rows if partition.rows is not None else rows_of(self.page(partition.number), self.options["dataset"])
+        for row in rows:
             yield tuple(row.get(c) for c in self.columns)
 
 
@@ -191,7 +192,7 @@ def unnested(answers: DataFrame, column: str, dataset: str, row) -> DataFrame:
     parsed = answers.select(F.from_json(column, envelope(dataset, row)).alias("a"))
     heads = F.filter(F.get(F.col(f"a.{dataset}"), F.lit(0))["head"], lambda h: h["RESULT"].isNotNull())
     code = F.coalesce(F.col("a.RESULT.CODE"), F.get(heads, F.lit(0))["RESULT"]["CODE"], F.lit(OK))
-    bad = (~code.isin(OK, NONE)) | (F.col("a.RESULT").isNull() & (F.coalesce(F.size(f"a.{dataset}"), F.lit(0)) < 2))
+    bad = (~code.isin(OK, NONE)) | (F.col("a.RESULT").isNotNull() & (code == OK)) | (F.col("a.RESULT").isNull() & (F.coalesce(F.size(f"a.{dataset}"), F.lit(0)) < 2))
     rows = F.when(bad, F.raise_error(F.concat(F.lit("answer: "), code))).when(code == OK, F.get(F.col(f"a.{dataset}"), F.lit(1))["row"])
     return parsed.select(F.inline(rows))
 

@@ -136,3 +136,37 @@ def test_stream_of_meals_is_ranked(spark, tmp_path):
     q = live.ranked_stream(stream, "date", Profile(("쌀밥",)), lambda ranked, n: got.extend(ranked.collect()), str(tmp_path / "cp"), 2)
     q.awaitTermination(120)
     assert len(got) == 2 and got[0]["score"] >= got[1]["score"]
+
+
+def test_a_page_that_fails_leads_to_the_snapshot(spark, tmp_path):
+    """The first page answers, a later one doesn't; the snapshot's rows come instead, and the label says why."""
+    asked = str(tmp_path / "asked")
+
+    def breaks(url, params, timeout):
+        if url.endswith(web.SCHOOLS):
+            return pages(url, params, timeout)
+        with open(asked, "a") as f:
+            f.write(f"{params['pIndex']} ")
+        if params["pIndex"] > 1:
+            raise OSError("gone")
+        return pages(url, params, timeout)
+
+    path = tmp_path / "kept.json"
+    path.write_text(json.dumps({"metadata": {"school_name": C.FALLBACK_SCHOOL}, "rows": [meal("20260701"), meal("20260702")]}, ensure_ascii=False))
+
+    def fetch(get):
+        return lambda name, start, end: web.meals(spark, URL, web.find_school(spark, URL, name, get), start, end, get, 2)
+
+    rows, label = files.meal_table(spark, C.FALLBACK_SCHOOL, "20260701", "20260731", str(path), fetch(breaks))
+    assert rows.count() == 2 and label == C.FALLBACK_LABEL.format(reason=label.rpartition(": ")[2]) and "no answer" in label
+    assert open(asked).read().split().count("1") == 1
+    rows, label = files.meal_table(spark, C.FALLBACK_SCHOOL, "20260701", "20260731", str(path), fetch(pages))
+    assert rows.count() == 5 and label == C.LIVE_LABEL
+
+
+def test_a_root_result_without_rows_is_no_answer(spark):
+    odd = {"RESULT": {"CODE": web.OK, "MESSAGE": "m"}}
+    with pytest.raises(web.SourceError):
+        web.rows_of(odd, "d")
+    with pytest.raises(Exception, match="INFO-000"):
+        web.unnested(spark.createDataFrame([(json.dumps(odd),)], "a string"), "a", "d", RAW).collect()
