@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, drop, stored, table
+from .common import cached, drop, forget, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, THETA = 3, 0.8
@@ -141,24 +141,25 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     total = float(max(1, copies.count()))
     repeated = cached(copies.filter("c > 1"))
     most_texts = lambda n_e: total ** (1 - THETA) * F.pow(n_e, F.lit(THETA)) * (1 + 1e-9)
-    seen = cached(found.filter(F.size("entities") > 0).groupBy("h").agg(F.min("entities").alias("entities"), F.min("words").alias("words")))
+    seen = stored(found.filter(F.size("entities") > 0).groupBy("h").agg(F.min("entities").alias("entities"), F.min("words").alias("words")))
     held = seen.select("h", F.explode("entities").alias("entity"))
-    held = cached(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
+    held = stored(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "entity"))
     bound = held.agg(most_texts(F.max("n_e")).alias("b")).first()["b"] or 0.0
     near = seen.select("h", F.explode("words").alias("term"))
     enough = lambda n_t: F.log2(total * F.col("n_te") / (n_t * F.col("n_e"))) >= THETA * F.log2(total / F.col("n_e"))
     # A term is in as many texts as it is in with entities, at least: this rules most out before all texts are counted.
-    terms = cached(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
+    terms = stored(near.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near").between(SUPPORT, bound)))
     own = held.groupBy("h").agg(F.collect_list(F.struct("entity", "n_e")).alias("own"))  # a text's entities
     near = seen.join(own, "h").select("own", F.explode("words").alias("term")).join(few(terms), "term")
     pairs = near.select("term", "n_near", F.explode("own").alias("one")).select("term", "n_near", "one.entity", "one.n_e").filter(F.col("n_near") <= most_texts(F.col("n_e")))
     joint = pairs.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
-    joint = cached(joint.filter(enough(F.col("n_near"))))
+    joint = stored(joint.filter(enough(F.col("n_near"))))
     wanted = cached(joint.select("term").distinct())
     weighed = texts.join(few(repeated), "h", "left").select((1.0 / F.coalesce("c", F.lit(1))).alias("part"), F.explode(found_words(F.col("clear"))).alias("term"))
     counts = among(weighed, wanted).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
     out = stored(joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity"))
-    drop(repeated, seen, held, terms, joint, wanted)
+    drop(repeated, wanted)
+    forget(seen, held, terms, joint)
     return out
 
 

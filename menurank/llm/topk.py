@@ -23,6 +23,7 @@ from .common import drop, cached, pack, stored, table, unpack
 TOP, SCALE, EVERY, LEVELS = 5, 256, 50, 64
 BLOCK_ROWS, QUERY_ROWS = 32_768, 65_536
 ROUNDS = (0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0)  # share of the postings taken by each round
+LEAST_TASKS = 8
 MOST_BLIND = 8  # with more blocks, a search of one first is worth its cost
 BROADCAST_QUERIES = 1_000_000  # 16 MB; only the plan depends on it
 
@@ -169,7 +170,8 @@ def top_k(df: DataFrame, k: int = TOP, key: str = "vec_id", vector: str = "embed
     rows = df.select(F.col(key).cast("long").alias("vec_id"), whole(vector).alias("v")).filter("vec_id is not null and v is not null")
     rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("c")).select("vec_id", "v", F.explode(F.array_repeat(F.lit(1), F.least("c", F.lit(k)).cast("int"))).alias("c")).drop("c")
     total = max(1, df.count())
-    blocks, lots = -(-total // block_rows), -(-total // (every * query_rows))
+    blocks = -(-total // block_rows)
+    lots = max(-(-total // (every * query_rows)), -(-LEAST_TASKS // blocks))  # an index is copied once a lot
     index = block_indexes(rows, blocks)
     queries = cached(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(lots)).cast("int").alias("lot"), F.lit(None).cast("long").alias("floor")))
     there = F.array(*map(F.lit, range(blocks))) if blocks <= 100 else F.sequence(F.lit(0), F.lit(blocks - 1))
