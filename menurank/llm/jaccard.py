@@ -26,7 +26,7 @@ from .common import cached, drop, forget, slices, stored, table, word_hashes
 from .graph import components
 
 LEAST_BITS, MOST_BITS, CHUNKS = 20, 24, 64
-SKETCH = 8  # longs
+SKETCH = 4  # longs
 ROUNDS, MANY = 2, 8
 BLOCK = 2048  # groups of a posting list in one block, about
 BROADCAST_IDS = 1_000_000  # 16 MB; only the plan depends on it, not the result
@@ -129,7 +129,7 @@ def sketch(members: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's 128-bit signature (two longs), its sketch, its prefix in the global order, into how
+    """doc_id, n, the set's and its prefix's 128-bit signatures (two longs each), its sketch, its prefix in the global order, into how
     many blocks each prefix member's list is dealt, and where in that order the prefix ends (a long of the level and 55 bits of the hash)."""
     told = texts.sparkSession.sparkContext.broadcast(levels)  # a byte a slot
     mask = np.uint64(len(levels) - 1)
@@ -141,7 +141,7 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
         levels = told.value
         for big in batches:
             for b in slices(big):
-                sizes, signs, sketches, heads, ends, dealt = [], [], [], [], [], []
+                sizes, signs, begins, sketches, heads, ends, dealt = [], [], [], [], [], [], []
                 for s in shingle_sets(b.column("text"), width):
                     n = len(s)
                     first = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -150,16 +150,17 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                     sizes.append(n)
                     signs.append(xxh3_128_digest(s.tobytes()))
                     sketches.append(sketch(s))
+                    begins.append(xxh3_128_digest(s[order].tobytes()))
                     heads.append(s[order].view(np.int64))
                     dealt.append(blocks_of(level[order]))
                     ends.append((int(level[order[-1]]) << 55) + (int(s[order[-1]]) >> 9) if first else -1)
-                sign = np.frombuffer(b"".join(signs), np.int64).reshape(-1, 2)
+                sign, begin = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (signs, begins))
                 offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, np.concatenate([*x, np.zeros(0, kind)])) for x, kind in ((heads, np.int64), (dealt, np.int32))]
-                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.ListArray.from_arrays(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH, np.concatenate(sketches)), *lists, pa.array(ends, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "sketch", "prefix", "dealt", "last"])
+                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(begin[:, 0]), pa.array(begin[:, 1]), pa.ListArray.from_arrays(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH, np.concatenate(sketches)), *lists, pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "sketch", "prefix", "dealt", "last"])
 
-    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, sketch array<long>, prefix array<long>, dealt array<int>, last long")
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, sketch array<long>, prefix array<long>, dealt array<int>, last long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,40 +206,49 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length() + 1))
     every = stored(prefixes(texts, width, percent, coded(slot_counts(texts, width, bits))))
-    one = lambda c: F.min_by(c, "doc_id").alias(c)  # noqa: E731  equal in a class
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), one("sketch"), one("prefix"), one("dealt"), F.min("last").alias("last"))
-    classes = stored(classes.withColumn("head", F.xxhash64("prefix")))
-    groups = stored(classes.groupBy("n", "head", "prefix").agg(F.min("id").alias("g"), F.sum("copies").alias("copies"), F.when(F.count("*") == 1, F.min("sketch")).alias("sketch"), F.min("dealt").alias("dealt"), F.min("last").alias("last")))
-    member = stored(classes.select("n", "head", "prefix", "id").join(groups.select("n", "head", "prefix", "g"), ["n", "head", "prefix"]).select("id", "n", "g"))
-
-    # Blocks of posting lists of two or more groups (or of long lists), then what each group can share at all.
-    lists = W.partitionBy("token", "block").orderBy("g")
-    tail = (F.col("n") - F.size("prefix")).alias("tail")
-    posted = groups.select("g", "n", "copies", "last", tail, "sketch", F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
-    posted = posted.select("g", "n", "copies", "last", "tail", "sketch", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("g"), F.col("one.dealt")).cast("int").alias("block"))
-    posted = posted.withColumn("before", F.lag("g").over(lists)).withColumn("after", F.lead("g").over(lists))
-    shared = stored(posted.filter("before is not null or after is not null or blocks > 1").drop("before", "after"))
-    forget(groups)
-    own = W.partitionBy("g")
-    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own))
+    one = lambda c: F.min_by(c, "p1").alias(c)  # noqa: E731  equal in a class
+    some = every.filter("n > 0 and doc_id is not null")
+    classes = stored(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("p1").alias("p1"), F.min("p2").alias("p2")))
+    top = F.min(F.struct("id", "s1", "s2")).alias("top")
+    groups = stored(classes.groupBy("n", "p1", "p2").agg(top, F.sum("copies").alias("copies"), F.count("*").alias("many")).select("n", "p1", "p2", F.col("top.id").alias("g"), "top.s1", "top.s2", "copies", "many"))
+    member = stored(classes.select("n", "p1", "p2", "id").join(groups.select("n", "p1", "p2", "g"), ["n", "p1", "p2"]).select("id", "n", "g"))
+    # Prefixes move once, for the first class of each group; k numbers the groups.
+    whole = some.groupBy("doc_id", "n", "s1", "s2").agg(one("sketch"), one("prefix"), one("dealt"), F.min("last").alias("last")).withColumnRenamed("doc_id", "g")
+    whole = whole.join(groups.drop("p1", "p2"), ["g", "n", "s1", "s2"]).withColumn("sketch", F.when(F.col("many") == 1, F.col("sketch")))
+    whole = stored(whole.select(F.monotonically_increasing_id().alias("k"), "g", "n", "copies", "last", (F.col("n") - F.size("prefix")).alias("tail"), "sketch", "prefix", "dealt"))
+    facts = whole.drop("prefix", "dealt")
+
+    # Blocks of posting lists of two or more groups (or of long lists), then what each group can share at all. Postings
+    # are numbers; what is known of their groups is joined to those that are shared.
+    lists = W.partitionBy("token", "block").orderBy("k")
+    posted = whole.select("k", F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
+    posted = posted.select("k", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("k"), F.col("one.dealt")).cast("int").alias("block"))
+    posted = posted.withColumn("before", F.lag("k").over(lists)).withColumn("after", F.lead("k").over(lists))
+    posted = stored(posted.filter("before is not null or after is not null or blocks > 1").drop("before", "after"))
+    own = W.partitionBy("k")
+    shared = stored(posted.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own)))
+    forget(posted, groups)
     place = F.struct("g", "n", "last", "tail", "sketch", "at", "rank", "held")
-    lists = W.partitionBy("token", "block").orderBy(F.desc("copies"), "n", "g")
-    ranked = ranked.withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists))
-    old, shared = shared, stored(ranked.select("token", "blocks", "block", "copies", place.alias("own"), "first", "before"))
-    forget(old)
+    lists = W.partitionBy("token", "block").orderBy(F.desc("copies"), "n", "k")
+    beside = shared.join(facts, "k").withColumn("first", F.first(place).over(lists)).withColumn("before", F.lag(place).over(lists)).withColumn("own", place)
 
     apart = ~((F.col("x.low") == F.col("y.high")) & (F.col("x.high") == F.col("y.low")))
 
-    def linked(rows: DataFrame, to: str) -> DataFrame:
-        ok = reachable("own", to, percent) & (F.col(f"{to}.g") != F.col("own.g"))
-        return rows.filter(F.col(to).isNotNull() & ok).select(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b"))
+    def linked(to: str):
+        """The pair of own and to, if the two may be linked."""
+        ok = F.col(to).isNotNull() & reachable("own", to, percent) & (F.col(f"{to}.g") != F.col("own.g"))
+        return F.when(ok, F.struct(F.least("own.g", f"{to}.g").alias("a"), F.greatest("own.g", f"{to}.g").alias("b")))
 
-    heads = shared.filter("blocks > 1 and before is null").select("token", "copies", "own")  # a row for each block
-    heads = heads.withColumn("first", F.first("own").over(W.partitionBy("token").orderBy(F.desc("copies"), "own.n", "own.g")))
+    head = F.when((F.col("blocks") > 1) & F.col("before").isNull(), F.struct("token", "copies", "own"))  # a row for each block
+    beside = stored(beside.select(linked("first").alias("p"), linked("before").alias("q"), head.alias("head")).filter("p is not null or q is not null or head is not null"))
+    heads = beside.filter("head is not null").select("head.*")
+    heads = heads.withColumn("first", F.first("own").over(W.partitionBy("token").orderBy(F.desc("copies"), "own.n", "own.g"))).select(linked("first").alias("p"))
     spokes = member.filter("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"))
-    tried = stored(linked(shared, "first").union(linked(shared, "before")).union(linked(heads, "first")).union(spokes).distinct())
+    near = [x.filter(f"{c} is not null").select(f"{c}.*") for x, c in ((beside, "p"), (beside, "q"), (heads, "p"))]
+    tried = stored(near[0].union(near[1]).union(near[2]).union(spokes).distinct())
     links = verified(tried, texts, width, percent)
-    old = [shared, member, tried, links]
+    forget(beside)
+    old = [shared, whole, member, tried, links]
 
     # Lists that hold several components. While they have many pairs for their rows, neighbours in a random order of
     # each list are tried: groups with many links soon are one component, and their other pairs needn't be made.
@@ -246,7 +256,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = stored(components(links))
         known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
         span = cached(known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")))
-        spread = shared.select("token", "blocks", "block", "own.*").join(span, "g")
+        spread = shared.join(facts.drop("copies").join(span, "g"), "k").drop("k")
         mixed = spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
         open_ = stored(spread.join(mixed, "token"))
         old += [found, known, open_]
