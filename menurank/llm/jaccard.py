@@ -254,6 +254,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # each list are tried: groups with many links soon are one component, and their other pairs needn't be made.
     for turn in range(ROUNDS + 1):
         found = stored(components(links))
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # say all that links said
         known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
         span = cached(known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")))
         spread = shared.join(facts.drop("copies").join(span, "g"), "k").drop("k")
@@ -269,7 +270,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         beside = open_.select(own.alias("x"), before.alias("y")).filter(apart & reachable("x", "y", percent))
         more = stored(beside.select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         got = verified(more, texts, width, percent)
-        tried, links = tried.union(more), links.union(got)
+        tried, links = tried.union(more), stars.union(got)
         old += [more, got]
 
     # All pairs whose classes are still in different components, and classes of one group that are.
@@ -285,7 +286,7 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = pairs.join(one, "g1").join(two, "g2").filter("c1 <> c2").select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).distinct()
     rest = cached(rest.join(tried, ["a", "b"], "left_anti"))
     more = verified(rest, texts, width, percent)
-    final = stored(components(links.union(more)))
+    final = stored(components(stars.union(more)))
     forget(*old, more)
     drop(pairs, rest, span)
 
