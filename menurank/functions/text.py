@@ -108,14 +108,20 @@ def tokens(x: Column) -> Column:
 
 
 def char_grams(x: Column, sizes=(2, 3, 4)) -> Column:
-    """All n-grams of each token with a space at either end, repeats kept."""
+    """All n-grams of each token with a space at either end, repeats kept.
 
-    def of(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        fits = F.filter(F.array(*map(F.lit, sizes)), lambda z: z <= F.length(padded))
-        return F.flatten(F.transform(fits, lambda z: F.transform(F.sequence(F.lit(1), F.length(padded) - z + 1), lambda i: F.substring(padded, i, z))))
+    Tokens stand side by side with one space between, so an n-gram is a window without a space inside."""
+    spaced = F.concat(F.lit(" "), stripped(F.regexp_replace(folded(x), f"{SPACE}+", " ")), F.lit(" "))
+    windows = [F.regexp_extract_all(spaced, F.lit(f"(?s)(?=(.{'[^ ]' * (z - 2)}.))."), F.lit(1)) for z in sizes]
+    return F.when(stripped(x) == "", F.expr(_EMPTY)).otherwise(F.concat(*windows))
 
-    return F.flatten(F.transform(tokens(x), of))
+
+def runs(terms: str) -> Column:
+    """Each distinct one of an ascending array column with its number, as term and n."""
+    t = F.col(terms)
+    first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    ends = F.concat(F.slice(first, 2, F.size(t)), F.array(F.size(t)))
+    return F.when(F.size(t) > 0, F.transform(F.arrays_zip(first.alias("a"), ends.alias("b")), lambda r: F.struct(F.get(t, r["a"]).alias("term"), (r["b"] - r["a"]).alias("n"))))
 
 
 def hangul_words(x: Column) -> Column:

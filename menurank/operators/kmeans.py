@@ -1,97 +1,240 @@
-"""Deterministic k-means labels on standardised features, seeded by evenly spaced rows in calorie order."""
+"""Deterministic k-means labels on standardised features, seeded by evenly spaced rows in calorie order.
+
+Several groups of rows (those that an allergy set leaves, say) are fitted at once. Rows are read once for the distinct feature
+vectors with how many rows of each group have them, once more for the seeds; medians, deviations and the rounds are
+aggregates over these vectors, one job a round for all groups.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
+from math import inf, sqrt
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import HEARTY, LIGHT, MIDDLE, TOO_FEW
+from .steps import forget, written
 
 FEATURES = ["calories", "carbs_g", "protein_g", "fat_g", "dish_count"]
-ROUNDS, MOST_AT_ONCE = 30, 100_000
+ROUNDS, MOST_AT_ONCE, SAMPLE = 30, 100_000, 4096
 
 
-def imputed(rows: DataFrame, key: str, features: list[str] = FEATURES) -> tuple[DataFrame, dict]:
-    """key, x (imputed features) and z (standardised), with the numbers they were made by.
-
-    One aggregate gives exact medians and counts, one the means and population deviations of the filled columns."""
-    numbers = rows.select(key, *(F.col(f).try_cast("double").alias(f) for f in features))
-    numbers = numbers.select(key, *(F.when(~F.isnan(f), F.col(f)).alias(f) for f in features))
-    complete = reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features[:-1]))
-    got = numbers.agg(F.count("*").alias("n"), F.count_if(complete).alias("complete"), *(F.median(f).alias(f) for f in features)).first()
-    filled = numbers.select(key, F.array(*(F.coalesce(F.col(f), F.lit(got[f]), F.lit(0.0)) for f in features)).alias("x"))
-    each = [F.get("x", F.lit(i)) for i in range(len(features))]
-    stats = filled.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(each)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(each)), *(F.min(c).alias(f"a{i}") for i, c in enumerate(each)), *(F.max(c).alias(f"b{i}") for i, c in enumerate(each))).first()
-    mean = lambda i: stats[f"m{i}"] or 0.0
-    # A constant column may have a deviation of an ulp: its least and greatest values tell.
-    spread = lambda i: stats[f"s{i}"] if stats[f"s{i}"] and stats[f"a{i}"] != stats[f"b{i}"] else 1.0
-    z = F.array(*((c - F.lit(mean(i))) / F.lit(spread(i)) for i, c in enumerate(each)))
-    return filled.withColumn("z", z), {"n": got["n"], "complete": got["complete"]}
+def numbers(features: list[str]) -> list[Column]:
+    """Features as doubles; what is no number is null."""
+    as_double = [F.col(f).try_cast("double") for f in features]
+    return [F.when(~F.isnan(c), c).alias(f) for c, f in zip(as_double, features, strict=True)]
 
 
-def at_positions(rows: DataFrame, order: list[str], positions: list[int]) -> list:
-    """The rows at 0-based positions of an order, without sorting all rows in one place.
-
-    For each position a bracket of the first column's values is narrowed by counting until it is small enough to sort.
-    """
-    first, out = order[0], []
-    for p in positions:
-        inside, skip = rows, p
-        while (n := inside.count()) > MOST_AT_ONCE:
-            low, high = inside.approxQuantile(first, [max(0.0, skip / n - 0.002), min(1.0, skip / n + 0.002)], 0.0005)
-            below = inside.filter(F.col(first) < low).count()
-            bracket = inside.filter(F.col(first).between(low, high))
-            held = bracket.count()
-            if not below <= skip < below + held or held == n:
-                break  # one value fills the bracket: sort it
-            inside, skip = bracket, skip - below
-        out.append(inside.orderBy(*order).limit(skip + 1).orderBy(*(F.desc(c) for c in order)).first())
-    return out
-
-
-def nearest(z: Column, centroids: list[list[float]]) -> Column:
+@dataclass
+class Fit:
+    """What is known of one group: numbers of rows and of rows with all nutrition values, how features are filled and
+    standardised, centroids, and the name of each."""
+
+    features: list[str]
+    n: int = 0
+    complete: int = 0
+    unlike: int = 0
+    fill: list[float] = field(default_factory=list)
+    mean: list[float] = field(default_factory=list)
+    spread: list[float] = field(default_factory=list)
+    centroids: list[list[float]] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+
+    def x(self) -> list[Column]:
+        return [F.coalesce(c, F.lit(v)) for c, v in zip(numbers(self.features), self.fill, strict=True)]
+
+    def z(self) -> list[Column]:
+        return [(c - F.lit(m)) / F.lit(s) for c, m, s in zip(self.x(), self.mean, self.spread, strict=True)]
+
+    def of(self, values: list[float]) -> list[float]:
+        return [(v - m) / s for v, m, s in zip(values, self.mean, self.spread, strict=True)]
+
+    def name(self) -> Column:
+        """The label of a row."""
+        if len(self.names) == 1:
+            return F.lit(self.names[0])
+        return F.get(F.array(*map(F.lit, self.names)), nearest(self.z(), [[F.lit(v) for v in c] for c in self.centroids]))
+
+
+def nearest(z: list[Column], centroids: list[list[Column]]) -> Column:
     """The number of the nearest centroid, the least of equals."""
-    distance = lambda c: reduce(lambda a, b: a + b, ((F.get(z, F.lit(i)) - F.lit(v)) ** 2 for i, v in enumerate(c)))
-    best = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids))))
-    return best["k"]
+    distance = lambda c: reduce(lambda a, b: a + b, ((x - y) ** 2 for x, y in zip(z, c, strict=True)))
+    return F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids))))["k"]
+
+
+def points(rows: DataFrame, groups: list[Column], features: list[str]) -> tuple[DataFrame, list[Fit]]:
+    """(g, x, w): each group's distinct filled vectors and how many of its rows have them; and fits without centroids."""
+    parts = [g.alias(f"g{i}") for i, g in enumerate(groups)]
+    counts = [F.count_if(F.col(f"g{i}")).alias(f"w{i}") for i in range(len(groups))]
+    vectors = written(rows.select(*numbers(features), *parts).groupBy(*features).agg(*counts))
+    whole = reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features[:-1]))
+    told = vectors.agg(*(x for i in range(len(groups)) for x in (
+        F.sum(f"w{i}").alias(f"n{i}"), F.sum(F.when(whole, F.col(f"w{i}"))).alias(f"c{i}"), F.array(*(F.percentile(f, F.lit(0.5), F.col(f"w{i}")) for f in features)).alias(f"m{i}"),
+    ))).first()
+    fits = [Fit(features, told[f"n{i}"] or 0, told[f"c{i}"] or 0, fill=[m or 0.0 for m in told[f"m{i}"]]) for i in range(len(groups))]
+    each = [F.struct(F.lit(i).alias("g"), F.array(*f.x()).alias("x"), F.col(f"w{i}").alias("w")) for i, f in enumerate(fits)]
+    out = written(vectors.select(F.inline(F.array(*each))).filter("w > 0").groupBy("g", "x").agg(F.sum("w").alias("w")))
+    forget(vectors)
+    # Deviations from the median first: their squares lose no digits where a feature is far from 0.
+    fill, width = F.lit([f.fill for f in fits]), range(len(features))
+    apart = lambda j: F.get("x", F.lit(j)) - F.get(F.get(fill, F.col("g")), F.lit(j))
+    sums = out.groupBy("g").agg(F.count("*").alias("unlike"), *(x for j in width for x in (
+        F.sum(F.col("w") * apart(j)).alias(f"s{j}"), F.sum(F.col("w") * apart(j) ** 2).alias(f"q{j}"), (F.min(apart(j)) == F.max(apart(j))).alias(f"flat{j}"),
+    ))).collect()
+    for f in fits:
+        f.mean, f.spread = [0.0] * len(features), [1.0] * len(features)
+    for r in sums:  # a row a group
+        f = fits[r["g"]]
+        shift = [r[f"s{j}"] / f.n for j in width]
+        f.unlike, f.mean = r["unlike"], [m + s for m, s in zip(f.fill, shift, strict=True)]
+        f.spread = [1.0 if r[f"flat{j}"] else sqrt(max(0.0, r[f"q{j}"] / f.n - shift[j] ** 2)) or 1.0 for j in width]
+    return out, fits
 
 
-def labelled(rows: DataFrame, key: str, most: int = 3, features: list[str] = FEATURES) -> DataFrame:
-    """rows with cluster_name. The driver holds k centroids; each round is one aggregate over cached features.
-
-    Fewer than 3 rows, or than 3 with all nutrition values, give one label; so does k = 1. Of equal calories the
-    lesser key comes first. key must be unique."""
-    made, told = imputed(rows, key, features)
-    if told["n"] < 3 or told["complete"] < 3:
-        return rows.withColumn("cluster_name", F.lit(TOO_FEW))
-    made = made.persist()
-    unlike = made.select("x").distinct().limit(max(1, int(most))).count()
-    k = min(max(1, int(most)), told["n"], unlike)
-    if k == 1:
-        made.unpersist()
-        return rows.withColumn("cluster_name", F.lit(MIDDLE))
-    places = [round(i * (told["n"] - 1) / (k - 1)) for i in range(k)]  # halves to even
-    ordered = made.select(F.get("x", F.lit(0)).alias("c"), key, "z")
-    centroids = [list(r["z"]) for r in at_positions(ordered, ["c", key], places)]
-    width = len(features)
+def imputed(rows: DataFrame, key: str, features: list[str] = FEATURES) -> tuple[DataFrame, dict]:
+    """key, x (imputed features) and z (standardised), with how many rows there are and how many are complete."""
+    made, (fit,) = points(rows, [F.lit(True)], features)
+    forget(made)
+    return rows.select(key, F.array(*fit.x()).alias("x"), F.array(*fit.z()).alias("z")), {"n": fit.n, "complete": fit.complete}
+
+
+@dataclass
+class Bracket:
+    """Where the row at one position of one group's order is: between two rows, either end included or not."""
+
+    group: Column
+    order: list[Column]
+    skip: int
+    n: int
+    low: tuple | None = None
+    high: tuple | None = None
+    with_low: bool = True
+    with_high: bool = True
+
+    def below(self, row: tuple, same: bool) -> Column:
+        """Whether a row comes before `row` in the order (or is it)."""
+        out = F.lit(same)
+        for c, v in reversed(list(zip(self.order, row, strict=True))):
+            out = (c < F.lit(v)) | ((c == F.lit(v)) & out)
+        return out
+
+    def inside(self) -> Column:
+        out = self.group
+        if self.low is not None:
+            out = out & ~self.below(self.low, not self.with_low)
+        return out if self.high is None else out & self.below(self.high, self.with_high)
+
+
+def selected(rows: DataFrame, brackets: list[Bracket], carry: list[str]) -> list:
+    """For each bracket the columns carry of the row `skip` places into it, by distributed selection for all brackets at once.
+
+    While a bracket holds more than MOST_AT_ONCE rows, SAMPLE of them, chosen by a hash, tell where to cut, and one count tells
+    on which side the row is. The order must be total: then equal values can't fill a bracket for good, as what
+    follows in the order parts them. Only brackets that are small are sorted."""
+
+    def tagged(which: list[int], columns: list[Column]) -> DataFrame:
+        one = lambda i: F.struct(F.lit(i).alias("t"), *(c.alias(f"o{j}") for j, c in enumerate(brackets[i].order)))
+        return rows.select(*columns, F.explode(F.array_compact(F.array(*(F.when(brackets[i].inside(), one(i)) for i in which)))).alias("o")).select(*(c for c in carry if columns), "o.*")
+
+    turn = 0
+    while wide := [i for i, b in enumerate(brackets) if b.n > MOST_AT_ONCE]:
+        turn += 1
+        tags = tagged(wide, [])
+        order = [c for c in tags.columns if c != "t"]
+        by_chance = W.partitionBy("t").orderBy(F.xxhash64(*order, F.lit(turn)))
+        told = tags.withColumn("r", F.row_number().over(by_chance)).filter(F.col("r") <= SAMPLE).select("t", *order).collect()
+        cuts = {}
+        for i in wide:
+            b, own = brackets[i], sorted(tuple(r)[1:] for r in told if r["t"] == i)
+            at, margin = b.skip / b.n * len(own), 2 * sqrt(len(own))
+            cuts[i] = own[max(0, int(at - margin))], own[min(len(own) - 1, int(at + margin) + 1)]
+        counts = rows.agg(*(x for i in wide for x in (F.count_if(brackets[i].inside() & brackets[i].below(cuts[i][0], False)).alias(f"a{i}"), F.count_if(brackets[i].inside() & brackets[i].below(cuts[i][1], True)).alias(f"b{i}")))).first()
+        for i in wide:
+            b, (low, high), before, upto = brackets[i], cuts[i], counts[f"a{i}"], counts[f"b{i}"]
+            if b.skip < before:
+                b.high, b.with_high, b.n = low, False, before
+            elif b.skip >= upto:
+                b.low, b.with_low, b.skip, b.n = high, False, b.skip - upto, b.n - upto
+            else:
+                b.low, b.with_low, b.high, b.with_high, b.skip, b.n = low, True, high, True, b.skip - before, upto - before
+    tags = tagged(list(range(len(brackets))), [F.col(c) for c in carry])
+    order = [c for c in tags.columns if c not in ("t", *carry)]
+    placed = tags.withColumn("r", F.row_number().over(W.partitionBy("t").orderBy(*order)) - 1)
+    wanted = F.get(F.lit([b.skip for b in brackets]), F.col("t"))
+    found = {r["t"]: r for r in placed.filter(F.col("r") == wanted).collect()}
+    return [found[i] for i in range(len(brackets))]
+
+
+def at_positions(rows: DataFrame, order: list[str], positions: list[int]) -> list:
+    """The rows at 0-based positions of an order by columns that no two rows share all of."""
+    n = rows.count()
+    return selected(rows, [Bracket(F.lit(True), [F.col(c) for c in order], p, n) for p in positions], rows.columns)
+
+
+def fitted(rows: DataFrame, key: str, groups: list[Column], most: int = 3, features: list[str] = FEATURES) -> list[Fit]:
+    """A fit for each group of rows. Fewer than 3 rows, or than 3 with all nutrition values, give one name; so does one centroid.
+    Of equal calories the lesser key comes first. key must be unique."""
+    made, fits = points(rows, groups, features)
+    width, ask = range(len(features)), []
+    for i, f in enumerate(fits):
+        k = min(max(1, int(most)), f.n, f.unlike)
+        if f.n < 3 or f.complete < 3:
+            f.names = [TOO_FEW]
+        elif k == 1:
+            f.names = [MIDDLE]
+        else:
+            ask += [(i, round(j * (f.n - 1) / (k - 1))) for j in range(k)]  # halves to even
+    if ask:
+        slim = rows.select(F.col(key).alias("_key"), *numbers(features), *(g.alias(f"_g{i}") for i, g in enumerate(groups)))
+        brackets = [Bracket(F.col(f"_g{i}"), [fits[i].x()[0], F.col("_key")], p, fits[i].n) for i, p in ask]
+        for (i, _), r in zip(ask, selected(slim, brackets, features), strict=True):
+            fits[i].centroids.append(fits[i].of([r[c] if r[c] is not None else v for c, v in zip(features, fits[i].fill, strict=True)]))
+        _rounds(made, fits, sorted({i for i, _ in ask}), width)
+    forget(made)
+    return fits
+
+
+def _rounds(made: DataFrame, fits: list[Fit], moving: list[int], width: range) -> None:
+    """Lloyd's rounds for these groups, one aggregate each, then names by the centroids' mean calories."""
+    cell = lambda table, j: F.get(F.get(F.lit(table), F.col("g")), F.lit(j))
+    mean, spread = [f.mean for f in fits], [f.spread for f in fits]
+    z = [(F.get("x", F.lit(j)) - cell(mean, j)) / cell(spread, j) for j in width]
+    many = max(len(fits[i].centroids) for i in moving)
+    far = [inf] * len(width)  # what a group lacks is nearest to nothing
+
+    def label(centroids: list[list[list[float]]]) -> Column:
+        whole = F.lit([c + [far] * (many - len(c)) for c in centroids])
+        return nearest(z, [[F.get(F.get(F.get(whole, F.col("g")), F.lit(k)), F.lit(j)) for j in width] for k in range(many)])
+
+    used, done = [f.centroids for f in fits], set()
     for _ in range(ROUNDS):
-        used = centroids
-        means = made.groupBy(nearest(F.col("z"), used).alias("k")).agg(*(F.avg(F.get("z", F.lit(i))).alias(f"v{i}") for i in range(width))).collect()
-        centroids = [list(c) for c in used]
-        for r in means:
-            centroids[r["k"]] = [r[f"v{i}"] for i in range(width)]
-        if all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for x, y in zip(centroids, used) for a, b in zip(x, y)) and _same(made, centroids, used):
+        left = [i for i in moving if i not in done]
+        if not left:
             break
-    label = nearest(F.col("z"), used)
-    calories = made.groupBy(label.alias("k")).agg(F.avg(F.get("x", F.lit(0))).alias("c")).collect()
-    rank = [r["k"] for r in sorted(calories, key=lambda r: (r["c"], r["k"]))]
-    names = {c: MIDDLE for c in rank[1:-1]} | {rank[0]: LIGHT} | {rank[-1]: HEARTY}
-    named = F.get(F.array(*(F.lit(names.get(c)) for c in range(k))), label)
-    out = rows.join(made.select(key, named.alias("cluster_name")), key)
-    return out
+        now = made.filter(F.col("g").isin(left)).groupBy("g", label(used).alias("k"))
+        means = now.agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * z[j]).alias(f"v{j}") for j in width)).collect()  # a row a centroid
+        new = [[list(c) for c in u] for u in used]
+        for r in means:
+            new[r["g"]][r["k"]] = [r[f"v{j}"] / r["n"] for j in width]
+        close = {i for i in left if all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for x, y in zip(new[i], used[i]) for a, b in zip(x, y))}
+        if doubt := [i for i in close if new[i] != used[i]]:
+            other = made.filter(F.col("g").isin(doubt)).filter(label(new) != label(used)).select("g").distinct().collect()
+            close -= {r["g"] for r in other}
+        done |= close
+        last, used = used, [u if i in close or i not in left else n for i, (u, n) in enumerate(zip(used, new))]
+    for i in moving:
+        fits[i].centroids = used[i] if i in done else last[i]
+    told = made.filter(F.col("g").isin(moving)).groupBy("g", label([f.centroids for f in fits]).alias("k")).agg((F.sum(F.col("w") * F.get("x", F.lit(0))) / F.sum("w")).alias("c")).collect()
+    for i in moving:
+        rank = [r["k"] for r in sorted((r for r in told if r["g"] == i), key=lambda r: (r["c"], r["k"]))]
+        names = {c: MIDDLE for c in rank[1:-1]} | {rank[0]: LIGHT} | {rank[-1]: HEARTY}
+        fits[i].names = [names.get(k, MIDDLE) for k in range(len(fits[i].centroids))]
 
 
-def _same(made: DataFrame, a: list, b: list) -> bool:
-    return a == b or made.filter(nearest(F.col("z"), a) != nearest(F.col("z"), b)).isEmpty()
+def labelled(rows: DataFrame, key: str, most: int = 3, features: list[str] = FEATURES) -> DataFrame:
+    """rows with cluster_name (see `fitted`)."""
+    (fit,) = fitted(rows, key, [F.lit(True)], most, features)
+    return rows.withColumn("cluster_name", fit.name())

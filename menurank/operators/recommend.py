@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
 from ..functions.rounding import fixed2, round1
-from .clean import without_codes
-from .kmeans import labelled
-from .tfidf import similarity
+from .kmeans import fitted
+from .steps import written
+from .tfidf import similarities
 
 
 @dataclass(frozen=True)
@@ -53,68 +54,114 @@ class Profile:
         return " ".join([*self.likes, *self.likes, *self.preferred_types])
 
 
-def _need(rows: DataFrame) -> None:
-    if missing := sorted({"menu_text", "allergy_codes", "date"} - set(rows.columns)):
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+OWN = ["similarity", "score", "reason", "cluster_name", "safety_notice", "profile", "rank"]
+AT_ONCE = 32  # profiles in one plan; more make a plan for each so many
+_NUTRITION = {"calories", "carbs_g", "protein_g", "fat_g", "dish_count"}
+
+
+def _codes(codes) -> Column:
+    return F.lit(list(codes)).cast("array<int>") if codes else F.expr(_NO_CODES)
+
+
+_NO_CODES, _NO_TERMS = "cast(array() as array<int>)", "cast(array() as array<string>)"
+
+
+class Ranking:
+    """Some profiles' rankings of one table, as one plan. Allergy sets are groups of rows: clusters and the similarity's
+    statistics are of the rows that a set leaves, each made once for all sets.
+
+    rows are written once, and counted by set in that same pass; everything else reads that copy. key must be unique."""
+
+    def __init__(self, rows: DataFrame, key: str, profiles: dict[str, Profile], rules: Rules | None = None):
+        if missing := sorted({"menu_text", "allergy_codes", "date"} - set(rows.columns)):
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        self.rules, self.key = rules or Rules(), key
+        self.profiles = {name: p.validated(self.rules) for name, p in profiles.items()}
+        self.sets = sorted({p.allergy_codes for p in self.profiles.values()})
+        self.of = [self.sets.index(p.allergy_codes) for p in self.profiles.values()]
+        own = F.coalesce("allergy_codes", F.expr(_NO_CODES))
+        self.safe = [~F.arrays_overlap(own, _codes(s)) if s else F.lit(True) for s in self.sets]
+        seen = Observation()
+        self.rows = written(rows.drop(*OWN).observe(seen, F.count("*").alias("n"), *(F.count_if(~c).alias(f"x{i}") for i, c in enumerate(self.safe))))
+        told = seen.get
+        self.excluded = {name: told[f"x{i}"] for name, i in zip(self.profiles, self.of, strict=True)}
+        self.left = [told["n"] - told[f"x{i}"] for i in range(len(self.sets))]
+        self.fits = fitted(self.rows, key, self.safe) if _NUTRITION <= set(rows.columns) else None
+
+    def scored(self) -> DataFrame:
+        """profile, its number and the rows safe for it, with similarity and score."""
+        key, rules = self.key, self.rules
+        near = similarities(self.rows, key, "menu_text", [p.query() for p in self.profiles.values()], self.of, self.safe, self.left)
+        terms = lambda t: F.lit(list(t)) if t else F.expr(_NO_TERMS)
+        asked = F.array(*(
+            F.struct(F.lit(j).alias("_j"), F.lit(name).alias("profile"), F.lit(self.of[j]).alias("_set"), terms(p.likes).alias("_likes"), terms(p.avoids).alias("_avoids"), terms(p.preferred_types).alias("_types"), F.lit(p.spice_level).alias("_level"), _codes(p.allergy_codes).alias("_codes"))
+            for j, (name, p) in enumerate(self.profiles.items())
+        ))
+        t = F.col("menu_text")
+        rows = self.rows.join(near, key).withColumn("_text", X.folded(t)).withColumn("_found", X.menu_types(t, rules.types)).withColumn("_hot", X.spice_level(t, rules.spice))
+        each = rows.select("*", F.inline(asked)).filter(~F.arrays_overlap(F.coalesce("allergy_codes", F.expr(_NO_CODES)), "_codes"))
+        each = each.withColumns({
+            "similarity": F.get("similarities", F.col("_j")), "_likes": X.hits(F.col("_text"), F.col("_likes")), "_avoids": X.hits(F.col("_text"), F.col("_avoids")),
+            "_types": F.filter("_types", lambda c: F.array_contains(F.col("_found"), c)), "_spice": F.abs(F.col("_level") - F.col("_hot")),
+        })
+        raw = F.lit(C.BASE) + F.col("similarity") * C.BY_SIMILARITY + C.BY_LIKE * F.size("_likes") + C.BY_TYPE * F.size("_types") - C.BY_AVOID * F.size("_avoids") - C.BY_SPICE * F.col("_spice")
+        return each.withColumn("score", round1(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))))
+
+    def explained(self, scored: DataFrame) -> DataFrame:
+        """Scored rows with reason, cluster_name and safety_notice in place of what these are made of."""
+        part = lambda name, words: F.when(F.size(words) > 0, F.concat(F.lit(C.REASONS[name]), F.array_join(words, ", ")))
+        reason = F.concat_ws(" · ", F.concat(F.lit(C.REASONS["similarity"]), fixed2(F.col("similarity"))), part("likes", "_likes"), part("types", "_types"), part("avoids", "_avoids"), F.concat(F.lit(C.REASONS["spice"]), F.col("_spice").cast("string")))
+        name = F.lit(C.TOO_FEW)
+        for i, fit in enumerate(self.fits or ()):
+            name = F.when(F.col("_set") == i, fit.name()).otherwise(name)
+        out = scored.withColumns({"reason": reason, "cluster_name": name, "safety_notice": F.lit(C.SAFETY_NOTICE)})
+        return out.select(*self.rows.columns, *OWN[:5], "profile", *(c for c in ("rank",) if c in scored.columns))
+
+    def best(self, top: int) -> DataFrame:
+        """profile, rank and each profile's `top` rows by score (as rounded), then date, then key. Each task ranks its own
+        rows first, so that few are shuffled; reasons and clusters are made for the rows that stay."""
+        order = W.partitionBy("_j").orderBy(F.desc("score"), "date", self.key)
+        return self.explained(self.scored().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
 
 
 def scored(rows: DataFrame, key: str, profile: Profile, rules: Rules | None = None) -> DataFrame:
     """Rows safe for the profile with similarity, score, reason, cluster_name and safety_notice. Clusters and the
     similarity's statistics are of the safe rows only. key must be unique."""
-    rules = rules or Rules()
-    _need(rows)
-    profile = profile.validated(rules)
-    safe = without_codes(rows, list(profile.allergy_codes)).persist()  # four plans read it; it may spill to disk
-    near = similarity(safe.select(key, "menu_text"), key, "menu_text", profile.query())
-    labels = labelled(safe, key) if {"calories", "carbs_g", "protein_g", "fat_g", "dish_count"} <= set(rows.columns) else safe.withColumn("cluster_name", F.lit(C.TOO_FEW))
-    return ruled(labels.join(near, key), profile, rules)
-
-
-def ruled(rows: DataFrame, profile: Profile, rules: Rules) -> DataFrame:
-    """Adds score, reason and safety_notice to rows that have a similarity."""
-    array = lambda terms: F.lit(list(terms)) if terms else F.expr("cast(array() as array<string>)")
-    t = X.folded(F.col("menu_text"))
-    found = X.menu_types(F.col("menu_text"), rules.types)
-    rows = rows.withColumn("_likes", X.hits(t, array(profile.likes))).withColumn("_avoids", X.hits(t, array(profile.avoids))).withColumn("_types", F.filter(array(profile.preferred_types), lambda c: F.array_contains(found, c)))
-    rows = rows.withColumn("_spice", F.abs(F.lit(profile.spice_level) - X.spice_level(F.col("menu_text"), rules.spice)))
-    raw = F.lit(C.BASE) + F.col("similarity") * C.BY_SIMILARITY + C.BY_LIKE * F.size("_likes") + C.BY_TYPE * F.size("_types") - C.BY_AVOID * F.size("_avoids") - C.BY_SPICE * F.col("_spice")
-    part = lambda name, words: F.when(F.size(words) > 0, F.concat(F.lit(C.REASONS[name]), F.array_join(words, ", ")))
-    reason = F.concat_ws(" · ", F.concat(F.lit(C.REASONS["similarity"]), fixed2(F.col("similarity"))), part("likes", "_likes"), part("types", "_types"), part("avoids", "_avoids"), F.concat(F.lit(C.REASONS["spice"]), F.col("_spice").cast("string")))
-    out = rows.withColumn("score", round1(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)))).withColumn("reason", reason).withColumn("safety_notice", F.lit(C.SAFETY_NOTICE))
-    return out.drop("_likes", "_avoids", "_types", "_spice")
+    one = Ranking(rows, key, {"": profile}, rules)
+    return one.explained(one.scored()).drop("profile")
 
 
 def recommend(rows: DataFrame, key: str, profile: Profile, top: int = 3, rules: Rules | None = None) -> DataFrame:
     """The `top` rows by score (as rounded), then date, then key; a bounded sort."""
+    return _ranked(rows, key, {"": profile}, top, rules).drop("profile", "rank").orderBy(F.desc("score"), "date", key)
+
+
+def _ranked(rows: DataFrame, key: str, profiles: dict[str, Profile], top: int, rules: Rules | None) -> DataFrame:
     if top < 1:
         raise ValueError("top must be at least 1")
-    return scored(rows, key, profile, rules).orderBy(F.desc("score"), "date", key).limit(top)
+    names = list(profiles)
+    parts = [Ranking(rows, key, {n: profiles[n] for n in names[i : i + AT_ONCE]}, rules).best(top) for i in range(0, len(names), AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def excluded(rows: DataFrame, profile: Profile) -> int:
     """How many rows the profile's allergy codes rule out."""
-    codes = F.lit(list(profile.allergy_codes)).cast("array<int>") if profile.allergy_codes else F.expr("cast(array() as array<int>)")
-    seen = Observation()
-    rows.observe(seen, F.count_if(F.coalesce(F.arrays_overlap("allergy_codes", codes), F.lit(False))).alias("n")).write.format("noop").mode("overwrite").save()
-    return seen.get["n"]
-
-
-def batch(rows: DataFrame, key: str, profiles: dict[str, Profile], top: int = 3, rules: Rules | None = None) -> DataFrame:
-    """profile, rank and the ranked rows for each of several profiles. Clusters are fitted once for each set of allergy
-    codes, since they depend on what is excluded."""
-    rules = rules or Rules()
-    out, fitted = None, {}
-    for name, profile in profiles.items():
-        profile = profile.validated(rules)
-        if profile.allergy_codes not in fitted:
-            safe = without_codes(rows, list(profile.allergy_codes)).persist()
-            fitted[profile.allergy_codes] = labelled(safe, key)
-        safe = fitted[profile.allergy_codes]
-        near = similarity(safe.select(key, "menu_text"), key, "menu_text", profile.query())
-        best = ruled(safe.join(near, key), profile, rules).orderBy(F.desc("score"), "date", key).limit(top).withColumn("profile", F.lit(name))
-        out = best if out is None else out.unionByName(best)
-    order = W.partitionBy("profile").orderBy(F.desc("score"), "date", key)
-    return out.withColumn("rank", F.row_number().over(order))
+    return rows.agg(F.count_if(F.coalesce(F.arrays_overlap("allergy_codes", _codes(profile.allergy_codes)), F.lit(False))).alias("n")).first()["n"]
+
+
+def profile_table(profiles: DataFrame) -> dict[str, Profile]:
+    """Profiles by name from a table (profile, likes, avoids, preferred_types, spice_level, allergy_codes); nulls count as
+    empty lists and level 2. Profiles are what is asked, not data: some thousands at most."""
+    lists = lambda r: [tuple(r[c] or ()) for c in ("likes", "avoids", "preferred_types")]
+    rows = profiles.orderBy("profile").collect()
+    if len({r["profile"] for r in rows}) < len(rows):
+        raise ValueError("profiles must have different names")
+    return {r["profile"]: Profile(*lists(r), 2 if r["spice_level"] is None else r["spice_level"], tuple(r["allergy_codes"] or ())) for r in rows}
+
+
+def batch(rows: DataFrame, key: str, profiles: dict[str, Profile] | DataFrame, top: int = 3, rules: Rules | None = None) -> DataFrame:
+    """profile, rank and the ranked rows for each of several profiles: one plan for AT_ONCE of them."""
+    return _ranked(rows, key, profile_table(profiles) if isinstance(profiles, DataFrame) else profiles, top, rules)
 
 
 def what_if(rows: DataFrame, key: str, profile: Profile, rules: Rules | None = None, **changes) -> DataFrame:

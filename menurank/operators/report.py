@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as X
-from .recommend import Profile, Rules, excluded, recommend
+from .recommend import Profile, Ranking, Rules
+from .steps import written
 
 
 def result_table(ranked: DataFrame, key: str) -> DataFrame:
@@ -22,8 +23,11 @@ def run_recommendation(rows: DataFrame, key: str, *, likes_text="", avoids_text=
     """Form texts to (summary, result table)."""
     terms = lambda t: tuple(p for p in (s.strip() for s in str(t or "").split(",")) if p)
     profile = Profile(terms(likes_text), terms(avoids_text), tuple(preferred_types or ()), int(spice_level), tuple(int(c) for c in (allergy_codes or ())))
-    ranked = recommend(rows, key, profile, top, rules).persist()
-    told = {"shown": ranked.count(), "excluded": excluded(rows, profile), "notice": C.SAFETY_NOTICE}
+    if top < 1:
+        raise ValueError("top must be at least 1")
+    ranking = Ranking(rows, key, {"": profile}, rules)  # counts the excluded rows in its own pass over rows
+    ranked = written(ranking.best(top).drop("profile", "rank"))
+    told = {"shown": ranked.count(), "excluded": ranking.excluded[""], "notice": C.SAFETY_NOTICE}
     return (C.SUMMARY if told["shown"] else C.ALL_EXCLUDED).format(**told), result_table(ranked, key)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .steps import written
 
 
 def term_counts(docs: DataFrame, key: str, terms) -> DataFrame:
@@ -29,27 +32,48 @@ def tfidf(counts: DataFrame, key: str, corpus: int) -> DataFrame:
     return with_tf.join(document_frequency(counts), "term").withColumn("idf", idf(F.col("df"), F.lit(corpus))).withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
+BROADCAST_CELLS = 4_000_000  # 64 MB or so; only the plan depends on it, not the result
+
+
+def similarities(docs: DataFrame, key: str, text: str, queries: list[str], of: list[int], groups: list[Column], corpora: list[int]) -> DataFrame:
+    """key, similarities (one for each query): cosines of character n-gram vectors with queries. Query j is compared within
+    group of[j], the rows where that condition holds (corpora[i] of them), and counts as a document there.
+
+    Terms' shares cancel in the cosine, so counts serve. A blank query gives zeros. n-grams are counted inside a row, so no row
+    of an n-gram is shuffled while the vocabulary can be broadcast: one aggregate makes document frequencies for all
+    groups, one makes lengths and products for all queries, both combined before their shuffles."""
+    asked = [j for j, q in enumerate(queries) if q.strip()]
+    if not asked:
+        return docs.select(key, F.array(*(F.lit(0.0) for _ in queries)).alias("similarities"))
+    spark, used = docs.sparkSession, sorted({of[j] for j in asked})
+    grams = docs.select(F.explode(F.array_distinct(X.char_grams(F.col(text)))).alias("term"), *(groups[i].alias(f"g{i}") for i in used))
+    known = written(grams.groupBy("term").agg(*(F.count_if(F.col(f"g{i}")).alias(f"d{i}") for i in used)))
+    texts = spark.createDataFrame([(j, queries[j]) for j in asked], "j int, q string")
+    terms = texts.select("j", F.explode(X.char_grams(F.col("q"))).alias("term")).groupBy("term").agg(*(F.count_if(F.col("j") == j).alias(f"q{j}") for j in asked))
+    told = terms.join(known, "term", "left").collect()  # the terms of the queries
+    shared = lambda j, d, q: idf(d + F.least(q, F.lit(1)), F.lit(corpora[of[j]] + 1))
+    norms = {}
+    for j in asked:
+        own = [(r[f"q{j}"], r[f"d{of[j]}"] or 0) for r in told if r[f"q{j}"]]
+        norms[j] = math.sqrt(sum((q * (math.log((2 + corpora[of[j]]) / (2 + d)) + 1.0)) ** 2 for q, d in own)) or 1.0
+    queried = spark.createDataFrame([(r["term"], *(r[f"q{j}"] for j in asked)) for r in told], "term string, " + ", ".join(f"q{j} long" for j in asked))
+    weights = known.join(F.broadcast(queried), "term", "left")
+    count = {j: F.coalesce(f"q{j}", F.lit(0)) for j in asked}
+    weights = weights.select("term", *(shared(j, F.col(f"d{of[j]}"), count[j]).alias(f"i{j}") for j in asked), *(count[j].alias(f"q{j}") for j in asked))
+    if known.count() * len(asked) <= BROADCAST_CELLS:
+        weights = F.broadcast(weights)
+    counts = docs.select(key, F.array_sort(X.char_grams(F.col(text))).alias("grams")).select(key, F.explode(X.runs("grams")).alias("one")).select(key, "one.term", "one.n")
+    sums = counts.join(weights, "term").groupBy(key).agg(*(x for j in asked for x in (
+        F.sum(F.col("n") * F.col(f"i{j}") * F.col(f"q{j}") * F.col(f"i{j}")).alias(f"p{j}"), F.sum((F.col("n") * F.col(f"i{j}")) ** 2).alias(f"s{j}"),
+    )))
+    cosine = {j: F.coalesce(F.col(f"p{j}") / (F.when(F.col(f"s{j}") == 0, 1.0).otherwise(F.sqrt(f"s{j}")) * norms[j]), F.lit(0.0)) for j in asked}
+    return docs.select(key).join(sums, key, "left").select(key, F.array(*(cosine.get(j, F.lit(0.0)) for j in range(len(queries)))).alias("similarities"))
+
+
 def similarity(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """key, similarity for each document: cosine of character n-gram vectors with a query, which counts as a document.
-
-    Terms' shares cancel in the cosine, so counts serve. A blank query gives zeros. The query side is a few terms, fixed
-    by the query, not by the data. Long documents cost a row per distinct n-gram before the first shuffle."""
-    if not query.strip():
-        return docs.select(key, F.lit(0.0).alias("similarity"))
-    spark = docs.sparkSession
-    corpus = docs.count() + 1
-    counts = term_counts(docs, key, X.char_grams(F.col(text)))
-    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(X.char_grams(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("q"))
-    # The norm needs only the query's terms: their document frequencies come from a semi-join, before any shuffle.
-    few = counts.join(F.broadcast(asked.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.join(few, "term", "left").select("q", idf(F.coalesce("df", F.lit(0)) + 1, F.lit(corpus)).alias("idf"))
-    norm = known.agg(F.sqrt(F.sum((F.col("q") * F.col("idf")) ** 2)).alias("norm")).first()["norm"] or 1.0
-    df = document_frequency(counts).join(F.broadcast(asked), "term", "left")
-    weights = df.select("term", idf(F.col("df") + F.col("q").isNotNull().cast("int"), F.lit(corpus)).alias("idf"), F.coalesce("q", F.lit(0)).alias("q"))
-    parts = counts.join(weights, "term").select(key, (F.col("n") * F.col("idf")).alias("w"), (F.col("q") * F.col("idf")).alias("v"))
-    sums = parts.groupBy(key).agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
-    cosine = F.coalesce(F.col("dot") / (F.when(F.col("length") == 0, 1.0).otherwise(F.col("length")) * norm), F.lit(0.0))
-    return docs.select(key).join(sums, key, "left").select(key, cosine.alias("similarity"))
+    """key, similarity for each document: cosine of character n-gram vectors with one query (see `similarities`)."""
+    corpus = docs.count() if query.strip() else 0
+    return similarities(docs, key, text, [query], [0], [F.lit(True)], [corpus]).select(key, F.get("similarities", F.lit(0)).alias("similarity"))
 
 
 def keywords(docs: DataFrame, key: str, words, stop: list[str], top: int = 8) -> DataFrame:
