@@ -29,6 +29,7 @@ REASONS = {"similarity": "텍스트 유사도 ", "likes": "좋아하는 키워
 SUMMARY = "취향을 비교해 {shown}개 메뉴를 추천했습니다. 알레르기 주의 번호로 제외된 메뉴는 {excluded}개입니다.\n\n{notice}"
 ALL_EXCLUDED = "선택한 알레르기 주의 번호 때문에 모든 메뉴가 제외되었습니다. 제외된 메뉴: {excluded}개\n\n{notice}"
 FALLBACK_SCHOOL = "남악고등학교"
+SAMPLE_LABEL = "급식 예비 데이터"
 LIVE_LABEL, FALLBACK_LABEL = "실시간 데이터 사용", "예비 데이터 사용 · 실시간 조회 사유: {reason}"
 NO_PERIOD = "확인할 수 없음"
 LUNCH = "중식"

@@ -85,6 +85,18 @@ def compact_date(x: Column) -> Column:
     return F.when(t.rlike(parts), F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)), "yyyy-MM-dd"))
 
 
+def utc_stamp(x: Column) -> Column:
+    """A timestamp as an ISO text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def range_fault(start: Column, end: Column, most_days: int) -> Column:
+    """What is wrong with a range of two yyyyMMdd texts: date, order, length, or null for nothing."""
+    exact = lambda x: F.when(x.rlike("^[0-9]{8}$"), F.try_to_date(x, "yyyyMMdd"))
+    a, b = exact(start), exact(end)
+    return F.when(a.isNull() | b.isNull(), "date").when(a > b, "order").when(F.date_diff(b, a) >= most_days, "length")
+
+
 def without_hyphens(x: Column) -> Column:
     return F.replace(x, F.lit("-"), F.lit(""))
 

@@ -29,8 +29,10 @@ def cleaned(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def in_range(raw: DataFrame, start: str, end: str) -> DataFrame:
-    """Raw rows whose date text lies between start and end (as texts, inclusive); reaches the scan as a filter."""
-    return raw.filter(F.coalesce("MLSV_YMD", F.lit("")).between(start, end))
+    """Raw rows whose date text lies between start and end (as texts, inclusive); a null date counts as the empty text. The
+    comparison is of the column itself, so that the scan can skip what lies outside."""
+    inside = F.col("MLSV_YMD").between(start, end)
+    return raw.filter(inside | F.col("MLSV_YMD").isNull() if start == "" else inside)
 
 
 def without_codes(rows: DataFrame, codes: list[int]) -> DataFrame:

@@ -149,6 +149,18 @@ def excluded(rows: DataFrame, profile: Profile) -> int:
     return rows.agg(F.count_if(F.coalesce(F.arrays_overlap("allergy_codes", _codes(profile.allergy_codes)), F.lit(False))).alias("n")).first()["n"]
 
 
+def profile_faults(profiles: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """profile, fault for each row of a table of profiles that breaks a limit: the first of terms, spice, types, codes."""
+    known = F.lit(list((rules or Rules()).types))
+    unique = lambda c: F.size(X.ordered_distinct(F.coalesce(c, F.expr(_NO_TERMS))))
+    strange = F.size(F.array_except(X.ordered_distinct(F.coalesce("preferred_types", F.expr(_NO_TERMS))), known))
+    fault = (
+        F.when(F.greatest(unique("likes"), unique("avoids")) > 5, "terms").when(~F.coalesce("spice_level", F.lit(2)).between(1, 5), "spice")
+        .when(strange > 0, "types").when(F.exists(F.coalesce("allergy_codes", F.expr(_NO_CODES)), lambda c: ~c.between(1, 19)), "codes")
+    )
+    return profiles.select("profile", fault.alias("fault")).filter("fault is not null")
+
+
 def profile_table(profiles: DataFrame) -> dict[str, Profile]:
     """Profiles by name from a table (profile, likes, avoids, preferred_types, spice_level, allergy_codes); nulls count as
     empty lists and level 2. Profiles are what is asked, not data: some thousands at most."""

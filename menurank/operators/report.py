@@ -57,6 +57,30 @@ def run_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "PASS").alias("failed"), F.round(F.sum("seconds"), 2).alias("total_seconds"))
 
 
+def head(df: DataFrame, order: list, n: int = 5) -> DataFrame:
+    """The first n rows of an order; each task keeps n at most."""
+    return df.orderBy(*order).limit(n)
+
+
+def console(df: DataFrame, order: list, n: int = 5) -> str:
+    """The first n rows as a table of text."""
+    return head(df, order, n).toPandas().to_string(index=False)
+
+
+def model_card(facts: DataFrame, entries: dict) -> DataFrame:
+    """key, value: a card whose entries are columns over a table of one row, as texts."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, entries)), F.array(*(c.cast("string") for c in entries.values())))
+    return facts.select(F.explode(pairs).alias("key", "value"))
+
+
+def card_faults(card: DataFrame, needed: list[str]) -> DataFrame:
+    """key, fault: needed entries that a card lacks or leaves empty, and entries it has twice. None: the card is complete."""
+    listed = card.sparkSession.createDataFrame([(k,) for k in needed], "key string")
+    held = card.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("value", F.lit(""))) == "").alias("empty"))
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("empty") > 0, "empty").when(F.col("n") > 1, "twice")
+    return listed.join(held, "key", "full").select("key", fault.alias("fault")).filter("fault is not null")
+
+
 def marked_results(lines: DataFrame, marker: str, schema: str) -> DataFrame:
     """The last line of each source that begins with marker, its rest parsed as JSON. lines: source, pos, value."""
     found = lines.filter(F.col("value").startswith(marker))
@@ -71,6 +95,6 @@ def write_snapshot(raw: DataFrame, path: str, metadata: dict, least: int = 5) ->
     n = lunch.count()
     if n < least:
         raise ValueError(f"{n} rows; a snapshot needs {least}")
-    known = F.struct(*(F.lit(v).alias(k) for k, v in {**metadata, "row_count": n}.items()))
+    known = F.struct(*(F.lit(v).alias(k) for k, v in {**metadata, "row_count": n}.items() if v is not None), *([] if "fetched_at_utc" in metadata else [X.utc_stamp(F.current_timestamp()).alias("fetched_at_utc")]))
     lunch.agg(F.collect_list(F.struct(*lunch.columns)).alias("rows")).select(known.alias("metadata"), "rows").coalesce(1).write.mode("overwrite").json(path)
     return n

@@ -18,7 +18,7 @@ def raw_meals(spark, sf_dir: str) -> DataFrame:
     dish = F.concat("p_name", F.lit(" ("), (F.col("l_partkey") % 20).cast("string"), F.lit("."), (F.col("l_suppkey") % 19 + 1).cast("string"), F.lit(")"))
     lines = lines.select("l_orderkey", dish.alias("dish"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     menus = lines.groupBy("l_orderkey").agg(F.expr("listagg(dish, '<br/>') within group (order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)").alias("DDISH_NM"), F.sum(F.col("l_quantity").cast("bigint")).alias("s"))
-    who = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    who = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(who, F.col("o_custkey") == F.col("c_custkey"))
     both = orders.join(menus, F.col("o_orderkey") == F.col("l_orderkey"))
     text = lambda c: c.cast("string")

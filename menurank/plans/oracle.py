@@ -52,18 +52,19 @@ def case_spice(text: str, levels: dict) -> str:
     return "case " + " ".join(f"when {has(levels[n])} then {n}" for n in sorted(levels, reverse=True)) + " else 2 end"
 
 
-def ranking(clean: str, key: str, p, rules, name: str, top: int) -> str:
-    """CTEs over `clean` that end in `name`: the `top` best rows for profile p."""
+def ranking(clean: str, key: str, p, rules, name: str, top: int, shared: dict | None = None) -> str:
+    """CTEs over `clean` that end in `name`: the `top` best rows for profile p. shared: by allergy set the name under which
+    an earlier ranking made its safe rows and clusters."""
     features = ["calories", "carbs_g", "protein_g", "fat_g", "dish_count"]
-    safe = f"{name}_safe as materialized (select * from {clean}" + (f" where not list_has_any(allergy_codes, {list(p.allergy_codes)})" if p.allergy_codes else "") + ")"
+    of = name if shared is None else shared.setdefault(p.allergy_codes, name)
+    safe = f"{of}_safe as materialized (select * from {clean}" + (f" where not list_has_any(allergy_codes, {list(p.allergy_codes)})" if p.allergy_codes else "") + ")"
     count = lambda terms: " + ".join([f"contains(lower(menu_text), '{t}')::int" for t in terms] or ["0"])
     named = lambda terms, label: "case when " + (" or ".join([f"contains(lower(menu_text), '{t}')" for t in terms] or ["false"])) + f" then '{label}' || array_to_string(list_filter({list(terms) or ['']}, lambda t: contains(lower(menu_text), t)), ', ') end"
     kinds = f"list_filter({list(p.preferred_types) or ['']}, lambda c: list_contains({case_types('menu_text', rules.types)}, c))"
-    return f"""{safe},
-{similarity(f"{name}_safe", key, "menu_text", p.query(), f"{name}_sim")},
-{clusters(f"{name}_safe", key, features, 3, f"{name}_km")},
+    first = [safe, clusters(f"{of}_safe", key, features, 3, f"{of}_km")] if of == name else []
+    return f"""{", ".join([*first, similarity(f"{of}_safe", key, "menu_text", p.query(), f"{name}_sim")])},
 {name}_p as (select s.*, similarity, cluster_name, {count(p.likes)} nl, {count(p.avoids)} na, {kinds} kinds, abs({p.spice_level} - {case_spice("menu_text", rules.spice)}) sp
-  from {name}_safe s join {name}_sim m on m.k = {key} join {name}_km c on c.k = {key}),
+  from {of}_safe s join {name}_sim m on m.k = {key} join {of}_km c on c.k = {key}),
 {name}_v as (select *, round(greatest(0, least(100, 20 + 70 * similarity + 8 * nl + 5 * len(kinds) - 18 * na - 3 * sp)), 1)::double score,
   concat_ws(' · ', '{C.REASONS["similarity"]}' || printf('%.2f', similarity), {named(p.likes, C.REASONS["likes"])}, case when len(kinds) > 0 then '{C.REASONS["types"]}' || array_to_string(kinds, ', ') end, {named(p.avoids, C.REASONS["avoids"])}, '{C.REASONS["spice"]}' || sp::varchar) reason from {name}_p),
 {name} as (select *, row_number() over (order by score desc, date, {key}) rank from {name}_v qualify rank <= {top})"""

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as X
 from ..functions.rounding import round1
-from ..operators import kmeans, report, tfidf
+from ..operators import kmeans, report, steps, tfidf, zipping
 from ..operators import recommend as R
 from ..operators.clean import cleaned, in_range, without_codes
 from ..schemas import RAW
-from ..sources import web
+from ..sources import files, reports, web
 from . import oracle as O
 from .meals_view import CLEAN_SQL, CODES_SQL, DISHES_SQL, KEY, NUTRIENT_SQL, RAW_SQL, clean_meals, raw_meals
 
@@ -345,8 +345,120 @@ def sha256_verify(spark, sf_dir):
 
 @query("select url[: instr(url, '://') - 1] as scheme, page_id, 'page=' || page_id || '&q=a+b' as request from pages")
 def request_preview(spark, sf_dir):
-    kept = F.map_filter(F.create_map(F.lit("page"), F.col("page_id").cast("string"), F.lit("KEY"), F.lit("secret"), F.lit("q"), F.lit("a b")), lambda k, v: k != "KEY")
-    return t(spark, sf_dir, "pages").select(F.substring_index("url", "://", 1).alias("scheme"), "page_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], F.url_encode(e["value"]))), "&").alias("request"))
+    params = F.create_map(F.lit("page"), F.col("page_id").cast("string"), F.lit("KEY"), F.lit("secret"), F.lit("q"), F.lit("a b"))
+    request = F.substring_index(web.shown_url(F.col("url"), params), "?", -1)
+    return t(spark, sf_dir, "pages").select(F.substring_index("url", "://", 1).alias("scheme"), "page_id", request.alias("request"))
+
+
+@query("select o_custkey, o_orderkey, page, total, kind from (select o_custkey, o_orderkey, o_orderpriority kind, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // 10 + 1 page, count(*) over (partition by o_custkey) total from orders)")
+def school_pages(spark, sf_dir):
+    """Answers of a paged source, made of orders: a customer is a school with pages of 10. Rows and totals are read from them."""
+    own = W.partitionBy("o_custkey")
+    rows = t(spark, sf_dir, "orders").select("o_custkey", F.struct(F.col("o_orderkey").cast("string").alias("MLSV_YMD"), F.col("o_orderpriority").alias("MMEAL_SC_NM")).alias("r"), "o_orderkey")
+    rows = rows.withColumn("page", F.floor((F.row_number().over(own.orderBy("o_orderkey")) - 1) / 10) + 1).withColumn("total", F.count("*").over(own))
+    pages = rows.groupBy("o_custkey", "page").agg(F.first("total").alias("total"), F.collect_list("r").alias("row"))  # 10 at most
+    told = F.struct(F.lit(web.OK).alias("CODE"), F.lit("ok").alias("MESSAGE"))
+    head = F.struct(F.array(F.struct(F.col("total").alias("list_total_count"), told.alias("RESULT"))).alias("head"), F.lit(None).cast("array<struct<MLSV_YMD:string,MMEAL_SC_NM:string>>").alias("row"))
+    body = F.struct(F.lit(None).cast("array<struct<list_total_count:bigint,RESULT:struct<CODE:string,MESSAGE:string>>>").alias("head"), F.col("row"))
+    answers = pages.select("o_custkey", "page", F.to_json(F.struct(F.array(head, body).alias(web.MEALS))).alias("answer"))
+    told = answers.select("o_custkey", "page", web.total_count(F.col("answer"), web.MEALS, RAW).alias("total"), web.rows_in(F.col("answer"), web.MEALS, RAW).alias("rows"))
+    return told.select("o_custkey", "page", "total", F.inline("rows")).select("o_custkey", F.col("MLSV_YMD").cast("bigint").alias("o_orderkey"), "page", "total", F.col("MMEAL_SC_NM").alias("kind"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as stamp from events")
+def utc_stamp(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", X.utc_stamp(F.col("ts")).alias("stamp"))
+
+
+@query("""with r as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when l_partkey % 11 = 0 then 'x' || strftime(o_orderdate, '%Y%m%d') else strftime(o_orderdate, '%Y%m%d') end a, o_orderdate::date d,
+  (case when l_suppkey % 3 = 0 then l_shipdate - interval 60 day when l_suppkey % 3 = 1 then l_shipdate + interval 300 day else l_shipdate end)::date b from lineitem join orders on l_orderkey = o_orderkey)
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when a[1] = 'x' then 'date' when d > b then 'order' when date_diff('day', d, b) >= 366 then 'length' end as fault from r""")
+def range_checks(spark, sf_dir):
+    """Date ranges from order to shipping, some spoilt: what is wrong with each."""
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    ship, s = F.col("l_shipdate").cast("date"), F.col("l_suppkey") % 3
+    end = F.when(s == 0, F.date_sub(ship, 60)).when(s == 1, F.date_add(ship, 300)).otherwise(ship)
+    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    start = F.concat(F.when(F.col("l_partkey") % 11 == 0, "x").otherwise(""), day("o_orderdate"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", X.range_fault(start, day(end), web.MOST_DAYS).alias("fault"))
+
+
+@query("""select c_custkey as profile, case when c_custkey % 7 = 0 then 'terms' when c_custkey % 6 not between 1 and 5 then 'spice' when c_custkey % 10 = 9 then 'types' when c_custkey % 25 not between 1 and 19 then 'codes' end as fault from customer
+where c_custkey % 7 = 0 or c_custkey % 6 = 0 or c_custkey % 10 = 9 or c_custkey % 25 not between 1 and 19""")
+def profile_faults(spark, sf_dir):
+    """A profile for each customer, and the first limit that it breaks."""
+    k = F.col("c_custkey")
+    likes = F.when(k % 7 == 0, F.lit(["a", "b", "c", "d", "e", "f"])).otherwise(F.lit(["a", " a", "b", "c", "d", "e", ""]))
+    types = F.when(k % 10 == 9, F.lit(["toy", "none"])).otherwise(F.lit(["toy", "round"]))
+    made = t(spark, sf_dir, "customer").select(k.alias("profile"), likes.alias("likes"), F.lit(None).cast("array<string>").alias("avoids"), types.alias("preferred_types"), (k % 6).cast("int").alias("spice_level"), F.array((k % 25).cast("int"), F.lit(7)).alias("allergy_codes"))
+    return R.profile_faults(made, RULES)
+
+
+@query("select e.event_id, e.event_type, o.o_orderkey, o.o_totalprice, e.position from (select *, row_number() over (order by ts desc, event_id) - 1 as position from events) e join (select *, row_number() over (order by o_totalprice, o_orderkey) - 1 as position from orders) o on e.position = o.position")
+def positional_zip(spark, sf_dir):
+    """Events, latest first, beside orders, cheapest first."""
+    events = t(spark, sf_dir, "events").select("event_id", "event_type", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return zipping.zipped(events, ["age", "event_id"], orders, ["o_totalprice", "o_orderkey"]).drop("age")
+
+
+@query("select event_type as chapter, count_if(event_id % 3 <> 0)::bigint as passed, count_if(event_id % 3 = 0)::bigint as failed, round(sum(value), 1) as total_seconds from events group by 1 union all select 'all', count_if(event_id % 3 <> 0)::bigint, count_if(event_id % 3 = 0)::bigint, round(sum(value), 1) from events")
+def report_round_trip(spark, sf_dir):
+    """Runs written through the report sink, read again: its rows by chapter, and its own totals."""
+    runs = t(spark, sf_dir, "events").select(F.col("event_type").alias("chapter"), F.when(F.col("event_id") % 3 != 0, "PASS").otherwise("FAIL").alias("status"), F.col("value").alias("seconds"))
+    path = steps.shared(spark)
+    reports.write_report(runs, path)
+    rows = reports.report_rows(spark, path, "chapter string, status string, seconds double").groupBy("chapter")
+    passed = F.count_if(F.col("status") == "PASS")
+    own = rows.agg(passed.alias("passed"), (F.count("*") - passed).alias("failed"), F.round(F.sum("seconds"), 1).alias("total_seconds"))
+    return own.unionByName(reports.report_totals(spark, path).select(F.lit("all").alias("chapter"), "passed", "failed", F.round("total_seconds", 1).alias("total_seconds")))
+
+
+@query(f"with {CLEAN_SQL} select row_id, strftime(date, '%Y-%m-%d') as day, menu_text, calories from clean order by date, row_id limit 5")
+def ordered_head(spark, sf_dir):
+    rows = clean_meals(spark, sf_dir).select(KEY, F.date_format("date", "yyyy-MM-dd").alias("day"), "menu_text", "calories")
+    return report.head(rows, ["day", KEY])
+
+
+_CARD = ["purpose", "data", "period", "method", "limits", "notice"]
+
+
+@query(f"with {CLEAN_SQL}, f as (select count(*) n, strftime(min(date), '%Y-%m-%d') a, strftime(max(date), '%Y-%m-%d') b from clean) select 'data' as key, n || ' meals' as value, null as fault from f union all select 'period', a || ' to ' || b, null from f union all select 'method', 'ranking', null union all select 'notice', '{C.SAFETY_NOTICE}', null union all select 'limits', ' ', 'empty' union all select 'purpose', null, 'missing'")
+def model_card(spark, sf_dir):
+    """A card of the ranking of these meals, one entry forgotten and one left empty, and what the check says."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    facts = clean_meals(spark, sf_dir).agg(F.count("*").alias("n"), day(F.min("date")).alias("a"), day(F.max("date")).alias("b"))
+    card = report.model_card(facts, {"data": F.concat("n", F.lit(" meals")), "period": F.concat("a", F.lit(" to "), "b"), "method": F.lit("ranking"), "limits": F.lit(" "), "notice": F.lit(C.SAFETY_NOTICE)})
+    return card.join(report.card_faults(card, _CARD), "key", "full")
+
+
+_PERIOD = f"with {RAW_SQL} select MLSV_YMD, MMEAL_SC_NM, DDISH_NM from raw where SCHUL_NM = 'NATION_16' and MMEAL_SC_NM = '5-LOW' and MLSV_YMD between '19970101' and '19971231'"
+
+
+def _lunches(spark, sf_dir):
+    """What a snapshot is made of: one school's lunches of one year."""
+    rows = in_range(raw_meals(spark, sf_dir), "19970101", "19971231").filter("SCHUL_NM = 'NATION_16' and MMEAL_SC_NM = '5-LOW'")
+    return rows.withColumn("MMEAL_SC_NM", F.lit(C.LUNCH))
+
+
+@query(_PERIOD.replace("select MLSV_YMD, MMEAL_SC_NM", f"select MLSV_YMD, '{C.LUNCH}' as MMEAL_SC_NM"))
+def snapshot_round_trip(spark, sf_dir):
+    path = steps.shared(spark)
+    report.write_snapshot(_lunches(spark, sf_dir), path, {"school_name": "NATION_16", "query_start": "19970101", "query_end": "19971231"}, 0)
+    return files.snapshot(spark, path, "NATION_16").select("MLSV_YMD", "MMEAL_SC_NM", "DDISH_NM")
+
+
+@query(f"with {CLEAN_SQL} select strftime(c.date, '%Y-%m-%d') as day, c.menu_text, '{C.FALLBACK_LABEL.format(reason='down')}' as label from clean c where school_name = 'NATION_16' and meal_type = '5-LOW' and date between date '1997-03-01' and date '1997-08-31'")
+def live_or_snapshot(spark, sf_dir):
+    """The live source fails, so a snapshot's meals of the period come instead, cleaned, and the label says why."""
+
+    def down(*_):
+        raise web.SourceError("down")
+
+    path = steps.shared(spark)
+    report.write_snapshot(_lunches(spark, sf_dir), path, {"school_name": C.FALLBACK_SCHOOL}, 0)
+    rows, label = files.meal_table(spark, C.FALLBACK_SCHOOL, "19970301", "19970831", path, down)
+    return rows.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "menu_text", F.lit(label).alias("label"))
 
 
 @query("select o_custkey, array_to_string(list_sort(list(distinct o_orderpriority)), ',') as kinds, min(strftime(o_orderdate, '%Y-%m-%d')) as low, max(strftime(o_orderdate, '%Y-%m-%d')) as high from orders group by o_custkey")
@@ -355,6 +467,58 @@ def distinct_sorted(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("kinds"), F.min(day).alias("low"), F.max(day).alias("high"))
 
 
+def _twenty() -> dict:
+    """Twenty profiles with three allergy sets."""
+    words, kinds = ["bolt", "gear", "anvil", "widget", "red", "small", "plate", "gizmo"], ["round", "flat", "heavy", "toy"]
+    codes = [(), (3,), (7, 11)]
+    return {f"p{i:02}": R.Profile((words[i % 8], f"{words[i % 5]} {words[(i + 3) % 8]}"), (words[(i + 2) % 8],), (kinds[i % 4],), i % 5 + 1, codes[i % 3]) for i in range(20)}
+
+
+def _twenty_sql() -> str:
+    made, shared, out = [], {}, []
+    for name, p in _twenty().items():
+        made.append(O.ranking("clean", KEY, p, RULES, name, 5, shared))
+        out.append(f"select '{name}' as profile, rank::int as rank, {_MENU_SQL} from {name}")
+    return f"with {CLEAN_SQL}, {', '.join(made)} " + " union all ".join(out)
+
+
+@query(_twenty_sql())
+def recommend_twenty_profiles(spark, sf_dir):
+    """Profiles as a table, ranked in one plan."""
+    table = spark.createDataFrame([(n, list(p.likes), list(p.avoids), list(p.preferred_types), p.spice_level, list(p.allergy_codes)) for n, p in _twenty().items()], "profile string, likes array<string>, avoids array<string>, preferred_types array<string>, spice_level int, allergy_codes array<int>")
+    return menu(R.batch(clean_meals(spark, sf_dir), KEY, table, 5, RULES), "profile", "rank")
+
+
+_SETS = [(), (5,), (2, 14), (1, 9, 17)]
+
+
+@query(f"with {CLEAN_SQL}, " + ", ".join(f"s{i} as materialized (select * from clean where not list_has_any(allergy_codes, {list(c)}::int[])), {O.clusters(f's{i}', KEY, kmeans.FEATURES, 3, f'km{i}')}" for i, c in enumerate(_SETS)) + " " + " union all ".join(f"select {i} as part, k as row_id, cluster_name from km{i}" for i in range(len(_SETS))))
+def kmeans_of_sets(spark, sf_dir):
+    """Labels of the meals that each of four allergy sets leaves, fitted together."""
+    rows = steps.written(clean_meals(spark, sf_dir))
+    safe = [~F.arrays_overlap("allergy_codes", F.lit(list(c)).cast("array<int>")) if c else F.lit(True) for c in _SETS]
+    fits = kmeans.fitted(rows, KEY, safe)
+    each = F.array(*(F.when(s, F.struct(F.lit(i).alias("part"), f.name().alias("cluster_name"))) for i, (s, f) in enumerate(zip(safe, fits, strict=True))))
+    return rows.select(KEY, F.inline(F.array_compact(each))).select("part", KEY, "cluster_name")
+
+
+@query("with s as (select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority, o_orderkey) - 1 as place, count(*) over () n from orders) select round_even(i * (n - 1) / 7.0, 0)::bigint as place, o_orderpriority, o_orderkey from s join (select range i from range(8)) on place = round_even(i * (n - 1) / 7.0, 0)")
+def order_statistics(spark, sf_dir):
+    """Orders at eight evenly spaced places of the order by priority (five values) and key."""
+    rows = t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    n = rows.count()
+    places = [round(i * (n - 1) / 7) for i in range(8)]
+    got = kmeans.at_positions(rows, ["o_orderpriority", "o_orderkey"], places)
+    return spark.createDataFrame([(p, r["o_orderpriority"], r["o_orderkey"]) for p, r in zip(places, got, strict=True)], "place long, o_orderpriority string, o_orderkey long")
+
+
+@query(f"with {CLEAN_SQL}, {O.ranking('clean', KEY, SECOND, RULES, 'a', 3)}, x as (select count_if(list_has_any(allergy_codes, {list(SECOND.allergy_codes)})) n from clean) select replace(replace('{C.SUMMARY.format(shown='#shown', excluded='#excluded', notice=C.SAFETY_NOTICE)}', '#shown', (select count(*) from a)::varchar), '#excluded', n::varchar) as summary from x")
+def recommendation_summary(spark, sf_dir):
+    """The text beside a result table: how many meals it shows, and how many the allergy codes excluded."""
+    summary, shown = report.run_recommendation(clean_meals(spark, sf_dir), KEY, likes_text="widget, ,widget", avoids_text="small rod", preferred_types=["toy"], spice_level=5, allergy_codes=[3], top=3, rules=RULES)
+    return shown.agg(F.lit(summary).alias("summary"))
+
+
 @query(f"with {CLEAN_SQL} select school_name, row_id, rank::int as rank from (select *, row_number() over (partition by school_name order by calories desc, row_id) rank from clean) where rank <= 3")
 def top_per_school(spark, sf_dir):
     order = W.partitionBy("school_name").orderBy(F.desc("calories"), KEY)

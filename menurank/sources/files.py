@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.clean import cleaned, in_range
+from ..operators.steps import written
 from ..schemas import MANIFEST, RAW, SNAPSHOT
 from .web import SourceError, date_range
 
@@ -34,17 +36,13 @@ def snapshot(spark: SparkSession, path: str, school: str, least: int = 0) -> Dat
 
 
 def read_once(rows: DataFrame) -> DataFrame:
-    """rows, read now and kept, so that a page that fails does so here, as a SourceError, and no page is asked for again
-    while its copy is there. A school's period is a few hundred rows."""
-    rows = rows.persist()
+    """rows, read now and written, so that a page that fails does so here, as a SourceError, and no page is asked for again."""
     try:
-        rows.count()
+        return written(rows)
     except PySparkException as e:
-        rows.unpersist()
         if told := re.search(r"SourceError: ([^\n]*)", str(e)):
             raise SourceError(told[1]) from None
         raise
-    return rows
 
 
 def meal_table(spark: SparkSession, school: str, start: str, end: str, fallback: str, fetch: Callable[[str, str, str], DataFrame], on_empty: str = "error") -> tuple[DataFrame, str]:
@@ -90,6 +88,17 @@ def sample_table(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def setup(spark: SparkSession, start: str | Path | None = None, sample: str = "data/sample.json") -> dict:
+    """What a session begins with: root (the nearest folder from start upwards that holds the sample), rows, table and source."""
+    here = Path(start or Path.cwd()).resolve()
+    here = here.parent if here.is_file() else here
+    root = next((f for f in (here, *here.parents) if (f / sample).is_file()), None)
+    if root is None:
+        raise SourceError(f"no folder from {here} upwards holds {sample}")
+    path = str(root / sample)
+    return {"root": root, "rows": snapshot(spark, path, C.FALLBACK_SCHOOL, 1), "table": sample_table(spark, path), "source": C.SAMPLE_LABEL}
+
+
 def verified_corpus(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
     """title, file, text of the manifest's files; reading a file whose SHA-256 differs, or that is missing, fails."""
     listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest).select(F.inline("documents")).select("title", "file", "sha256")

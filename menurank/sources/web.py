@@ -10,12 +10,13 @@ import json
 import os
 import sys
 from datetime import date, datetime
+from typing import NamedTuple
 from urllib.parse import urlencode
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import RAW, SCHOOL, SCHOOL_ROW, envelope
 
@@ -48,25 +49,47 @@ def shown(url: str, params: dict) -> str:
     return f"{url}?{urlencode({k: v for k, v in params.items() if k.upper() != 'KEY'})}"
 
 
-def get_json(url: str, params: dict, http_get=None, key: str | None = None) -> dict:
+def shown_url(url, params):
+    """`shown` of columns: an address and a map of parameters, in the map's order."""
+    kept = F.map_entries(F.map_filter(params, lambda k, _: F.upper(k) != "KEY"))
+    return F.concat(url, F.lit("?"), F.array_join(F.transform(kept, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&"))
+
+
+class Answer(NamedTuple):
+    """What a request gave: the object, the address without the key, and the status (None if the transport tells none)."""
+
+    json: dict
+    url: str
+    status: int | None
+
+
+def request(url: str, params: dict, http_get=None, key: str | None = None) -> Answer:
     """One request; any failure or an answer that is no object is a SourceError that doesn't carry the key."""
-    secret = (key or "").strip()
+    secret, status = (key or "").strip(), None
     if http_get is None:
         from urllib.request import urlopen
 
         def http_get(u, params, timeout):
-            return json.load(urlopen(f"{u}?{urlencode(params)}", timeout=timeout))
+            nonlocal status
+            with urlopen(f"{u}?{urlencode(params)}", timeout=timeout) as got:
+                status = got.status
+                return json.load(got)
 
     try:
         answer = http_get(url, params={**params, **({"KEY": secret} if secret else {})}, timeout=TIMEOUT_S)
         if hasattr(answer, "raise_for_status"):
             answer.raise_for_status()
+            status = getattr(answer, "status_code", None)
             answer = answer.json()
     except Exception:
         raise SourceError(f"no answer from {shown(url, params)}") from None
     if not isinstance(answer, dict):
         raise SourceError("the answer is no object")
-    return answer
+    return Answer(answer, shown(url, params), status)
+
+
+def get_json(url: str, params: dict, http_get=None, key: str | None = None) -> dict:
+    return request(url, params, http_get, key).json
 
 
 FORM = "the answer has another form"
@@ -145,6 +168,47 @@ class PagedReader(DataSourceReader):
             yield tuple(row.get(c) for c in self.columns)
 
 
+class Rows(InputPartition):
+    """Rows first to last (exclusive) of the source's order, all on one page."""
+
+    def __init__(self, number: int, first: int, last: int):
+        self.number, self.first, self.last = number, first, last
+
+
+class PagedStreamReader(PagedReader, DataSourceStreamReader):
+    """The source as a stream: an offset is how many rows have been read. Without option partial="true" a page is read once
+    it is full, so that no page is ever asked for twice; with it a page that has grown is read again for its new rows."""
+
+    def initialOffset(self) -> dict:
+        return {"rows": 0}
+
+    def latestOffset(self) -> dict:
+        size = int(self.options.get("page_size", PAGE_ROWS))
+        probe = {"Type": "json", "pIndex": 1, "pSize": 1, **json.loads(self.options.get("filters", "{}"))}
+        answer = get_json(self.options["url"], probe, self.http_get, self.options.get("key") or os.environ.get("MEALS_API_KEY"))
+        rows_of(answer, self.options["dataset"])  # an answer that is an error raises
+        total = total_of(answer, self.options["dataset"]) or 0
+        return {"rows": total if self.options.get("partial") == "true" else total // size * size}
+
+    def partitions(self, start: dict, end: dict) -> list[Rows]:
+        size, out, at = int(self.options.get("page_size", PAGE_ROWS)), [], start["rows"]
+        while at < end["rows"]:
+            upto = min(end["rows"], (at // size + 1) * size)
+            out.append(Rows(at // size + 1, at % size, upto - at // size * size))
+            at = upto
+        return out
+
+    def read(self, partition: Rows):
+        got = rows_of(self.page(partition.number), self.options["dataset"])[partition.first : partition.last]
+        if len(got) < partition.last - partition.first:
+            raise SourceError("a page has fewer rows than the source said")
+        for row in got:
+            yield tuple(row.get(c) for c in self.columns)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to do: the stream's checkpoint keeps the offset."""
+
+
 def paged_source(name: str, schema, http_get=None) -> type[DataSource]:
     """A data source class to register; http_get (picklable) does the requests."""
 
@@ -159,6 +223,9 @@ def paged_source(name: str, schema, http_get=None) -> type[DataSource]:
         def reader(self, schema):
             return PagedReader(schema, self.options, http_get)
 
+        def streamReader(self, schema):
+            return PagedStreamReader(schema, self.options, http_get)
+
     return Paged
 
 
@@ -187,14 +254,58 @@ def meals(spark: SparkSession, url: str, school: DataFrame, start: str, end: str
     return spark.read.format("paged_meals").options(**options).load()
 
 
+def meals_of_schools(spark: SparkSession, url: str, names: DataFrame, start: str, end: str, http_get=None, page_rows: int = PAGE_ROWS, key: str | None = None) -> DataFrame:
+    """Raw meals of all schools named in the column `name`, each with that name: two lateral calls of the source, one that
+    looks a school up and one that reads its pages. Tasks do so for their own names; the driver sees none of them.
+
+    Names are stripped; blank and null ones are left out, repeated ones asked for once. A name that no school has exactly, or
+    an answer that is an error, fails the job. A school's period is at most MOST_DAYS days, so its pages are few."""
+    from pyspark.sql.functions import udtf
+
+    date_range(start, end)
+    columns = [f.name for f in RAW.fields]
+
+    class Lookup:
+        def eval(self, name: str):
+            answer = get_json(f"{url}/{SCHOOLS}", {"Type": "json", "pIndex": 1, "pSize": 100, "SCHUL_NM": name}, http_get, key)
+            for row in rows_of(answer, SCHOOLS):
+                if str(row.get("SCHUL_NM") or "").strip() == name:
+                    yield str(row.get("ATPT_OFCDC_SC_CODE") or ""), str(row.get("SD_SCHUL_CODE") or "")
+                    return
+            raise SourceError(f"no school is named exactly '{name}'")
+
+    class Pages:
+        def eval(self, office: str, school: str):
+            filters = {"ATPT_OFCDC_SC_CODE": office, "SD_SCHUL_CODE": school, "MLSV_FROM_YMD": start, "MLSV_TO_YMD": end}
+            number, seen = 1, 0
+            while True:
+                answer = get_json(f"{url}/{MEALS}", {"Type": "json", "pIndex": number, "pSize": page_rows, **filters}, http_get, key)
+                rows, total = rows_of(answer, MEALS), total_of(answer, MEALS)
+                for row in rows:
+                    yield tuple(row.get(c) for c in columns)
+                number, seen = number + 1, seen + len(rows)
+                if not rows or total is None or seen >= total:
+                    return
+
+    look_up = udtf(Lookup, returnType="office_code string, school_code string")
+    read = udtf(Pages, returnType=RAW)
+    wanted = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
+    schools = wanted.lateralJoin(look_up(F.col("name").outer()))
+    return schools.lateralJoin(read(F.col("office_code").outer(), F.col("school_code").outer())).select("name", *columns)
+
+
+def rows_in(column, dataset: str, row):
+    """The rows in a stored JSON answer, null without any; an error code or another form raises when read."""
+    a = F.from_json(column, envelope(dataset, row))
+    heads = F.filter(F.get(a[dataset], F.lit(0))["head"], lambda h: h["RESULT"].isNotNull())
+    code = F.coalesce(a["RESULT"]["CODE"], F.get(heads, F.lit(0))["RESULT"]["CODE"], F.lit(OK))
+    bad = (~code.isin(OK, NONE)) | (a["RESULT"].isNotNull() & (code == OK)) | (a["RESULT"].isNull() & (F.coalesce(F.size(a[dataset]), F.lit(0)) < 2))
+    return F.when(bad, F.raise_error(F.concat(F.lit("answer: "), code))).when(code == OK, F.get(a[dataset], F.lit(1))["row"])
+
+
 def unnested(answers: DataFrame, column: str, dataset: str, row) -> DataFrame:
-    """Rows in stored JSON answers; an error code or another form raises when read. Answers without rows give none."""
-    parsed = answers.select(F.from_json(column, envelope(dataset, row)).alias("a"))
-    heads = F.filter(F.get(F.col(f"a.{dataset}"), F.lit(0))["head"], lambda h: h["RESULT"].isNotNull())
-    code = F.coalesce(F.col("a.RESULT.CODE"), F.get(heads, F.lit(0))["RESULT"]["CODE"], F.lit(OK))
-    bad = (~code.isin(OK, NONE)) | (F.col("a.RESULT").isNotNull() & (code == OK)) | (F.col("a.RESULT").isNull() & (F.coalesce(F.size(f"a.{dataset}"), F.lit(0)) < 2))
-    rows = F.when(bad, F.raise_error(F.concat(F.lit("answer: "), code))).when(code == OK, F.get(F.col(f"a.{dataset}"), F.lit(1))["row"])
-    return parsed.select(F.inline(rows))
+    """Rows in stored JSON answers (see `rows_in`). Answers without rows give none."""
+    return answers.select(F.inline(rows_in(F.col(column), dataset, row)))
 
 
 def total_count(column, dataset: str, row):

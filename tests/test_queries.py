@@ -22,3 +22,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == registry.TOP
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["snapshot_round_trip", "live_or_snapshot", "positional_zip", "order_statistics", "school_pages", "range_checks", "profile_faults"])
+def test_has_rows(spark, name):
+    assert registry.QUERIES[name](spark, SF).limit(1).count() == 1

@@ -114,3 +114,86 @@ def test_batch_agrees_with_single_profiles(spark):
 def test_input_order_changes_nothing(spark):
     p = Profile(("파스타",))
     assert recommend(table(spark), "row_id", p, 4).collect() == recommend(table(spark, MEALS[::-1]), "row_id", p, 4).collect()
+
+
+def test_selection_where_one_value_fills_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "MOST_AT_ONCE", 60)
+    monkeypatch.setattr(kmeans, "SAMPLE", 40)
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(5).cast("double").alias("c"), ((F.col("id") * 2741) % 4001).alias("k"))
+    want = sorted((r["c"], r["k"]) for r in rows.collect())
+    places = [0, 1, 399, 400, 1999, 2000, 3600, 3998, 3999]
+    assert [(r["c"], r["k"]) for r in kmeans.at_positions(rows, ["c", "k"], places)] == [want[p] for p in places]
+    named = rows.select(F.lit("same").alias("c"), F.concat(F.lit("key"), "k").alias("k"))  # texts, and a single value
+    got = kmeans.at_positions(named, ["c", "k"], [0, 2222])
+    assert [r["k"] for r in got] == [sorted(f"key{k}" for _, k in want)[p] for p in (0, 2222)]
+
+
+def test_groups_are_fitted_as_if_alone(spark):
+    rows = spark.range(300).select(F.col("id").alias("row_id"), *((F.col("id") * m % 97).cast("double").alias(c) for m, c in zip((7, 11, 13, 17, 3), kmeans.FEATURES)))
+    rows = rows.withColumn("calories", F.when(F.col("row_id") % 9 != 0, F.col("calories"))).withColumn("fat_g", F.when(F.col("row_id") % 8 != 0, F.col("fat_g")))
+    groups = [F.lit(True), F.col("row_id") % 3 == 0, F.col("row_id") < 2, F.col("row_id") > 1000, F.col("row_id") % 9 == 0]
+    for group, fit in zip(groups, kmeans.fitted(rows, "row_id", groups), strict=True):
+        own = rows.filter(group)
+        alone = {r["row_id"]: r["cluster_name"] for r in kmeans.labelled(own, "row_id").collect()}
+        assert {r["row_id"]: r["n"] for r in own.select("row_id", fit.name().alias("n")).collect()} == alone
+    assert len(set(alone.values())) == 1  # no row of the last group has all values
+
+
+def test_profiles_as_a_table_in_blocks(spark, monkeypatch):
+    from menurank.operators import recommend as R
+
+    profiles = {f"p{i}": Profile(("파스타",) if i % 2 else ("밥", "국"), spice_level=1 + i % 5, allergy_codes=(9,) if i % 3 else ()) for i in range(7)}
+    rows = [(n, list(p.likes), None, None, p.spice_level, list(p.allergy_codes) or None) for n, p in profiles.items()]
+    given = spark.createDataFrame(rows, "profile string, likes array<string>, avoids array<string>, preferred_types array<string>, spice_level int, allergy_codes array<int>")
+    whole = [(r["profile"], r["rank"], r["row_id"], r["score"], r["cluster_name"]) for r in batch(table(spark), "row_id", given, 2).collect()]
+    monkeypatch.setattr(R, "AT_ONCE", 3)
+    assert sorted((r["profile"], r["rank"], r["row_id"], r["score"], r["cluster_name"]) for r in batch(table(spark), "row_id", given, 2).collect()) == sorted(whole)
+    assert len(whole) == 14
+    with pytest.raises(ValueError):
+        batch(table(spark), "row_id", given.union(given), 2)
+    bad = given.withColumn("likes", F.when(F.col("profile") == "p1", F.lit(list("abcdef"))).otherwise(F.col("likes")))
+    assert [tuple(r) for r in R.profile_faults(bad).collect()] == [("p1", "terms")]
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_similarity_with_and_without_a_broadcast(spark, monkeypatch, cells):
+    monkeypatch.setattr(tfidf, "BROADCAST_CELLS", cells)
+    got = {r["row_id"]: round(r["similarity"], 9) for r in tfidf.similarity(table(spark), "row_id", "menu_text", "비빔밥 파스타").collect()}
+    texts = {m[0]: " ".join(m[1]) for m in MEALS}
+
+    def grams(t):
+        return [p[i : i + z] for w in t.split() for p in [f" {w} "] for z in (2, 3, 4) for i in range(len(p) - z + 1)]
+
+    import math
+    from collections import Counter
+
+    vectors = {k: Counter(grams(t)) for k, t in {**texts, None: "비빔밥 파스타"}.items()}
+    df = Counter(g for v in vectors.values() for g in v)
+    weigh = {k: {g: n * (math.log((1 + len(vectors)) / (1 + df[g])) + 1) for g, n in v.items()} for k, v in vectors.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    q = weigh.pop(None)
+    assert got == {k: round(sum(x * q.get(g, 0) for g, x in v.items()) / norm(v) / norm(q), 9) for k, v in weigh.items()}
+
+
+def test_nothing_stays_cached(spark):
+    spark.catalog.clearCache()
+    recommend(table(spark), "row_id", Profile(("파스타",)), 2).collect()
+    report.run_recommendation(table(spark), "row_id", top=2)[1].collect()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_positional_zip(spark):
+    from menurank.operators.zipping import numbered, zipped
+
+    left = spark.range(1000).select(((F.col("id") * 7) % 1000).alias("a"))
+    right = spark.range(400).select((1000 - F.col("id")).alias("b"), F.lit("x").alias("t"))
+    rows, n = numbered(left.repartition(7), ["a"])
+    assert n == 1000 and all(r["a"] == r["position"] for r in rows.collect())
+    got = zipped(left, ["a"], right, ["b"]).collect()
+    assert len(got) == 400 and all(r["a"] == r["position"] and r["b"] == 601 + r["position"] for r in got)
+    with pytest.raises(ValueError, match="1000 rows beside 400"):
+        zipped(left, ["a"], right, ["b"], strict=True)
+    with pytest.raises(ValueError, match="a"):
+        zipped(left, ["a"], left, ["a"])
+    assert zipped(left.limit(0), ["a"], right, ["b"], name="p").count() == 0
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -170,3 +170,117 @@ def test_a_root_result_without_rows_is_no_answer(spark):
         web.rows_of(odd, "d")
     with pytest.raises(Exception, match="INFO-000"):
         web.unnested(spark.createDataFrame([(json.dumps(odd),)], "a string"), "a", "d", RAW).collect()
+
+
+def test_answers_carry_status_and_safe_address():
+    class Response:
+        status_code = 203
+
+        def raise_for_status(self):
+            pass
+
+        def json(self):
+            return {"a": 1}
+
+    got = web.request(URL, {"b": 2}, lambda url, params, timeout: Response(), "s3cret")
+    assert got == ({"a": 1}, f"{URL}?b=2", 203) and web.request(URL, {}, lambda *a, **k: {"x": 1}).status is None
+
+
+def two_schools(url, params, timeout):
+    if url.endswith(web.SCHOOLS):
+        return answer(web.SCHOOLS, [{"SCHUL_NM": n, "ATPT_OFCDC_SC_CODE": "O", "SD_SCHUL_CODE": n[-1]} for n in ("school 1", "school 2", "school 22") if n.startswith(params["SCHUL_NM"])])
+    every = [meal(f"202607{i:02}", SCHUL_NM=f"school {params['SD_SCHUL_CODE']}") for i in range(1, 6 + int(params["SD_SCHUL_CODE"]))]
+    first = (params["pIndex"] - 1) * params["pSize"]
+    return answer(web.MEALS, every[first : first + params["pSize"]], len(every))
+
+
+def test_meals_of_many_schools_without_a_driver_loop(spark):
+    names = spark.createDataFrame([(" school 1",), ("school 2",), ("school 1",), (" ",), (None,)], "name string")
+    got = web.meals_of_schools(spark, URL, names, "20260701", "20260731", two_schools, 2)
+    rows = got.collect()
+    assert got.columns[0] == "name" and sorted((r["name"], r["MLSV_YMD"]) for r in rows) == [(f"school {k}", f"202607{i:02}") for k in (1, 2) for i in range(1, 6 + k)]
+    assert all(r["SCHUL_NM"] == r["name"] for r in rows)
+    with pytest.raises(Exception, match="no school is named exactly"):
+        web.meals_of_schools(spark, URL, spark.createDataFrame([("school",)], "name string"), "20260701", "20260731", two_schools).collect()
+
+
+def test_stream_of_pages_reads_no_page_twice(spark, tmp_path):
+    log, size = str(tmp_path / "asked"), str(tmp_path / "size")
+
+    def growing(url, params, timeout):
+        if params["pSize"] > 1:
+            with open(log, "a") as f:
+                f.write(f"{params['pIndex']} ")
+        with open(size) as f:
+            every = [meal(f"202607{i:02}") for i in range(1, 1 + int(f.read()))]
+        first = (params["pIndex"] - 1) * params["pSize"]
+        return answer(web.MEALS, every[first : first + params["pSize"]], len(every))
+
+    def run():
+        options = {"url": URL, "dataset": web.MEALS, "page_size": "2"}
+        query = spark.readStream.format("streamed_meals").options(**options).load().select("MLSV_YMD").writeStream.format("parquet")
+        q = query.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        try:
+            import time
+
+            for _ in range(60):
+                q.processAllAvailable() if q.isActive else None
+                time.sleep(0.5)
+                if q.lastProgress:
+                    break
+        finally:
+            q.stop()
+        return sorted(r[0] for r in spark.read.schema("MLSV_YMD string").parquet(str(tmp_path / "out")).collect())
+
+    spark.dataSource.register(web.paged_source("streamed_meals", RAW, growing))
+    open(size, "w").write("5")
+    assert run() == [f"202607{i:02}" for i in range(1, 5)]  # the fifth row's page isn't full
+    open(size, "w").write("8")
+    assert run() == [f"202607{i:02}" for i in range(1, 9)]
+    asked = open(log).read().split()
+    assert sorted(asked) == ["1", "2", "3", "4"]
+
+
+def test_partitions_of_a_stream():
+    reader = web.PagedStreamReader(RAW, {"page_size": "10"}, None)
+    made = [(p.number, p.first, p.last) for p in reader.partitions({"rows": 7}, {"rows": 25})]
+    assert made == [(1, 7, 10), (2, 0, 10), (3, 0, 5)] and reader.partitions({"rows": 5}, {"rows": 5}) == [] and reader.initialOffset() == {"rows": 0}
+
+
+def test_report_sink_commits_whole_and_aborts_clean(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from menurank.sources import reports
+
+    path = str(tmp_path / "report")
+    runs = spark.range(100).repartition(5).select(F.col("id").cast("string").alias("chapter"), F.when(F.col("id") % 4 == 0, "FAIL").otherwise("PASS").alias("status"), (F.col("id") / 8).alias("seconds"))
+    reports.write_report(runs, path)
+    assert reports.report_totals(spark, path).drop("parts").first() == (75, 25, round(sum(i / 8 for i in range(100)), 2))
+    assert reports.report_rows(spark, path, "chapter string, status string, seconds double").count() == 100
+    before = sorted(p.name for p in (tmp_path / "report").iterdir())
+    breaks = runs.withColumn("seconds", F.when(F.col("chapter") == "77", F.raise_error(F.lit("broken"))).otherwise(F.col("seconds")))
+    with pytest.raises(Exception, match="broken"):
+        reports.write_report(breaks, path)
+    assert sorted(p.name for p in (tmp_path / "report").iterdir()) == before  # the old report stands, nothing is left over
+    (tmp_path / "report" / "part-stray.json").write_text('{"chapter": "stray", "status": "PASS", "seconds": 1}')
+    assert reports.report_rows(spark, path, "chapter string").filter("chapter = 'stray'").count() == 0
+    reports.write_report(runs.limit(0), path)
+    assert reports.report_totals(spark, path).first()["passed"] == 0 and reports.report_rows(spark, path, "chapter string").count() == 0
+    with pytest.raises(Exception, match="missing columns: seconds"):
+        reports.write_report(runs.drop("seconds"), path)
+
+
+def test_setup_and_card(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "sample.json").write_text(json.dumps({"metadata": {"school_name": C.FALLBACK_SCHOOL}, "rows": [meal("20260701"), meal("20260702")]}, ensure_ascii=False))
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    got = files.setup(spark, tmp_path / "a" / "b")
+    assert got["root"] == tmp_path and got["rows"].count() == got["table"].count() == 2 and got["source"] == C.SAMPLE_LABEL
+    with pytest.raises(web.SourceError):
+        files.setup(spark, tmp_path / "a" / "b", "data/other.json")
+    card = report.model_card(spark.range(1), {"a": F.lit("x"), "b": F.lit(None), "c": F.col("id")})
+    assert report.card_faults(card, ["a", "c"]).collect() == [("b", "empty")]
+    assert sorted(report.card_faults(card.union(card.limit(1)), ["a", "d"]).collect()) == [("a", "twice"), ("b", "empty"), ("d", "missing")]
+    assert "20260702" in report.console(got["rows"].select("MLSV_YMD"), [F.desc("MLSV_YMD")], 1) and report.head(got["rows"], ["MLSV_YMD"], 1).first()["MLSV_YMD"] == "20260701"

@@ -16,14 +16,14 @@ def one(spark, column, **values):
 
 
 def test_dishes_decode_before_they_split(spark):
-    raw = "잡곡밥 (1.2)&lt;br/&gt;미역국<br />제육  볶음 (5.6.10)<BR>(3)"
-    assert one(spark, X.dishes(F.col("t")), t=raw) == ["잡곡밥", "미역국", "제육 볶음"]
+    raw = "soup (4)&lt;BR&gt;rye&nbsp;bread<br  />green\t peas (7.11)<br>(2)&lt;br/&gt; "
+    assert one(spark, X.dishes(F.col("t")), t=raw) == ["soup", "rye bread", "green peas"]
 
 
 def test_a_bad_code_spoils_its_group_but_its_text_goes(spark):
-    assert one(spark, X.codes(F.col("t")), t="가 (1.2.5)<br/>나 (2.6.19) 다 (1.20) 라 (0)") == [1, 2, 5, 6, 19]
-    assert one(spark, X.dishes(F.col("t")), t="다 (1.20)") == ["다"]
-    assert one(spark, X.codes(F.col("t")), t="7월 100ml (1000)") == []
+    assert one(spark, X.codes(F.col("t")), t="stew (18.3)<br/>tea (3.9)pie (4.77.8) egg (00)") == [3, 9, 18]
+    assert one(spark, X.dishes(F.col("t")), t="pie (4.77.8)") == ["pie"]
+    assert one(spark, X.codes(F.col("t")), t="half a litre (500) (5,6) (.7) 8") == []
 
 
 def test_entities_as_the_standard_library_decodes_them(spark):
@@ -33,10 +33,9 @@ def test_entities_as_the_standard_library_decodes_them(spark):
 
 
 def test_numbers_and_nutrients(spark):
-    assert one(spark, X.first_number(F.col("t")), t="927.7 Kcal") == 927.7
-    assert one(spark, X.first_number(F.col("t")), t="") is None
-    raw = "탄수화물(g) : 139.0<br/>단백질(g) : 40.6<br/>지방 (g): 23.0"
-    assert [one(spark, X.nutrient(F.col("t"), n), t=raw) for n in ("carbs_g", "protein_g", "fat_g")] == [139.0, 40.6, 23.0]
+    assert [one(spark, X.first_number(F.col("t")), t=t) for t in ("about -12.5 of 80", "none", "", "3.")] == [-12.5, None, None, 3.0]
+    raw = "지방(g): 7<br/>단백질  (g) :-0.25<br/>탄수화물(mg) : 9"
+    assert [one(spark, X.nutrient(F.col("t"), n), t=raw) for n in ("carbs_g", "protein_g", "fat_g")] == [None, -0.25, 7.0]
 
 
 @pytest.mark.parametrize(("text", "day"), [("20260724", "2026-07-24"), (" 20260724 ", "2026-07-24"), ("2026724", "2026-07-24"), ("202672", "2026-07-02"), ("20260230", None), ("2026-07-24", None), ("", None), (None, None)])
@@ -71,3 +70,30 @@ def test_cleaned_table(spark):
 def test_cleaning_needs_no_python_and_no_shuffle(spark):
     plan = cleaned(from_rows(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_a_date_range_reaches_the_scan(spark, tmp_path):
+    raw = from_rows(spark, [{"MLSV_YMD": d} for d in ("20260101", "20260215", None, "")])
+    raw.write.parquet(str(tmp_path / "raw"))
+    rows = in_range(spark.read.parquet(str(tmp_path / "raw")), "20260101", "20260131")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(MLSV_YMD,20260101)" in plan and "LessThanOrEqual(MLSV_YMD,20260131)" in plan and rows.count() == 1
+    assert in_range(raw, "", "20260131").count() == 3  # a missing date counts as the empty text
+
+
+def test_counts_inside_a_row(spark):
+    rows = spark.createDataFrame([(["a", "a", "b"],), ([],), (["x"],), (None,)], "g array<string>")
+    got = [r["r"] if r["r"] is None else [(x["term"], x["n"]) for x in r["r"]] for r in rows.select(X.runs("g").alias("r")).collect()]
+    assert got == [[("a", 2), ("b", 1)], None, [("x", 1)], None]
+
+
+def test_stamps_and_ranges(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Seoul")
+    try:
+        got = spark.sql("select timestamp'2026-07-01 08:30:15.9' as t").select(X.utc_stamp(F.col("t"))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == "2026-06-30T23:30:15+00:00"
+    pairs = [("20260101", "20260101"), ("20260101", "20270101"), ("20260101", "20270102"), ("20260201", "20260131"), ("20260230", "20260301"), ("2026011", "20260301"), (None, "20260101")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i")
+    assert [r[0] for r in rows.select(X.range_fault(F.col("a"), F.col("b"), 366)).collect()] == [None, None, "length", "order", "date", "date", "date"]
