@@ -29,6 +29,7 @@ from .bpe import gathered
 from .common import slices, stored, table
 
 A, RANKS, B = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+SLICE = 1 << 20  # bytes of texts that are tokenised together
 BROADCAST_PAIRS = 500_000  # 16 MB or so; only the plan depends on it, not the result
 
 OWN = ["n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
@@ -194,7 +195,7 @@ def tokenised(df: DataFrame, files: Files, text: str = "text", keep: Callable[[b
 
         both = Both(told.value)
         printed = Printed(max(len(both.a.sizes), len(both.b.sizes), len(told.value.ranks) + 1)) if keep else None
-        for one in (x for big in batches for x in slices(big, text)):
+        for one in (x for big in batches for x in slices(big, text, SLICE)):
             texts = [t or "" for t in one.column(text).to_pylist()]
             some = [k for k, t in enumerate(texts) if t]
             ids_a, ids_b, held = [], [], []
