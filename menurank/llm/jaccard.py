@@ -11,8 +11,9 @@
    are all verified. So no link between components is missed, and a cluster of near copies costs about one check a
    member, not one a pair.
 
-A posting list that may be long (its slot's count tells) is dealt into blocks by a hash of the group; blocks' firsts are
-compared with each other, and what is left of a list is compared block against block. No list is ever in one task.
+A posting list that is long, by its own count, is dealt into blocks by a hash of the group; blocks' firsts are compared with each
+other. What is left of a list is classed by size, and only classes whose sizes may link are compared, block against block.
+No list is ever in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .graph import components
 LEAST_BITS, MOST_BITS, CHUNKS = 20, 24, 64
 SKETCH = 4  # longs
 ROUNDS, MANY = 2, 8
-BLOCK = 2048  # groups of a posting list in one block, about
+BLOCK = 2048  # groups of a posting list in one block
 BROADCAST_IDS = 1_000_000  # 16 MB; only the plan depends on it, not the result
 
 
@@ -96,15 +97,10 @@ def slot_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
-    """A byte for each slot, of count c: about 8 * log2(c + 1), rounded up; one table for order and for block numbers."""
+    """A byte for each slot, of count c: about 8 * log2(c + 1), rounded up; the order of members is by it."""
     return np.minimum(255, np.ceil(8 * np.log2(counts.astype(float) + 1))).astype(np.uint8)
 
 
-def blocks_of(levels: np.ndarray) -> np.ndarray:
-    """Into how many blocks lists of slots of these levels are dealt: lists of BLOCK groups or fewer into one."""
-    return np.ceil(2.0 ** (levels / 8.0) / BLOCK).astype(np.int32)
-
-
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
     """doc_id and its set, as an ascending array of longs."""
 
@@ -129,8 +125,8 @@ def sketch(members: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, the set's and its prefix's 128-bit signatures (two longs each), its sketch, its prefix in the global order, into how
-    many blocks each prefix member's list is dealt, and where in that order the prefix ends (a long of the level and 55 bits of the hash)."""
+    """doc_id, n, the set's and its prefix's 128-bit signatures (two longs each), its sketch, its prefix in the global order, and where
+    in that order the prefix ends (a long of the level and 55 bits of the hash)."""
     told = texts.sparkSession.sparkContext.broadcast(levels)  # a byte a slot
     mask = np.uint64(len(levels) - 1)
 
@@ -141,7 +137,7 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
         levels = told.value
         for big in batches:
             for b in slices(big):
-                sizes, signs, begins, sketches, heads, ends, dealt = [], [], [], [], [], [], []
+                sizes, signs, begins, sketches, heads, ends = [], [], [], [], [], []
                 for s in shingle_sets(b.column("text"), width):
                     n = len(s)
                     first = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -152,15 +148,14 @@ def prefixes(texts: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                     sketches.append(sketch(s))
                     begins.append(xxh3_128_digest(s[order].tobytes()))
                     heads.append(s[order].view(np.int64))
-                    dealt.append(blocks_of(level[order]))
                     ends.append((int(level[order[-1]]) << 55) + (int(s[order[-1]]) >> 9) if first else -1)
                 sign, begin = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (signs, begins))
                 offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, np.concatenate([*x, np.zeros(0, kind)])) for x, kind in ((heads, np.int64), (dealt, np.int32))]
-                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(begin[:, 0]), pa.array(begin[:, 1]), pa.ListArray.from_arrays(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH, np.concatenate(sketches)), *lists, pa.array(ends, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "sketch", "prefix", "dealt", "last"])
+                lists = pa.ListArray.from_arrays(offsets, np.concatenate([*heads, np.zeros(0, np.int64)]))
+                columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array(begin[:, 0]), pa.array(begin[:, 1]), pa.ListArray.from_arrays(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH, np.concatenate(sketches)), lists, pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "sketch", "prefix", "last"])
 
-    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, sketch array<long>, prefix array<long>, dealt array<int>, last long")
+    return texts.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, sketch array<long>, prefix array<long>, last long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,6 +190,39 @@ def reachable(x: str, y: str, percent: int):
     return sizes & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n"))) & close
 
 
+def dealt(posted: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """posted (k, at, token) with blocks and block: lists of more than `block` postings are dealt into blocks by a hash of k.
+
+    A list's length is its own count, whatever share of the corpus a token's slot has, so a rare token's list is one block. Only
+    lengths of long lists meet the postings again: there are at most postings / block of them, cached, which come second."""
+    long = cached(posted.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    few = long.count() <= BROADCAST_IDS
+    out = posted.join(F.broadcast(long) if few else long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return out.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("k"), "blocks").cast("int")).otherwise(0)), long
+
+
+def paired(rows: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Left and right rows of lists (token, n, g and more) with a key `meet`: two rows of a list whose sizes may link have
+    one key in common, left and right, and no two others than those.
+
+    Rows of a list are classed by size, so that linked ones are of one class or of neighbouring ones. A class of more rows than
+    `block` is dealt into blocks, by its own count; a row is repeated once a block it meets, which are one or two in
+    lists that aren't long."""
+    width = float(np.log(100 / percent)) * (1 + 1e-9)
+    sized = rows.withColumn("size", F.floor(F.log("n") / width).cast("int"))
+    order = W.partitionBy("token").orderBy("size")  # a list's classes: as many as its sizes have powers
+    counts = sized.groupBy("token", "size").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    beside = lambda f, step: F.when(f("size").over(order) == F.col("size") + step, f("parts").over(order))
+    counts = counts.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1))
+    placed = sized.join(counts, ["token", "size"]).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), "parts").cast("int")).otherwise(0))
+    key = lambda kind, size, i, j: F.struct(F.lit(kind).alias("kind"), size.alias("size"), i.alias("i"), j.alias("j"))
+    none = F.expr("cast(array() as array<struct<kind: int, size: int, i: int, j: int>>)")
+    size, part = F.col("size"), F.col("part")
+    right_of = F.concat(F.transform(F.sequence(part, F.col("parts") - 1), lambda j: key(0, size, part, j)), F.coalesce(F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda j: key(1, size, part, j)), none))
+    left_of = F.concat(F.transform(F.sequence(F.lit(0), part), lambda i: key(0, size, i, part)), F.coalesce(F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: key(1, size - 1, i, part)), none))
+    return placed.withColumn("meet", F.explode(right_of)), placed.withColumn("meet", F.explode(left_of))
+
+
 def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: sets of word `width`-grams, linked from percent/100.
 
@@ -213,18 +241,18 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     groups = stored(classes.groupBy("n", "p1", "p2").agg(top, F.sum("copies").alias("copies"), F.count("*").alias("many")).select("n", "p1", "p2", F.col("top.id").alias("g"), "top.s1", "top.s2", "copies", "many"))
     member = stored(classes.select("n", "p1", "p2", "id").join(groups.select("n", "p1", "p2", "g"), ["n", "p1", "p2"]).select("id", "n", "g"))
     # Prefixes move once, for the first class of each group; k numbers the groups.
-    whole = some.groupBy("doc_id", "n", "s1", "s2").agg(one("sketch"), one("prefix"), one("dealt"), F.min("last").alias("last")).withColumnRenamed("doc_id", "g")
+    whole = some.groupBy("doc_id", "n", "s1", "s2").agg(one("sketch"), one("prefix"), F.min("last").alias("last")).withColumnRenamed("doc_id", "g")
     whole = whole.join(groups.drop("p1", "p2"), ["g", "n", "s1", "s2"]).withColumn("sketch", F.when(F.col("many") == 1, F.col("sketch")))
-    whole = stored(whole.select(F.monotonically_increasing_id().alias("k"), "g", "n", "copies", "last", (F.col("n") - F.size("prefix")).alias("tail"), "sketch", "prefix", "dealt"))
-    facts = whole.drop("prefix", "dealt")
+    whole = stored(whole.select(F.monotonically_increasing_id().alias("k"), "g", "n", "copies", "last", (F.col("n") - F.size("prefix")).alias("tail"), "sketch", "prefix"))
+    facts = whole.drop("prefix")
 
     # Blocks of posting lists of two or more groups (or of long lists), then what each group can share at all. Postings
     # are numbers; what is known of their groups is joined to those that are shared.
     lists = W.partitionBy("token", "block").orderBy("k")
-    posted = whole.select("k", F.posexplode(F.arrays_zip("prefix", "dealt")).alias("at", "one"))
-    posted = posted.select("k", "at", F.col("one.prefix").alias("token"), F.col("one.dealt").alias("blocks"), F.pmod(F.xxhash64("k"), F.col("one.dealt")).cast("int").alias("block"))
+    posted, long = dealt(whole.select("k", F.posexplode("prefix").alias("at", "token")), BLOCK)
     posted = posted.withColumn("before", F.lag("k").over(lists)).withColumn("after", F.lead("k").over(lists))
     posted = stored(posted.filter("before is not null or after is not null or blocks > 1").drop("before", "after"))
+    drop(long)
     own = W.partitionBy("k")
     shared = stored(posted.withColumn("rank", F.row_number().over(own.orderBy("at")) - 1).withColumn("held", F.count("*").over(own)))
     forget(posted, groups)
@@ -252,7 +280,8 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # Lists that hold several components. While they have many pairs for their rows, neighbours in a random order of
     # each list are tried: groups with many links soon are one component, and their other pairs needn't be made.
-    for turn in range(ROUNDS + 1):
+    turn, pairs_before = 0, None
+    while True:
         found = stored(components(links))
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # say all that links said
         known = stored(member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")))
@@ -262,8 +291,10 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         open_ = stored(spread.join(mixed, "token"))
         old += [found, known, open_]
         size = open_.groupBy("token").count().agg(F.sum("count").alias("rows"), F.sum(F.expr("count * (count - 1) / 2")).alias("pairs")).first()
-        if turn == ROUNDS or (size["pairs"] or 0) <= MANY * (size["rows"] or 0):
+        rows_left, pairs_left = size["rows"] or 0, size["pairs"] or 0
+        if pairs_left <= MANY * rows_left or turn >= ROUNDS and pairs_left > 0.7 * pairs_before:
             break
+        turn, pairs_before = turn + 1, pairs_left
         drop(span)
         own = F.struct(*(c for c in open_.columns if c not in ("token", "blocks", "block")))
         before = F.lag(own).over(W.partitionBy("token", "block").orderBy(F.xxhash64("g", "token", F.lit(turn))))
@@ -274,11 +305,10 @@ def jaccard_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         old += [more, got]
 
     # All pairs whose classes are still in different components, and classes of one group that are.
-    lesser = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).withColumnRenamed("block", "one")
-    greater = open_.withColumn("one", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "other")
-    x, y = lesser.alias("x"), greater.alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.other") == F.col("y.other"))
-    once = (F.col("x.one") < F.col("x.other")) | (F.col("x.g") < F.col("y.g"))
+    lefts, rights = paired(open_.drop("block", "blocks"), percent, BLOCK)
+    x, y = lefts.alias("x"), rights.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.meet") == F.col("y.meet"))
+    once = (F.col("x.meet.kind") == 1) | (F.col("x.meet.i") < F.col("x.meet.j")) | (F.col("x.g") < F.col("y.g"))
     pairs = x.join(y, same & once & apart & reachable("x", "y", percent)).select(F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2"))
     inner = span.filter("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = cached(pairs.union(inner).distinct())

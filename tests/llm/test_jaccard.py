@@ -117,3 +117,44 @@ def test_slices_are_bounded_by_bytes():
     rows = ["x" * n for n in (0, 5, 3, 20, 1, 1, 0, 9)] + [None]
     got = [b.column("text").to_pylist() for b in common.slices(pa.RecordBatch.from_pydict({"text": rows}), limit=9)]
     assert [t for b in got for t in b] == rows and all(len(b) == 1 or sum(len(t or "") for t in b) <= 9 for b in got)
+
+
+def test_only_long_lists_are_dealt_whatever_the_slots(spark, monkeypatch):
+    """With 16 slots all tokens share a slot with frequent ones; lists are still dealt by their own lengths."""
+    from helpers import same
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "LEAST_BITS", 4)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 4)
+    monkeypatch.setattr(jaccard, "CHUNKS", 4)
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(6, 14)))) for i in range(80)]
+    rows += [(100 + i, t + " end") for i, (_, t) in enumerate(rows[:40])]
+    assert same(got(docs(spark, rows, False), 4, 70), brute(rows, 4, 70))
+    postings = spark.createDataFrame([(k, 0, t) for t, n in ((1, 1), (2, 10), (3, 11), (4, 95)) for k in range(n)], "k long, at int, token long")
+    out, long = jaccard.dealt(postings, 10)
+    told = {r["token"]: (r["n"], r["blocks"], r["used"]) for r in out.groupBy("token").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks"), F.count_distinct("block").alias("used")).collect()}
+    assert told[1] == (1, 1, 1) and told[2] == (10, 1, 1) and told[3][:2] == (11, 2) and told[4][:2] == (95, 10) and told[4][2] > 5
+    long.unpersist()
+
+
+def test_rows_that_may_link_meet_once_and_rows_are_repeated_little(spark):
+    rng = random.Random(12)
+    lists = {1: [rng.randrange(1, 4000) for _ in range(300)], 2: [100] * 120, 3: [20, 21], 4: [9, 40, 41]}
+    rows = [(t, 1000 * t + k, n) for t, sizes in lists.items() for k, n in enumerate(sizes)]
+    block = 10
+    left, right = jaccard.paired(spark.createDataFrame(rows, "token long, g long, n long"), 80, block)
+    a, b = ([(r["token"], tuple(r["meet"]), r["g"], r["n"]) for r in x.collect()] for x in (left, right))
+    by = {}
+    for t, m, g, n in b:
+        by.setdefault((t, m), []).append((g, n))
+    met = [tuple(sorted((g, h))) for t, m, g, n in a for h, k in by.get((t, m), ()) if m[0] == 1 or m[2] < m[3] or g < h]
+    assert len(met) == len(set(met))
+    wanted = {(g, h) for i, (t, g, n) in enumerate(rows) for u, h, k in rows[i + 1 :] if t == u and 100 * min(n, k) >= 80 * max(n, k)}
+    assert wanted <= set(met)
+    every = sum(len(s) * (len(s) - 1) // 2 for s in lists.values())
+    assert len(met) < every * 0.6  # far sizes are never put side by side
+    for t, sizes in lists.items():
+        most = max(sum(1 for n in sizes if abs(n - m) <= 0.5 * m) for m in sizes)  # rows of neighbouring classes
+        assert sum(x[0] == t for x in a) + sum(x[0] == t for x in b) <= len(sizes) * (4 + 2 * (most // block + 2))
+    assert sum(x[0] in (3, 4) for x in a + b) <= 4 * 5
