@@ -7,8 +7,8 @@ corpus reaches THETA times the entity's own information: log2(N * n_te / (n_t *
 in distinct texts, n_te at least SUPPORT. Wherever such a term is in any text, it is a span of kind `term`, which
 sanitised() generalises, as it replaces the base spans.
 
-Everything is DataFrame functions. One pass over texts finds the base spans, a second counts the terms that can have the
-support over all texts, a third finds the places of those that disclose.
+Everything is DataFrame functions. One pass over texts matches the base patterns and stores the spans, entities and words of each
+text; all counts are made from these. Texts are read again for the places of terms only, and matched only if they hold one.
 """
 
 from __future__ import annotations
@@ -131,9 +131,8 @@ def places(text: Column, terms: Column) -> Column:
     return F.aggregate(runs, start, step, lambda acc: acc["out"])
 
 
-def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(term, entity) pairs over the threshold. found: h (a text's hash), entities and words of each text with base
-    spans, and empty arrays for others; texts: h and clear (the text without its base spans).
+def disclosing(found: DataFrame) -> DataFrame:
+    """(term, entity) pairs over the threshold. found: h (a text's hash), entities (none without base spans) and words of each text.
 
     A term is with an entity in no more texts than it or the entity is in: what that bound rules out isn't paired. Of
     equal texts each counts as one part of their number, so they count as one text though no text is moved."""
@@ -155,7 +154,7 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     joint = pairs.groupBy("term", "entity", "n_near", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
     joint = stored(joint.filter(enough(F.col("n_near"))))
     wanted = cached(joint.select("term").distinct())
-    weighed = texts.join(few(repeated), "h", "left").select((1.0 / F.coalesce("c", F.lit(1))).alias("part"), F.explode(found_words(F.col("clear"))).alias("term"))
+    weighed = found.select("h", "words").join(few(repeated), "h", "left").select((1.0 / F.coalesce("c", F.lit(1))).alias("part"), F.explode("words").alias("term"))
     counts = among(weighed, wanted).groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
     out = stored(joint.join(counts, "term").filter(enough(F.col("n_t"))).select("term", "entity"))
     drop(repeated, wanted)
@@ -188,23 +187,23 @@ def all_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keys = rows.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id")).withColumn("h", F.xxhash64("text"))
     based = keys.withColumn("base", base_spans(F.col("text")))
-    clear = based.withColumn("clear", masked(F.col("text"), F.col("base")))
     none = F.array().cast("array<string>")
     listed_ = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", lambda span: entities(F.col("text"), span))))).otherwise(none)
-    own = F.when(F.size("base") > 0, found_words(F.col("clear"))).otherwise(none)
-    found = stored(clear.select("doc_id", "k1", "k2", "h", "base", listed_.alias("entities"), own.alias("words")))
-    terms = cached(disclosing(found, clear).select("term").distinct())
+    words = found_words(masked(F.col("text"), F.col("base")))
+    found = stored(based.select("doc_id", "k1", "k2", "h", "base", listed_.alias("entities"), words.alias("words")))
+    terms = cached(disclosing(found).select("term").distinct())
     out = found.select("doc_id", "k1", "k2", "base")
     if terms.isEmpty():
         drop(terms)
         return out.withColumn("spans", F.col("base"))
-    told = clear.select("k1", "k2", F.explode(found_words(F.col("clear"))).alias("term")).join(few(terms), "term", "left_semi")
+    told = found.select("k1", "k2", F.explode("words").alias("term")).join(few(terms), "term", "left_semi")
     told = stored(told.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms")))
     drop(terms)
-    held = clear.select("k1", "k2", "clear")
+    held, based = keys.select("k1", "k2", "text"), out.select("k1", "k2", "base")
     if is_small(told.select("k1")):  # their keys take 16 bytes each; then only texts that hold terms are moved
-        held = held.join(F.broadcast(told.select("k1", "k2")), ["k1", "k2"], "left_semi")
-    more = held.join(told.hint("merge"), ["k1", "k2"]).select("k1", "k2", places(F.col("clear"), F.col("terms")).alias("more")).dropDuplicates(["k1", "k2"])
+        held, based = (x.join(F.broadcast(told.select("k1", "k2")), ["k1", "k2"], "left_semi") for x in (held, based))
+    both = held.join(told.hint("merge"), ["k1", "k2"]).join(based.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+    more = both.dropDuplicates(["k1", "k2"]).select("k1", "k2", places(masked(F.col("text"), F.col("base")), F.col("terms")).alias("more"))
     nowhere = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return out.join(more, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "base", F.array_sort(F.concat("base", F.coalesce("more", nowhere))).alias("spans"))
 

@@ -101,3 +101,76 @@ def test_sanitised_rows(spark):
 def test_no_python(spark, tmp_path):
     plan = pii.op9_pii(spark, folder(spark, tmp_path, [(1, "a@b.co")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_entities(text):
+    """The value of each base span and its classes."""
+    out = set()
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            if not brute(m.group())[1].startswith(f"{kind}:0:{len(m.group())}") and f"{kind}:0:{len(m.group())}" not in brute(m.group())[1].split(","):
+                continue
+            value = m.group().lower()
+            number = re.sub("[^0-9]", "", value)
+            if kind == "email":
+                domain = value.split("@")[-1]
+                parts = domain.split(".")
+                classes = [value, domain, *(".".join(parts[-n:]) for n in (2, 3, 4))]
+            elif kind == "ip":
+                parts = value.split(".")
+                classes = [value, *(".".join(parts[:n]) + "." for n in (1, 2, 3))]
+            else:
+                classes = [number, number[: 6 if kind == "card" else 4], number[:1]]
+            out |= {f"{k}:{c}" for c in classes}
+    return out
+
+
+def plain_terms(rows):
+    """All terms that disclose an entity, by counting every pair over all distinct texts."""
+    import math
+    from collections import Counter
+
+    every = {}
+    for t in {t or "" for _, t in rows}:
+        blank = list(t)
+        for x in filter(None, brute(t)[1].split(",")):
+            _, s, e = x.split(":")
+            blank[int(s) : int(e)] = " " * (int(e) - int(s))
+        runs = re.findall(r"[^\W\d_]{2,}", "".join(blank))
+        every[t] = plain_entities(t), {w.lower() for w in runs}
+    n = len(every)
+    n_e, n_t = Counter(e for es, _ in every.values() for e in es), Counter(w for _, ws in every.values() for w in ws)
+    both = Counter((w, e) for es, ws in every.values() for e in es for w in ws)
+    return {w for (w, e), c in both.items() if c >= pii.SUPPORT and math.log2(n * c / (n_t[w] * n_e[e])) >= pii.THETA * math.log2(n / n_e[e]) - 1e-12}
+
+
+def test_all_terms_as_counting_every_pair_finds_them(spark, tmp_path):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(80)]
+    values = [lambda x: f"u{rng.randrange(9)}@mail{x}.org", lambda x: f"10.{x}.0.{rng.randrange(9)}", lambda x: f"+1 {300 + x} 555 01{rng.randrange(10)}{rng.randrange(3)}"]
+    rows = []
+    for i in range(400):
+        topic = rng.randrange(12)
+        words = [rng.choice(names[:40]) for _ in range(rng.randrange(3, 12))] + ([names[40 + topic]] if rng.random() < 0.7 else [])
+        if rng.random() < 0.6:
+            words += [values[topic % 3](topic), names[60 + topic]][: 1 + (rng.random() < 0.9 - 0.06 * topic)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1]) for i in range(60)] + [(2000, None), (2001, "")]  # copies count once
+    want = plain_terms(rows)
+    assert 3 <= len(want) < 60
+    got = {r["doc_id"]: r["spans"] for r in pii.op9_pii(spark, folder(spark, tmp_path, rows)).collect()}
+    for i, t in rows:
+        base = [x for x in brute(t)[1].split(",") if x]
+        taken = [(int(s), int(e)) for _, s, e in (x.split(":") for x in base)]
+        blank = "".join(" " if any(s <= k < e for s, e in taken) else c for k, c in enumerate(t or ""))
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{2,}", blank) if m.group().lower() in want]
+        assert sorted(filter(None, got[i].split(","))) == sorted(base + terms)
+
+
+def test_texts_are_matched_in_one_pass(spark, tmp_path):
+    """The base patterns stand in the plan of the stored table only, not in that of the result."""
+    rows = [(i, f"the zanzibarian jo@secret.org word{chr(97 + i)} is here") for i in range(6)] + [(50 + i, f"another text of{chr(97 + i % 26)} no value x{i}") for i in range(80)]
+    out = pii.op9_pii(spark, folder(spark, tmp_path, rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.filter("spans like '%term:%'").count() == 6 and "A-Za-z0-9._%" not in plan

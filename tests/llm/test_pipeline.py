@@ -1,3 +1,5 @@
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -20,7 +22,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k != "pipeline") == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["quality classifier", "n-gram Jaccard join", "PII", "best-fit packing"]
 
 
@@ -51,8 +53,24 @@ def test_hard_rows(spark, tmp_path):
     assert P.run(spark, folder(spark, tmp_path / "e", [])).count() == 0
 
 
+def test_different_texts_of_one_id_are_documents_each(spark):
+    base = [" ".join(f"w{k}{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, base[0]), (1, base[0]), (1, base[1]), (2, base[0] + " more"), (2, base[2]), (3, base[1] + " more"), (4, base[3]), (4, base[3] + " more"), (5, None), (5, ""), (None, base[0]), (None, base[0])]
+    frame = docs(spark, rows)
+    got = P.near_copy_stage(spark, frame, SF)
+    assert got.columns == frame.columns
+    want = [(1, base[0]), (1, base[1]), (2, base[2]), (4, base[3]), (5, None), (5, ""), (None, base[0]), (None, base[0])]
+    assert sorted((repr((r["doc_id"], r["text"])) for r in got.collect())) == sorted(map(repr, want))
+
+
 def test_the_rest_of_the_library_does_not_need_this(tmp_path):
-    code = "import sys; sys.modules['menurank.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op1') for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
-    own = [p for p in (ROOT / "menurank").rglob("*.py") if "llm" not in p.parts]
-    assert not [p for p in own if "llm" in p.read_text()]
+    """A copy of the repository without the folders and the pipeline: its queries load, and its own tests are found."""
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.log"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and e.llm is None and not any(k.startswith('op1') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    assert found.returncode == 0 and "test_queries" in found.stdout
+    own = [p for p in (copy / "menurank").rglob("*.py")]
+    assert own and not [p for p in own if "llm" in p.read_text()]
