@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from menurank.llm import packing, pii, quality
 from menurank.llm.common import stored, table
 from menurank.llm.jaccard import BROADCAST_IDS, jaccard_classes
+from menurank.operators.zipping import numbered
 
 WIDTH, PERCENT = 5, 80
 
@@ -24,15 +25,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each component of 5-gram Jaccard links from 0.8.
 
-    Documents without words stay, as do rows without doc_id. Of rows with one doc_id one stays."""
+    Documents without words stay, as do rows without doc_id. Rows that share a doc_id are documents each, unless they share
+    the text as well: of those one stays, and of near copies among them the least text."""
+    ids = docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count()
+    if ids.filter("count > 1").isEmpty():
+        return _firsts(docs, docs.columns)
+    place = next(c for c in ("near_row", *(f"near_row{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
+    rows, _ = numbered(docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]), ["doc_id", "text"], place)
+    kept = _firsts(rows.withColumnsRenamed({"doc_id": "own_id", place: "doc_id"}), [F.col("own_id").alias("doc_id") if c == "doc_id" else c for c in docs.columns])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def _firsts(docs: DataFrame, columns: list) -> DataFrame:
+    """columns of those rows whose doc_id is the least of its component; doc_id tells rows apart."""
     classes = jaccard_classes(docs, WIDTH, PERCENT)
     lost = stored(classes.filter("component_id <> doc_id").select("doc_id").distinct())
     few = lost.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count()
-    if ids.filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(*columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
