@@ -2,15 +2,17 @@
 
 Several groups of rows (those that an allergy set leaves, say) are fitted at once. Rows are read once for the distinct feature
 vectors with how many rows of each group have them, once more for the seeds; medians, deviations and the rounds are
-aggregates over these vectors, one job a round for all groups.
+made from these vectors: groups with few in one task each, all rounds at once, else with one aggregate a round for all groups.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 from math import inf, sqrt
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from ..constants import HEARTY, LIGHT, MIDDLE, TOO_FEW
 from .steps import forget, written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 FEATURES = ["calories", "carbs_g", "protein_g", "fat_g", "dish_count"]
 ROUNDS, MOST_AT_ONCE, SAMPLE = 30, 100_000, 4096
+SMALL = 100_000  # distinct points a group (10 MB) that a task may hold; only the plan depends on it
 
 
 def numbers(features: list[str]) -> list[Column]:
@@ -198,40 +203,93 @@ def fitted(rows: DataFrame, key: str, groups: list[Column], most: int = 3, featu
 
 
 def _rounds(made: DataFrame, fits: list[Fit], moving: list[int], width: range) -> None:
-    """Lloyd's rounds for these groups, one aggregate each, then names by the centroids' mean calories."""
-    cell = lambda table, j: F.get(F.get(F.lit(table), F.col("g")), F.lit(j))
-    mean, spread = [f.mean for f in fits], [f.spread for f in fits]
-    z = [(F.get("x", F.lit(j)) - cell(mean, j)) / cell(spread, j) for j in width]
+    """Lloyd's rounds for these groups, then names by the centroids' mean calories."""
+    mean, spread = (_table([getattr(f, of) for f in fits]) for of in ("mean", "spread"))
+    z = ", ".join(f"(x[{j}] - {mean}[g][{j}]) / {spread}[g][{j}]" for j in width)
+    here = written(made.filter(F.col("g").isin(moving)).select("g", "w", F.get("x", F.lit(0)).alias("c"), F.expr(f"array({z})").alias("z")))
+    if here.count() <= SMALL * len(moving):
+        told = _in_tasks(here, fits, width)
+    else:
+        told = _in_jobs(here, fits, moving, width)
+    for i in moving:
+        rank = [k for _, k in sorted((c, k) for g, k, c in told if g == i)]
+        names = {c: MIDDLE for c in rank[1:-1]} | {rank[0]: LIGHT} | {rank[-1]: HEARTY}
+        fits[i].names = [names.get(k, MIDDLE) for k in range(len(fits[i].centroids))]
+    forget(here)
+
+
+def _in_tasks(here: DataFrame, fits: list[Fit], width: range) -> list[tuple]:
+    """All rounds of a group in one task, which holds its points: SMALL of them a group, about."""
+    starts = [f.centroids for f in fits]
+
+    def settle(key, points):
+        import numpy as np
+        import pandas as pd
+
+        z, w, used = np.stack(points["z"]), points["w"].to_numpy(float), np.array(starts[key[0]])
+        many = range(len(used))
+
+        def label(centroids):
+            apart = np.zeros((len(z), len(centroids)))
+            for j in width:
+                apart += (z[:, j, None] - centroids[None, :, j]) ** 2
+            return apart.argmin(axis=1)
+
+        for _ in range(ROUNDS):
+            own = label(used)
+            n = np.bincount(own, w, len(used))
+            sums = np.stack([np.bincount(own, w * z[:, j], len(used)) for j in width], axis=1)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], used)
+            last = used
+            if (np.abs(new - used) <= 1e-8 + 1e-5 * np.abs(used)).all() and ((new == used).all() or (label(new) == own).all()):
+                break
+            used = new
+        own = label(last)
+        n, c = np.bincount(own, w, len(last)), np.bincount(own, w * points["c"].to_numpy(float), len(last))
+        return pd.DataFrame({"g": key[0], "k": many, "centroid": [x.tolist() for x in last], "c": [c[k] / n[k] if n[k] else None for k in many]})
+
+    rows = here.groupBy("g").applyInPandas(settle, "g int, k int, centroid array<double>, c double").orderBy("g", "k").collect()  # a row a centroid
+    for r in rows:
+        fits[r["g"]].centroids[r["k"]] = r["centroid"]
+    return [(r["g"], r["k"], r["c"]) for r in rows if r["c"] is not None]
+
+
+def _table(rows: list) -> str:
+    """Nested lists of numbers as a SQL array."""
+    one = lambda v: f"array({', '.join(map(one, v))})" if isinstance(v, list) else "double('Infinity')" if v == inf else f"{v!r}D"
+    return one(rows)
+
+
+def _in_jobs(here: DataFrame, fits: list[Fit], moving: list[int], width: range) -> list[tuple]:
+    """Each round as one aggregate for all groups."""
     many = max(len(fits[i].centroids) for i in moving)
     far = [inf] * len(width)  # what a group lacks is nearest to nothing
 
     def label(centroids: list[list[list[float]]]) -> Column:
-        whole = F.lit([c + [far] * (many - len(c)) for c in centroids])
-        return nearest(z, [[F.get(F.get(F.get(whole, F.col("g")), F.lit(k)), F.lit(j)) for j in width] for k in range(many)])
+        whole = _table([c + [far] * (many - len(c)) for c in centroids])
+        apart = lambda k: " + ".join(f"pow(z[{j}] - {whole}[g][{k}][{j}], 2)" for j in width)
+        return F.expr(f"array_min(array({', '.join(f'struct({apart(k)} as d, {k} as k)' for k in range(many))})).k")
 
+    sums = [F.expr(f"sum(w * z[{j}])").alias(f"v{j}") for j in width]
     used, done = [f.centroids for f in fits], set()
     for _ in range(ROUNDS):
         left = [i for i in moving if i not in done]
         if not left:
             break
-        now = made.filter(F.col("g").isin(left)).groupBy("g", label(used).alias("k"))
-        means = now.agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * z[j]).alias(f"v{j}") for j in width)).collect()  # a row a centroid
+        means = here.filter(F.col("g").isin(left)).groupBy("g", label(used).alias("k")).agg(F.sum("w").alias("n"), *sums).collect()  # a row a centroid
         new = [[list(c) for c in u] for u in used]
         for r in means:
             new[r["g"]][r["k"]] = [r[f"v{j}"] / r["n"] for j in width]
         close = {i for i in left if all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for x, y in zip(new[i], used[i]) for a, b in zip(x, y))}
         if doubt := [i for i in close if new[i] != used[i]]:
-            other = made.filter(F.col("g").isin(doubt)).filter(label(new) != label(used)).select("g").distinct().collect()
+            other = here.filter(F.col("g").isin(doubt)).filter(label(new) != label(used)).select("g").distinct().collect()
             close -= {r["g"] for r in other}
         done |= close
         last, used = used, [u if i in close or i not in left else n for i, (u, n) in enumerate(zip(used, new))]
     for i in moving:
         fits[i].centroids = used[i] if i in done else last[i]
-    told = made.filter(F.col("g").isin(moving)).groupBy("g", label([f.centroids for f in fits]).alias("k")).agg((F.sum(F.col("w") * F.get("x", F.lit(0))) / F.sum("w")).alias("c")).collect()
-    for i in moving:
-        rank = [r["k"] for r in sorted((r for r in told if r["g"] == i), key=lambda r: (r["c"], r["k"]))]
-        names = {c: MIDDLE for c in rank[1:-1]} | {rank[0]: LIGHT} | {rank[-1]: HEARTY}
-        fits[i].names = [names.get(k, MIDDLE) for k in range(len(fits[i].centroids))]
+    told = here.groupBy("g", label([f.centroids for f in fits]).alias("k")).agg(F.expr("sum(w * c) / sum(w)").alias("c")).collect()
+    return [(r["g"], r["k"], r["c"]) for r in told]
 
 
 def labelled(rows: DataFrame, key: str, most: int = 3, features: list[str] = FEATURES) -> DataFrame:

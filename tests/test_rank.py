@@ -128,7 +128,10 @@ def test_selection_where_one_value_fills_most_rows(spark, monkeypatch):
     assert [r["k"] for r in got] == [sorted(f"key{k}" for _, k in want)[p] for p in (0, 2222)]
 
 
-def test_groups_are_fitted_as_if_alone(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_groups_are_fitted_as_if_alone(spark, monkeypatch, small):
+    """Also with a job for each round."""
+    monkeypatch.setattr(kmeans, "SMALL", small)
     rows = spark.range(300).select(F.col("id").alias("row_id"), *((F.col("id") * m % 97).cast("double").alias(c) for m, c in zip((7, 11, 13, 17, 3), kmeans.FEATURES)))
     rows = rows.withColumn("calories", F.when(F.col("row_id") % 9 != 0, F.col("calories"))).withColumn("fat_g", F.when(F.col("row_id") % 8 != 0, F.col("fat_g")))
     groups = [F.lit(True), F.col("row_id") % 3 == 0, F.col("row_id") < 2, F.col("row_id") > 1000, F.col("row_id") % 9 == 0]
@@ -136,7 +139,11 @@ def test_groups_are_fitted_as_if_alone(spark):
         own = rows.filter(group)
         alone = {r["row_id"]: r["cluster_name"] for r in kmeans.labelled(own, "row_id").collect()}
         assert {r["row_id"]: r["n"] for r in own.select("row_id", fit.name().alias("n")).collect()} == alone
-    assert len(set(alone.values())) == 1  # no row of the last group has all values
+    assert len(set(alone.values())) == 1
+    other = kmeans.fitted(rows, "row_id", groups)
+    monkeypatch.setattr(kmeans, "SMALL", 100_000 - small)
+    for a, b in zip(other, kmeans.fitted(rows, "row_id", groups), strict=True):
+        assert a.names == b.names and all(abs(x - y) < 1e-9 for c, d in zip(a.centroids, b.centroids, strict=True) for x, y in zip(c, d, strict=True))
 
 
 def test_profiles_as_a_table_in_blocks(spark, monkeypatch):
