@@ -8,7 +8,8 @@
 3. Batches meet their answers and are put together by looking pieces up.
 
 What moves is a batch's distinct pieces, their ids, and texts as numbers of pieces; no part or batch depends on how
-often a piece, text or source occurs.
+often a piece, text or source occurs. A batch sends one row to each part that holds a piece of its own, so rows are at most the
+batches' distinct pieces: beyond so many parts they grow with the corpus, not with its square.
 """
 
 from __future__ import annotations
@@ -319,10 +320,14 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
 
     def finish(rows):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        schema_out = to_arrow_schema(out)
         ranks, spell = told.value[0], Speller(told.value[0])
         rows = rows.to_pylist()
-        own = next(r for r in rows if not r["kind"])
+        own = next((r for r in rows if not r["kind"]), None)
+        if own is None:
+            return schema_out.empty_table()  # answers for a batch that was split otherwise when it was read again
         pieces = read_pieces(own["pieces"])
         places = dealt(pieces, sorted(range(len(pieces)), key=pieces.__getitem__))  # as the batch asked for them
         starts, sizes, flat, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)], 0
@@ -355,9 +360,9 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
             rest = rest.append_column(name, pa.array(c, kind))
         return rest
 
-    answers = stored(df.select(text).mapInArrow(ask, ROW).groupBy("part").applyInArrow(answer, ROW))
     kinds = [T.LongType(), T.BinaryType(), T.StringType(), T.StringType()]
     out = T.StructType([*keep, *(T.StructField(n, k) for n, k in zip(OWN, kinds, strict=True))])
+    answers = stored(df.select(text).mapInArrow(ask, ROW).groupBy("part").applyInArrow(answer, ROW))
     return df.mapInArrow(body, ROW).unionByName(answers).groupBy("batch").applyInArrow(finish, out)
 
 

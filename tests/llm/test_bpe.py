@@ -69,3 +69,68 @@ def test_rows(spark, ranks, library):
     back = bpe.decoded(out.select("doc_id", "ids"), ranks)
     assert sorted(bytes(r["decoded"]) for r in back.collect()) == sorted((t or "").encode() for _, t in texts())
     assert bpe.encoded(docs(spark, []), ranks, P.PATTERN).count() == 0
+
+
+def test_batches_split_otherwise_when_read_again(spark, ranks, library, tmp_path, monkeypatch):
+    """Between the two readings of the input its partitions change: answers no longer fit their batches, results still do."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"some words{i} and more {i * i} " * (1 + i % 3)) for i in range(60)] + [(100, None), (101, "")]
+    path = str(tmp_path / "docs")
+    docs(spark, rows).repartition(6).write.parquet(path)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 200)
+    out = bpe.encoded(spark.read.parquet(path), ranks, P.PATTERN)  # the first reading is done here
+    files = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    assert files > 1
+    moved = spark.read.parquet(path).repartition(2).cache()
+    assert moved.count() == 62
+    moved.write.mode("append").parquet(str(tmp_path / "new"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r["doc_id"]: r["ids_sha256"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        moved.unpersist()
+    ids = lambda t: struct.pack(f"<{len(x := library.encode_ordinary(t or ''))}I", *x)
+    assert got == {i: hashlib.sha256(ids(t)).hexdigest() for i, t in rows}
+
+
+@pytest.fixture
+def small_arrow_batches(spark):
+    """A batch can end with each Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_answers_without_their_batch_make_no_rows_and_no_error(spark, ranks, library, monkeypatch, small_arrow_batches):
+    """Between the two readings batches become larger, so that later numbers have answers but no texts."""
+    rows = [(i, f"words{i} of text {i}") for i in range(40)]
+    monkeypatch.setattr(bpe, "BATCH_DOCS", 2)
+    stored, held = bpe.stored, []
+
+    def larger(df):
+        held.append(stored(df))
+        monkeypatch.setattr(bpe, "BATCH_DOCS", 16)
+        return held[-1]
+
+    monkeypatch.setattr(bpe, "stored", larger)
+    out = bpe.encoded(docs(spark, rows).coalesce(1), ranks, P.PATTERN)
+    assert held[0].select("batch").distinct().count() == 20
+    want = {i: hashlib.sha256(struct.pack(f"<{len(x := library.encode_ordinary(t))}I", *x)).hexdigest() for i, t in rows}
+    assert [r["doc_id"] for r in out.orderBy("doc_id").collect()] == list(range(40)) and {r["doc_id"]: r["ids_sha256"] for r in out.collect()} == want
+
+
+def test_rows_exchanged_grow_with_the_corpus_at_most(spark, ranks, monkeypatch, small_arrow_batches):
+    """Each batch has its own pieces; four times the documents make four times the batches and parts."""
+    monkeypatch.setattr(bpe, "BATCH_DOCS", 5)
+    made = []
+    stored = bpe.stored
+    monkeypatch.setattr(bpe, "stored", lambda df: made.append(stored(df)) or made[-1])
+    for n in (50, 200):
+        rows = [(i, f"word{i} other{i * 7}") for i in range(n)]
+        bpe.encoded(docs(spark, rows, False).coalesce(1), ranks, P.PATTERN, part_docs=1).count()
+    few, many = (m.count() for m in made)
+    assert [m.select("batch").distinct().count() for m in made] == [10, 40]
+    pieces = 4 * 5  # of a batch, at most: letters and numbers of two words
+    assert few <= 10 * pieces and many <= 40 * pieces and many <= 4.5 * few
