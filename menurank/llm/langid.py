@@ -21,7 +21,7 @@ SAMPLE = 5000  # labelled documents of a language that are learnt from, at most
 TERMS = 300_000  # entries of the model, shared evenly by languages and lengths: the most frequent ones stay
 LENGTHS = (5, 4, 3, 2, 1)
 BROADCAST_LANGUAGES = 100_000  # a few megabytes; only the plan depends on it
-KNOWN_WORDS, CELLS = 200_000, 1 << 20
+KNOWN_WORDS, NEW_WORDS, CELLS = 200_000, 10_000, 1 << 20
 NONE = "und"
 
 
@@ -70,17 +70,29 @@ class Model:
             logs[row, k] = v
         return cls(tuple(languages), terms, logs)
 
-    def word(self, word: str) -> np.ndarray:
-        """What a word adds to each language: nothing if not even one of its letters is known."""
-        row = self.terms[0].get(word)
-        if row is not None:
-            return self.logs[row]
-        for z in LENGTHS:
-            known = self.terms[z]
-            rows = [known[g] for g in grams(word, z) if g in known]
-            if rows:
-                return self.logs[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """What each word adds to each language: nothing if not even one of its letters is known."""
+        rows, sizes, whole = [], [], self.terms[0]
+        for w in words:
+            row = whole.get(w)
+            if row is not None:
+                rows.append(row)
+                sizes.append(1)
+                continue
+            found = []
+            for z in LENGTHS:
+                known = self.terms[z]
+                found = [known[g] for g in grams(w, z) if g in known]
+                if found:
+                    break
+            rows += found
+            sizes.append(len(found))
+        out, counts = np.zeros((len(words), len(self.languages))), np.array(sizes, np.int64)
+        some = counts > 0
+        if rows:
+            starts = (np.cumsum(counts) - counts)[some]
+            out[some] = np.add.reduceat(self.logs[rows], starts, axis=0) / counts[some, None]
+        return out
 
 
 class Scorer:
@@ -96,16 +108,15 @@ class Scorer:
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        known, out = self.known, []
-        for w in words:
-            at = known.get(w)
-            if at is None:
-                at = known[w] = len(known)
-                if at == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[at] = self.model.word(w)
-            out.append(at)
-        return np.array(out, np.int64)
+        known, first = self.known, len(self.known)
+        new = list(dict.fromkeys(w for w in words if w not in known))
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for i in range(0, len(new), NEW_WORDS):
+            part = new[i : i + NEW_WORDS]
+            self.rows[first + i : first + i + len(part)] = self.model.of_words(part)
+        known.update(zip(new, range(first, first + len(new))))
+        return np.array([known[w] for w in words], np.int64)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = self.words(text)
