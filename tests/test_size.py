@@ -1,12 +1,14 @@
 """What keeps work in bounds as tables grow."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from menurank.functions import text as X
 from menurank.operators import kmeans, ngrams, recommend, report, tfidf
+from menurank.plans import meals_view
 
 RULES = recommend.Rules(types={"a": ["bolt"], "b": ["gear"]}, spice={5: ["hot"]})
 
@@ -95,3 +97,21 @@ def test_cleaning_makes_dishes_once(spark):
     assert plan(cleaned(raw, ("row_id",))).count("<br") == 1
     dates = spark.createDataFrame([(d,) for d in ("20260101", "20260101\n", "20261301", "20260230", "2026111")], "t string")
     assert [str(r[0]) for r in dates.select(X.compact_date(F.col("t"))).collect()][:5] == ["2026-01-01", "2026-01-01", "None", "None", "2026-11-01"]
+
+
+def test_tasks_of_the_meals_joins_are_as_many_as_lines_need(spark, monkeypatch):
+    """More tasks than the session's shuffle partitions where the lines need them, in every join, and the same meals."""
+    sf, usual = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    dealt = lambda df: {int(n) for n in re.findall(r"hashpartitioning\([lopc]_(?:part|order|cust)key#\w+, (\d+)\)", plan(df))}
+    want = sorted(meals_view.raw_meals(spark, sf).collect())
+    monkeypatch.setattr(meals_view, "LINES", 500)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as if part and customer were large
+    try:
+        made = meals_view.raw_meals(spark, sf)
+        assert dealt(made) == {-(-lines // 500)} and lines > 4 * 500
+        assert sorted(made.collect()) == want
+        monkeypatch.setattr(meals_view, "LINES", lines)
+        assert dealt(meals_view.raw_meals(spark, sf)) == {4}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
