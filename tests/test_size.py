@@ -39,6 +39,27 @@ def test_similarities_shuffle_nothing_and_are_those_of_the_join(spark, monkeypat
     assert [s for part in ngrams.slices(texts) for s in texts[part]] == texts
 
 
+def test_tasks_without_rows_or_words_have_no_ngrams(spark, tmp_path):
+    """A file with one row group in several splits, of which all but one are empty; tasks of blank texts; a table without rows."""
+    texts = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("red bolt "), F.col("id") % 7)).otherwise(F.lit(" ")).alias("menu_text"))
+    near = lambda df: {r["row_id"]: round(r["similarity"], 10) for r in tfidf.similarity(df, "row_id", "menu_text", "bolt gear").collect()}
+    want, path = near(texts.coalesce(1)), str(tmp_path / "one.parquet")
+    assert len(want) == 300 and want[0] == 0 < want[1]
+    texts.coalesce(1).write.parquet(path)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in usual:
+            spark.conf.set(k, "500")
+        split = spark.read.parquet(path)
+        assert split.rdd.getNumPartitions() > 2 and near(split) == want
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    blank = texts.filter("row_id % 3 = 0")
+    assert near(blank.repartition(3).union(texts.filter("row_id % 3 > 0"))) == want
+    assert near(blank) == dict.fromkeys(range(0, 300, 3), 0.0) and near(texts.filter("row_id < 0").repartition(2)) == {}
+
+
 def test_only_rows_that_may_be_best_are_ranked(spark):
     """Each profile's best rows are those of all rows scored and sorted; equal scores at the cut, sets and few safe rows too."""
     profiles = {"p": recommend.Profile(("bolt",), ("ring",), ("a",), 5, (3,)), "q": recommend.Profile(spice_level=2), "r": recommend.Profile(("gear", "red"), (), (), 1, tuple(range(1, 20)))}
